@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sigloom.llm import quality_rules, sharding, token_counts, token_store
+from sigloom.llm import compression_classifier, quality_rules, sharding, token_counts, token_store
 
 
 def queries() -> dict:
     return {
         "op1_token_store": token_store.op1_token_store,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_compression_classifier": compression_classifier.op4_compression_classifier,
         "op5_external_shuffle": sharding.op5_external_shuffle,
         "op10_repetition_coverage": quality_rules.op10_repetition_coverage,
     }
