@@ -115,7 +115,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
+    if len(_powers.get(base, ())) < max(1, n):
         size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
         factors = np.full(size, base, np.uint64)
         factors[0] = 1
@@ -138,9 +138,9 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(_RINV, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document number of each word; words never span documents."""
-    white = (data == 32) | ((data >= 9) & (data <= 13))
+    white = (data == 32) | ((data >= 9) & (data <= 13)) if white is None else white
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
     begin = ~white

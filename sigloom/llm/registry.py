@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sigloom.llm import compression_classifier, quality_rules, sharding, token_counts, token_store
+from sigloom.llm import compression_classifier, near_duplicates, quality_rules, sharding, token_counts, token_store
 
 
 def queries() -> dict:
     return {
         "op1_token_store": token_store.op1_token_store,
+        "op2_jaccard_join": near_duplicates.op2_jaccard_join,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_compression_classifier": compression_classifier.op4_compression_classifier,
         "op5_external_shuffle": sharding.op5_external_shuffle,
