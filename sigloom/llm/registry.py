@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.llm import compression_classifier, near_duplicates, quality_rules, sharding, suffix_dedup, token_counts, token_store
+from sigloom.llm import compression_classifier, line_dedup, near_duplicates, quality_rules, sharding, suffix_dedup, token_counts, token_store
 
 
 def queries() -> dict:
@@ -12,10 +12,11 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_compression_classifier": compression_classifier.op4_compression_classifier,
         "op5_external_shuffle": sharding.op5_external_shuffle,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_repetition_coverage": quality_rules.op10_repetition_coverage,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_repetition_coverage": quality_rules.OP10_SQL}
+    return {"op7_line_dedup": line_dedup.OP7_SQL, "op10_repetition_coverage": quality_rules.OP10_SQL}
