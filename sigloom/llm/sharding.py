@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def scatter(df: DataFrame, n_buckets: int, seed: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,12 +41,15 @@ def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key: str =
         F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
     )
 
-    # one partition a bucket, so that the random numbers depend on the seed and the bucket alone
+    # One exchange: the buckets stay where it puts them, and are shuffled in their own order, so that the random numbers
+    # depend on the seed and the buckets alone, and not on the cluster.
     record = F.struct(F.col(key).alias("_k"), F.octet_length(text).alias("_s"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"))
     shuffled = (
-        scattered.repartitionById(n_buckets, F.col("bucket"))
+        scattered.repartition(n_buckets, "bucket")
         .groupBy("bucket")
-        .agg(F.shuffle(F.array_sort(F.collect_list(record)), seed).alias("rows"))
+        .agg(F.array_sort(F.collect_list(record)).alias("rows"))
+        .sortWithinPartitions("bucket")
+        .withColumn("rows", F.shuffle("rows", seed))
         .join(offsets, F.col("bucket") == F.col("of"))
         .select("bucket", "before", "total", F.posexplode("rows").alias("at", "row"))
         .select("bucket", "total", (F.col("before") + F.col("at")).alias("pos"), "row.r.*")
