@@ -310,7 +310,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = C.materialise(groups.join(sizes, "component").join(classes.select("set", "first", "copies"), "set"), "members")
     wanted = members.select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    tokens = C.materialise(base.join(wanted, ["doc_id", "text_hash"]).select("set", "text").mapInArrow(_tokens, "set long, tokens binary").dropDuplicates(["set"]), "tokens")
+    # the texts move once, whatever the number of sets that are wanted
+    tokens = C.materialise(base.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("set", "text").mapInArrow(_tokens, "set long, tokens binary").dropDuplicates(["set"]), "tokens")
     dealt = in_block_pairs(members.select("set", "component", "size", "copies"), "component", "set", "size", GROUP_BLOCK).join(tokens, "set")
     links = C.materialise(dealt.select("g", "set", "side", "copies", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(_exact(threshold), LINK_SCHEMA), "links")
 
