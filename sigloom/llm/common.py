@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer document is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- shared folder
@@ -116,7 +116,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     if len(_powers.get(base, ())) < max(1, n):
-        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
+        size = max(1 << 16, n + n // 8)
         factors = np.full(size, base, np.uint64)
         factors[0] = 1
         made = np.multiply.accumulate(factors)

@@ -38,8 +38,8 @@ from sigloom.llm.token_counts import public, tokenizer
 MAGIC = b"SLDAC1\0\0"
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-#: Words whose ids a worker keeps; the cache starts afresh when it is full.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker keeps; a cache that is full starts afresh.
+CACHE_WORDS, CACHE_CORES = 1_000_000, 200_000
 BLOCK = 512
 
 
@@ -144,33 +144,103 @@ def _specials(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
-_known: dict[str, dict[str, bytes]] = {}
+#: What may be cut off a word's end before it is encoded: never part of a contraction, nor joined to a letter.
+TAILS = ".,!?;:%$&#|*"
+#: Stands between words that are encoded at one go; texts that hold it are encoded whole.
+BETWEEN = "\x01"
 
 
-def encode_texts(path: str, texts: list[str], by_word: bool = True) -> list[bytes]:
-    """Ids of each text as little-endian u32.
+class Words:
+    """Ids by words, for tokenizers that drop white space and part letters from other signs.
 
-    by_word is for tokenizers that drop white space and never join what it parts, as word-level ones do: each string
-    between blanks is then encoded once and kept. Texts that hold special strings are encoded whole.
+    A word is what stands between blanks or line ends. Words are known by 64-bit hashes; one that is new is looked up
+    without its tail and, if it is ASCII, in lower case, and only what is new then is encoded. All else is in NumPy.
     """
-    encode = tokenizer(path)
-    if not by_word:
-        return [np.array(x.ids, "<u4").tobytes() for x in encode.encode_batch_fast(texts, add_special_tokens=False)]
-    known = _known.setdefault(path, {})
-    split, odd = [], {}
-    for i, text in enumerate(texts):
-        if any(s in text for s in _specials(path)):
-            odd[i] = np.array(encode.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            split.append([])
-        else:
-            split.append(text.replace("\n", " ").split(" "))
-    new = list(set().union(*split) - known.keys()) if split else []
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list(set().union(*split))
-    for word, x in zip(new, encode.encode_batch_fast(new, add_special_tokens=False)):
-        known[word] = np.array(x.ids, "<u4").tobytes()
-    return [odd[i] if i in odd else b"".join(map(known.__getitem__, words)) for i, words in enumerate(split)]
+
+    def __init__(self, path: str):
+        self.encode, self.cores, self.tails = tokenizer(path), {}, {"": b""}
+        self.whole = tuple(s.encode() for s in (*_specials(path), BETWEEN))
+        (self.between,) = self.encode.encode(BETWEEN, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        """keys: hashes in order; at, n: where each word's ids stand in the pool."""
+        self.keys, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Encodes words that hold neither blanks nor BETWEEN."""
+        out = []
+        for at in range(0, len(words), 2000):
+            joined = f" {BETWEEN} ".join(words[at : at + 2000])
+            ids = np.array(self.encode.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cut = (np.flatnonzero(ids == self.between) * 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)])]
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        if len(self.cores) > CACHE_CORES or len(self.tails) > CACHE_CORES:
+            self.cores.clear()
+            self.tails = {"": b""}
+        parts = []
+        for word in words:
+            core = word.rstrip(TAILS)
+            if not core or not core[-1].isalpha():
+                core = word
+            parts.append((core.lower() if core.isascii() else core, word[len(core) :]))
+        cores, tails = self.cores, self.tails
+        new = list({c for c, _ in parts} - cores.keys())
+        cores.update(zip(new, self.fresh(new)))
+        new = list({t for _, t in parts} - tails.keys())
+        tails.update(zip(new, self.fresh(new)))
+        made = [cores[core] + tails[tail] for core, tail in parts]
+        n = np.array([len(x) for x in made], np.int64) >> 2
+        at = len(self.pool) + np.cumsum(n) - n
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), "<u4")])
+        keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.n = keys[order], at[order], n[order]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, with the end id after each document, and how many each document has."""
+        raw = data.tobytes()
+        if any(s in raw for s in self.whole):
+            parts = [self.one(raw[a:b], end) for a, b in zip(offsets[:-1], offsets[1:])]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        start, stop, doc = C.words(data, offsets, (data == 32) | (data == 10))
+        codes = C.span_hash(C.prefix_hash(data), start, stop)
+        keys, first, back = np.unique(codes, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_WORDS:
+            self.forget()
+        new = ~np.isin(keys, self.keys, assume_unique=True, kind="sort") if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())])
+        hit = np.searchsorted(self.keys, keys)[back]
+        at, n = self.at[hit], self.n[hit]
+        total = int(n.sum())
+        i = np.arange(total)
+        lengths = np.bincount(doc, n, len(offsets) - 1).astype(np.int64) + 1
+        out = np.full(total + len(lengths), end, "<u4")
+        out[i + np.repeat(doc, n)] = self.pool[i + np.repeat(at - (np.cumsum(n) - n), n)]
+        return out, lengths
+
+    def one(self, raw: bytes, end: int) -> np.ndarray:
+        if any(s in raw for s in self.whole):
+            return np.array([*self.encode.encode(raw.decode(), add_special_tokens=False).ids, end], "<u4")
+        return self(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), end)[0]
+
+
+@cache
+def _words(path: str) -> Words:
+    return Words(path)
+
+
+def encode_slice(path: str, texts: pa.Array, end: int, by_word: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts, each with the end id, and their counts; by_word only for tokenizers that Words is right for."""
+    if by_word:
+        return _words(path)(*C.buffers(texts), end)
+    ids = [np.array([*x.ids, end], "<u4") for x in tokenizer(path).encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+    return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
 
 STORE_SCHEMA = "part int, segment int, first_token long, n_docs long, n_tokens long, codes binary"
@@ -180,21 +250,20 @@ def _segments(path: str, end_id: int, by_word: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, before = TaskContext.get().partitionId(), 0, 0
         docs, lengths, ids = [], [], []
-        end = np.array([end_id], "<u4").tobytes()
 
         def sealed() -> pa.RecordBatch:
-            n = sum(lengths)
-            codes = encode_segment(np.concatenate(docs), np.array(lengths), np.frombuffer(b"".join(ids), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), *(pa.array([x], pa.int64()) for x in (before, len(lengths), n)), pa.array([codes], pa.binary())], ["part", "segment", "first_token", "n_docs", "n_tokens", "codes"])
+            n = sum(map(len, ids))
+            codes = encode_segment(np.concatenate(docs), np.concatenate(lengths), np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), *(pa.array([x], pa.int64()) for x in (before, sum(map(len, docs)), n)), pa.array([codes], pa.binary())], ["part", "segment", "first_token", "n_docs", "n_tokens", "codes"])
 
         for batch in C.slices(batches, most=1 << 20):
-            got = [x + end for x in encode_texts(path, batch.column("text").to_pylist(), by_word)]
+            got, n = encode_slice(path, C.flat(batch, "text"), end_id, by_word)
             docs.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
-            lengths += [len(x) // 4 for x in got]
-            ids += got
-            if sum(lengths) >= SEGMENT_TOKENS:
+            lengths.append(n)
+            ids.append(got)
+            if sum(map(len, ids)) >= SEGMENT_TOKENS:
                 yield sealed()
-                segment, before = segment + 1, before + sum(lengths)
+                segment, before = segment + 1, before + sum(map(len, ids))
                 docs, lengths, ids = [], [], []
         if lengths:
             yield sealed()
@@ -230,7 +299,8 @@ def placed(spark: SparkSession, out: str) -> DataFrame:
     store = spark.read.schema(STORE_SCHEMA).parquet(out)
     sums = store.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select(F.col("part").alias("of"), (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("base"))
-    return store.join(before, F.col("part") == F.col("of")).withColumn("first", F.col("base") + F.col("first_token"))
+    # one row for each range of doc_id, as many as the writing stage had partitions: small by its making
+    return store.join(F.broadcast(before), F.col("part") == F.col("of")).withColumn("first", F.col("base") + F.col("first_token"))
 
 
 def read_store(spark: SparkSession, out: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sigloom.llm import common as C
@@ -23,14 +24,21 @@ def test_random_access(n, top):
         assert (s.ids(i, n) == ids[i:]).all() and (s.ids(0, i) == ids[:i]).all()
 
 
-WORDS = ["It's", "naïve", "don't", "ΑΣ", "Σ.", "x\ty", "a b", "é", "̈x", "İ", "123abc", "…!!", "<|endoftext|>", "<|endof", "ﬁ", "\x1cq", "a b", "", "\r", "漢字", "'s", "'", "s"]
+WORDS = ["It's", "naïve", "don't", "ΑΣ", "Σ.", "x\ty", "a b", "é", "̈x", "İ", "123abc", "…!!", "<|endoftext|>", "<|endof", "ﬁ", "\x1cq", "a b", "", "\r", "漢字", "'s", "'", "s", "It'll.", "'.", "a'.", "1.", "x.|", "CAFÉ!", "Dog,,", "...", "Ⅷ.", "ª.", "x\x01y", "ǅ."]
 
 
-def test_words_equal_whole_texts():
+def encoded(texts, by_word):
+    ids, n = S.encode_slice(PATH, pa.array(texts), 2, by_word)
+    return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_words_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(S, "CACHE_WORDS", 40)
     r = np.random.default_rng(0)
-    texts = ["", " ", "\n\n"] + [r.choice([" ", "\n", "  ", " \n"]).join(r.choice(WORDS, 12)) for _ in range(300)]
-    whole = S.encode_texts(PATH, texts, by_word=False)
-    assert S.encode_texts(PATH, texts) == whole
+    texts = ["", " ", "\n\n"] + [str(r.choice([" ", "\n", "  ", " \n"])).join(r.choice(WORDS, 12)) for _ in range(300)]
+    whole = encoded(texts, False)
+    assert encoded(texts, True) == whole
+    assert [x for i in range(0, len(texts), 3) for x in encoded(texts[i : i + 3], True)] == whole
 
 
 def test_store(spark):
@@ -40,7 +48,7 @@ def test_store(spark):
     got = sorted(S.read_store(spark, out).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
-    ids = {t: b + np.array([2], "<u4").tobytes() for t in {r[1] or "" for r in rows} for b in S.encode_texts(PATH, [t], by_word=False)}
+    ids = {t: encoded([t], False)[0] for t in {r[1] or "" for r in rows}}
     assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(ids[t or ""]) // 4, zlib.crc32(ids[t or ""])) for _, t, _, _ in rows)
     assert S.token_at(spark, out, got[5].start + got[5].n_tokens - 1) == 2
     with pytest.raises(IndexError):
