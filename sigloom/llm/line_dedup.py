@@ -125,16 +125,18 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(text)
         ids = batch.column("doc_id")
         values = [ids, batch.column("tie"), pa.array(n_lines, pa.int64()), pa.array(deleted, pa.int64()), pa.array(runs, pa.int64()), batch.column("longest"), pa.array(out, pa.string())]
-        yield pa.RecordBatch.from_arrays(values, ["doc_id", "tie", "n_lines", "n_deleted", "n_runs", "longest_run", "text"])
+        names = ["doc_id", "tie", "n_lines", "n_deleted", "n_runs", "longest_run", "text"]
+        if "row" in batch.schema.names:  # columns that are carried along
+            values, names = [*values, batch.column("row")], [*names, "row"]
+        yield pa.RecordBatch.from_arrays(values, names)
 
 
-def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tie, n_lines, n_deleted, n_runs, longest_run (lines of the longest later copy, as a power of two) and the text that is left."""
+def _runs(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """OUT_SCHEMA, and the column `row` if base has one, for base's rows of doc_id, tie and text."""
     level = min_lines.bit_length() - 1
     if 1 << level != min_lines:
         raise ValueError("min_lines must be a power of two")
-    base = C.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
-    later = suffix_intervals(base).where("later")
+    later = suffix_intervals(base.select("doc_id", "tie", "text")).where("later")
     gone = later.where((F.col("level") == level) | (F.col("level") == 0) & (F.col("n_words") >= min_words)).select(
         "doc_id", "tie", F.explode(F.sequence("pos", F.col("pos") + F.when(F.col("level") == 0, 0).otherwise(min_lines - 1).cast("int"))).alias("pos")
     )
@@ -143,7 +145,32 @@ def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_
     longest = later.groupBy("doc_id", "tie").agg(F.pow(F.lit(2), F.max("level")).cast("long").alias("longest"))
     found = longest.join(by_doc, ["doc_id", "tie"], "left")
     joined = base.join(found.hint("merge"), ["doc_id", "tie"], "left").withColumn("longest", F.coalesce("longest", F.lit(0).cast("long")))
-    return joined.select("doc_id", "tie", "text", "gone", "longest").mapInArrow(_rebuild, OUT_SCHEMA).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    kind = OUT_SCHEMA
+    if "row" in base.columns:
+        kind += f", row {base.schema['row'].dataType.simpleString()}"
+    return joined.mapInArrow(_rebuild, kind).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
+
+
+def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, tie, n_lines, n_deleted, n_runs, longest_run (lines of the longest later copy, as a power of two) and the text that is left."""
+    return _runs(_keyed(C.texts(docs)), min_lines, min_words)
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of docs, with what is left of each text; documents of which no line is left, though they had some, are gone.
+
+    A column n_chars is counted anew where the text has changed.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    runs = _runs(_keyed(C.texts(docs, row)), min_lines, min_words).where("n_lines = 0 or n_deleted < n_lines")
+    text = F.when(F.col("n_deleted") > 0, F.col("text")).otherwise(F.col("row.text"))
+    counted = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": text, "n_chars": counted}
+    return runs.select(*[(new[c].cast(docs.schema[c].dataType) if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

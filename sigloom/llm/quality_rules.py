@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm import common as C
@@ -133,6 +134,18 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return C.texts(docs).mapInArrow(_rules, SCHEMA)
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows that the rules keep, with all their columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")
+            marks = [verdict(measure(*C.buffers(C.flat(part, "text"))))[1] for part in C.slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]))]
+            yield batch.filter(pa.array(np.concatenate(marks) if marks else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"))
 

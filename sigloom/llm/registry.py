@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.llm import compression_classifier, line_dedup, near_duplicates, quality_rules, sharding, suffix_dedup, token_counts, token_store
+from sigloom.llm import compression_classifier, decontamination, line_dedup, near_duplicates, quality_rules, sentencepieces, sharding, suffix_dedup, token_counts, token_store
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_compression_classifier": compression_classifier.op4_compression_classifier,
         "op5_external_shuffle": sharding.op5_external_shuffle,
+        "op6_sentencepieces": sentencepieces.op6_sentencepieces,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_repetition_coverage": quality_rules.op10_repetition_coverage,
     }
