@@ -6,6 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigloom.operators import VIEWS, Signals
+from sigloom.plans.oracle import CTE, oracle
+from sigloom.sources.intake import event_grid, plant_grid
+
 FLAGSHIP = "v_calculus_complete"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+#: These need units that belong together, so they run on the plant's signals; all others on the hourly events.
+ON_PLANT = {f"v_{n}" for n in "conservation_check mass_balance energy_balance thermodynamic_consistency second_law_check continuity_equation diffusion_check bernoulli_check heat_transfer_check momentum_balance physics_complete".split()}
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    grid = plant_grid if name in ON_PLANT else event_grid
+    return lambda spark, sf_dir: Signals(grid(spark, sf_dir)).rounded(name)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in VIEWS}
+#: All but the JSON texts, whose tables are checked themselves.
+ORACLES: dict[str, str] = {name: oracle(name, name in ON_PLANT) for name in VIEWS if name in CTE}
