@@ -101,8 +101,8 @@ def heat_transfer_check(s: Signals):
 
 @view("entity_id I ~force ~acceleration ~implied_mass ~avg_mass ~mass_consistency momentum_status")
 def momentum_balance(s: Signals):
-    """A force against the second difference of every signal at the same index."""
-    m = _of(s, ("N", "kN", "lbf"), "force").join(s["v_points"].select(*E, F.col("d2y").alias("acceleration")), E).withColumn("implied_mass", div("force", "acceleration")).where("implied_mass is not null")
+    """A force against the second difference of every signal at the same index; differences under 1e-9 are rounding."""
+    m = _of(s, ("N", "kN", "lbf"), "force").join(s["v_points"].select(*E, F.col("d2y").alias("acceleration")), E).withColumn("implied_mass", div("force", F.when(F.abs("acceleration") > 1e-9, F.col("acceleration")))).where("implied_mass is not null")
     m = _against_mean(m, "implied_mass", "avg_mass", "mass_consistency")
     return m.withColumn("momentum_status", F.when(F.abs("mass_consistency") > 2, "momentum_anomaly").otherwise("consistent"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 KEY = ["entity_id", "signal_id"]
+SHIFT = 1.7e-8
 VIEWS: dict[str, tuple[Callable[[Signals], DataFrame], list[str]]] = {}
 
 
@@ -45,5 +46,8 @@ class Signals:
         return self[name].select(*[c.lstrip("~") for c in VIEWS[name][1]])
 
     def rounded(self, name: str, places: int = 6) -> DataFrame:
-        """The same with real numbers rounded, so that results do not depend on the order of summation."""
-        return self[name].select(*[(F.round(F.col(c[1:]).cast("double"), places) + 0.0).alias(c[1:]) if c[0] == "~" else F.col(c) for c in VIEWS[name][1]])
+        """The same with real numbers rounded, so that results do not depend on the order of summation.
+
+        The shift keeps decimals that end in 5 off the border between two roundings.
+        """
+        return self[name].select(*[(F.round(F.col(c[1:]).cast("double") + SHIFT, places) + 0.0).alias(c[1:]) if c[0] == "~" else F.col(c) for c in VIEWS[name][1]])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from sigloom.operators import VIEWS
+from sigloom.operators.catalog import SHIFT
 from sigloom.sources.intake import ANALOG_UNITS, DIGITAL_UNITS, EVENT_UNITS, EVENT_UNITS_BY_SIGNAL, PLANT, STEPWISE_UNITS
 
 K = "entity_id, signal_id"
@@ -196,7 +197,7 @@ CTE: dict[str, str] = {
     "pv": "SELECT p.entity_id, p.I, p.y AS pressure, v.y AS velocity, p.y + 0.5 * v.y * v.y AS bernoulli_sum FROM obs p JOIN obs v ON p.entity_id = v.entity_id AND p.I = v.I WHERE p.unit IN ('kPa', 'Pa', 'PSI') AND v.unit IN ('m/s', 'ft/s')",
     "v_bernoulli_check": f"SELECT *, CASE WHEN abs(deviation_zscore) > 2 THEN 'bernoulli_violation' ELSE 'consistent' END AS bernoulli_status FROM ({_mean('pv', 'bernoulli_sum', 'expected_constant', 'deviation_zscore')})",
     "v_heat_transfer_check": f"SELECT *, CASE WHEN {div('temp_gradient_variation', 'avg_temp_gradient')} < 0.2 THEN 'steady_conduction' WHEN {div('temp_gradient_variation', 'avg_temp_gradient')} < 0.5 THEN 'quasi_steady' ELSE 'transient' END AS heat_transfer_regime FROM (SELECT {K}, avg(abs(dy)) AS avg_temp_gradient, stddev(dy) AS temp_gradient_variation FROM v_points WHERE unit IN ('K', '°C', '°F') AND dimension = 'space' AND dy IS NOT NULL GROUP BY ALL)",
-    "fa": f"SELECT * FROM (SELECT f.entity_id, f.I, f.y AS force, a.d2y AS acceleration, {div('f.y', 'a.d2y')} AS implied_mass FROM obs f JOIN v_points a ON f.entity_id = a.entity_id AND f.I = a.I WHERE f.unit IN ('N', 'kN', 'lbf')) WHERE implied_mass IS NOT NULL",
+    "fa": f"SELECT * FROM (SELECT f.entity_id, f.I, f.y AS force, a.d2y AS acceleration, {div('f.y', 'CASE WHEN abs(a.d2y) > 1e-9 THEN a.d2y END')} AS implied_mass FROM obs f JOIN v_points a ON f.entity_id = a.entity_id AND f.I = a.I WHERE f.unit IN ('N', 'kN', 'lbf')) WHERE implied_mass IS NOT NULL",
     "v_momentum_balance": f"SELECT *, CASE WHEN abs(mass_consistency) > 2 THEN 'momentum_anomaly' ELSE 'consistent' END AS momentum_status FROM ({_mean('fa', 'implied_mass', 'avg_mass', 'mass_consistency')})",
     "v_physics_complete": " UNION ALL ".join(
         f"SELECT '{k}' AS check_type, count(*) FILTER ({bad}) AS n_violations, count(*) AS n_checks FROM {t}"
@@ -246,5 +247,5 @@ def oracle(name: str, plant: bool = False) -> str:
 
     need(name)
     parts = [f"obs AS ({PLANT_SQL if plant else EVENTS})", *(f"{k} AS ({v})" for k, v in used.items())]
-    columns = ", ".join(f"round({c[1:]}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else c for c in VIEWS[name][1])
+    columns = ", ".join(f"round({c[1:]} + {SHIFT}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else c for c in VIEWS[name][1])
     return f"WITH {', '.join(parts)} SELECT {columns} FROM {name}"
