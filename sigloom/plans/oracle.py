@@ -232,6 +232,18 @@ CTE: dict[str, str] = {
     "p_derivatives": f"SELECT *, dy - lag(dy) OVER {W} AS d2y FROM (SELECT *, y - lag(y) OVER {W} AS dy FROM obs)",
     "rich": f"SELECT o.*, I - lag(I) OVER {W} AS step, y - lag(y) OVER {W} AS move, median(y) OVER (PARTITION BY {K}) AS centre, sign(y) <> sign(lag(y) OVER {W}) AS flip, max(y) OVER (PARTITION BY {K}) - min(y) OVER (PARTITION BY {K}) AS width FROM obs o",
     "p_typology_complete": f"SELECT *, CASE WHEN cv_step < 0.01 THEN 'regular' WHEN cv_step < 0.5 THEN 'irregular' ELSE 'sparse' END AS index_continuity, CASE WHEN unique_ratio < 0.05 THEN 'discrete' WHEN unique_ratio < 0.5 THEN 'mixed' ELSE 'continuous' END AS amplitude_continuity, CASE WHEN frac_up >= 0.95 THEN 'increasing' WHEN frac_down >= 0.95 THEN 'decreasing' ELSE 'non_monotonic' END AS monotonicity, CASE WHEN sparsity > 0.5 THEN 'sparse' ELSE 'dense' END AS sparsity_class, CASE WHEN width < 10 * std THEN 'bounded' ELSE 'unbounded' END AS boundedness, CASE WHEN abs(mean) > std THEN 'power' ELSE 'energy' END AS energy_class, abs(mean) > 0.1 * std AS has_dc, abs(drift) > 0.5 AS has_trend FROM (SELECT {K}, count(y) AS n_points, avg(y) AS mean, stddev_pop(y) AS std, {skew('y')} AS skewness, {kurt('y')} AS kurtosis, {div('count(DISTINCT y)', 'count(y)')} AS unique_ratio, {div('stddev_pop(step)', 'avg(step)')} AS cv_step, {div('count(*) FILTER (move > 0)', 'count(move)')} AS frac_up, {div('count(*) FILTER (move < 0)', 'count(move)')} AS frac_down, count(*) FILTER (flip) AS n_zero_crossings, max(width) AS width, avg(y * y) AS energy, {corr('I', 'y')} AS drift, {div('count(*) FILTER (abs(y - centre) <= 0.001 * width)', 'count(y)')} AS sparsity FROM rich GROUP BY ALL)",
+    # measures without a kernel
+    "cells": f"SELECT o.*, least(floor(coalesce({div('y - y_min', 'y_range')}, 0) * 20), 19) AS c20, least(floor(coalesce({div('y - y_min', 'y_range')}, 0) * 10), 9) AS c10 FROM obs o JOIN v_stats_global USING ({K})",
+    "met": "SELECT a.entity_id, a.signal_id AS signal_a, b.signal_id AS signal_b, a.c20 AS x, b.c20 AS z FROM cells a JOIN cells b ON a.entity_id = b.entity_id AND a.I = b.I AND a.signal_id < b.signal_id",
+    "e_mutual_info": f"SELECT *, {div('mutual_info', 'least(ha, hb)')} AS normalized_mi FROM (SELECT *, greatest(0, ha + hb - hab) AS mutual_info FROM (SELECT {AB}, entropy(x) AS ha, entropy(z) AS hb, entropy(x || '/' || z) AS hab FROM met GROUP BY ALL))",
+    "stepped": f"SELECT * FROM (SELECT {K}, I, c10 AS c, lag(c10) OVER {W} AS p FROM cells) WHERE p IS NOT NULL",
+    "e_transfer_entropy": "SELECT *, transfer_entropy / log2(10) AS normalized_te FROM (SELECT a.entity_id, a.signal_id AS source, b.signal_id AS target, greatest(0, entropy(b.c || '/' || b.p) + entropy(b.p || '/' || a.p) - entropy(b.p) - entropy(b.c || '/' || b.p || '/' || a.p)) AS transfer_entropy FROM stepped a JOIN stepped b ON a.entity_id = b.entity_id AND a.I = b.I AND a.signal_id <> b.signal_id GROUP BY ALL)",
+    "e_running_laplace": f"SELECT {K}, I, s, coalesce({div(f'sum(y * exp(-s * tau) * dt) OVER (PARTITION BY {K}, s ORDER BY I ROWS UNBOUNDED PRECEDING)', 'tau')}, 0) AS field FROM (SELECT *, I - min(I) OVER (PARTITION BY {K}) AS tau, coalesce(I - lag(I) OVER {W}, 0) AS dt FROM obs), (VALUES (0.001::DOUBLE), (0.003), (0.01), (0.03), (0.1), (0.3), (1.0), (3.0)) t(s)",
+    "by_s": f"SELECT {K}, s, avg(abs(field)) AS m, sum(field * field) AS e FROM e_running_laplace GROUP BY ALL",
+    "e_laplace_summary": f"SELECT * FROM (SELECT {K}, sum(e) AS field_energy, arg_max(s, round(m, 9)) AS dominant_s FROM by_s GROUP BY ALL) JOIN (SELECT {K}, coalesce(sum(d2y), 0) AS field_divergence FROM v_points GROUP BY ALL) USING ({K})",
+    "e_extras": f"SELECT {K}, sqrt(sum(r * r)) AS realized_volatility, {div('covar_pop(I, away)', 'var_pop(I)')} AS hd_slope, avg((dy * dy + (y - mu) * (y - mu)) / 2) AS mean_hamiltonian FROM (SELECT *, y - lag(y) OVER {W} AS r, abs(y - first_value(y) OVER {W}) AS away, avg(y) OVER (PARTITION BY {K}) AS mu FROM v_points) GROUP BY ALL",
+    "placed": f"SELECT {K}, y, row_number() OVER {W} AS pos, lead(y) OVER {W} AS nxt FROM obs",
+    "e_layer_pairs": f"SELECT a.entity_id, a.signal_id AS signal_a, b.signal_id AS signal_b, count(*) AS n_points, {corr('a.y', 'b.y')} AS correlation, 0.5 * abs({corr('a.y', 'b.nxt')}) AS te_proxy_ab, 0.5 * abs({corr('b.y', 'a.nxt')}) AS te_proxy_ba FROM placed a JOIN placed b ON a.entity_id = b.entity_id AND a.pos = b.pos AND a.signal_id < b.signal_id GROUP BY ALL",
 }
 
 
