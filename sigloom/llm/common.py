@@ -120,7 +120,7 @@ def powers(base: int, n: int) -> np.ndarray:
         factors = np.full(size, base, np.uint64)
         factors[0] = 1
         made = np.multiply.accumulate(factors)
-        if size > 1 << 24:  # not kept: one huge document must not hold memory for good
+        if size > 1 << 22:  # not kept: one huge document must not hold memory for good
             return made[:n]
         _powers[base] = made
     return _powers[base][:n]

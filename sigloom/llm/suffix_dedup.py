@@ -37,9 +37,9 @@ from sigloom.llm import common as C
 from sigloom.llm.near_duplicates import borders, grouped
 
 LENGTH, K = 50, 24
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Strings for a key range, and in a batch of a range.
-RANGE_STRINGS, BATCH_STRINGS = 3 << 20, 1 << 19
+RANGE_STRINGS, BATCH_STRINGS = 4 << 20, 1 << 18
 NO_ID = (1 << 63) - 1
 
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, offsets binary, blob binary"
@@ -194,19 +194,22 @@ def _send_contexts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, offsets, blob = (batch.column(c)[row].as_buffer() for c in ("ids", "offsets", "blob"))
-                chunk = Chunk(ids, offsets, blob)
-                x = chunk.contexts(_wanted(batch.column("answers")[row].as_py()), bits)
-                first = x["first"]
-                lo, n, part, doc = x["lo"][first], x["hi"][first] - x["lo"][first] + chunk.length, x["part"][first], x["id"][first]
-                # bytes of all contexts, one after the other
-                flat = chunk.data[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
-                cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                name = batch.column("chunk")[row].as_py()
-                for a, b in zip(cut[:-1], cut[1:]):
-                    values = [[int(part[a])], [name], [n[a:b].astype("<u2").tobytes()], [doc[a:b].astype("<i8").tobytes()], [flat[ends[a] : ends[b]].tobytes()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], ["g", "chunk", "lengths", "ids", "text"])
+                yield from one(batch, row)
+
+    def one(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+        ids, offsets, blob = (batch.column(c)[row].as_buffer() for c in ("ids", "offsets", "blob"))
+        chunk = Chunk(ids, offsets, blob)
+        x = chunk.contexts(_wanted(batch.column("answers")[row].as_py()), bits)
+        first = x["first"]
+        lo, n, part, doc = x["lo"][first], x["hi"][first] - x["lo"][first] + chunk.length, x["part"][first], x["id"][first]
+        # bytes of all contexts, one after the other
+        flat = chunk.data[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
+        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        name = batch.column("chunk")[row].as_py()
+        for a, b in zip(cut[:-1], cut[1:]):
+            values = [[int(part[a])], [name], [n[a:b].astype("<u2").tobytes()], [doc[a:b].astype("<i8").tobytes()], [flat[ends[a] : ends[b]].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], ["g", "chunk", "lengths", "ids", "text"])
 
     return run
 
@@ -240,25 +243,28 @@ class Family:
             self.levels.append(both[np.append(True, both[1:] != both[:-1])])
 
 
-def earlier(codes: np.ndarray, ids: np.ndarray, batch: int = BATCH_STRINGS) -> np.ndarray:
-    """Which suffixes also start in a document with a smaller id: batches in order of ids, through a family of levels."""
-    out = np.zeros(len(codes), bool)
+def batches_of(ids: np.ndarray, strings: np.ndarray, most: int = BATCH_STRINGS) -> Iterator[np.ndarray]:
+    """Contexts in batches of ascending ids; a batch ends where an id ends, after so many strings at the least."""
     order = np.argsort(ids, kind="stable")
-    ids_in = ids[order]
-    family, at = Family(), 0
+    ends = np.append(np.flatnonzero(ids[order][1:] != ids[order][:-1]) + 1, len(order))
+    total = np.cumsum(strings[order])[ends - 1]
+    at, done = 0, 0
     while at < len(order):
-        # a batch ends where an id ends
-        to = int(np.searchsorted(ids_in, ids_in[min(at + batch, len(order)) - 1], side="right"))
-        here = order[at:to]
-        mine = codes[here]
-        rank = np.lexsort((ids[here], mine)) if ids_in[at] != ids_in[to - 1] else np.argsort(mine, kind="stable")
-        mine, who = mine[rank], ids[here][rank]
-        first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mine))))
-        known = family.seen(mine[first])
-        out[here[rank]] = known[group] | (who > who[first][group])
-        family.add(mine[first][~known])
-        at = to
+        to = int(ends[min(np.searchsorted(total, done + most), len(ends) - 1)])
+        yield order[at:to]
+        at, done = to, int(total[np.searchsorted(ends, to)])
+
+
+def earlier(family: Family, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which suffixes of a batch also start in a document with a smaller id, in the batch or before it; adds the batch."""
+    rank = np.lexsort((ids, codes))
+    mine, who = codes[rank], ids[rank]
+    first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mine))))
+    known = family.seen(mine[first])
+    out = np.zeros(len(codes), bool)
+    out[rank] = known[group] | (who > who[first][group])
+    family.add(mine[first][~known])
     return out
 
 
@@ -275,11 +281,16 @@ def _scan(length: int):
             data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("text")])
             n = np.concatenate(lengths)
             strings = n - length + 1
-            begin = np.cumsum(n) - n
-            at = np.arange(int(strings.sum())) + np.repeat(begin - (np.cumsum(strings) - strings), strings)
-            prefix = C.prefix_hash(data)
-            codes = C.mix((prefix[at + length] - prefix[at]) * C.powers(C._RINV, len(prefix))[at])
-            hit = earlier(codes, np.repeat(ids, strings))
+            begin, place = np.cumsum(n) - n, np.cumsum(strings) - strings
+            hit, family = np.zeros(int(strings.sum()), bool), Family()
+            for batch in batches_of(ids, strings):
+                m, k = n[batch], strings[batch]
+                text = data[np.arange(int(m.sum())) + np.repeat(begin[batch] - (np.cumsum(m) - m), m)]
+                i = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                at = i + np.repeat(np.cumsum(m) - m, k)
+                prefix = C.prefix_hash(text)
+                codes = C.mix((prefix[at + length] - prefix[at]) * C.powers(C._RINV, len(prefix))[at])
+                hit[i + np.repeat(place[batch], k)] = earlier(family, codes, np.repeat(ids[batch], k))
             ends = np.concatenate([[0], np.cumsum([int((x - length + 1).sum()) for x in lengths])])
             bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([part.column("chunk").combine_chunks(), part.column("g").combine_chunks(), pa.array(bits, pa.binary())], ["chunk", "g", "bits"])
@@ -296,46 +307,49 @@ def _mark(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, offsets, blob = (batch.column(c)[row].as_buffer() for c in ("ids", "offsets", "blob"))
-                chunk = Chunk(ids, offsets, blob)
-                x = chunk.contexts(_wanted(batch.column("answers")[row].as_py()), bits)
-                n = len(chunk.data)
-                steps = np.zeros(n + 1, np.int64)
-                if len(x["first"]):
-                    # the answers' bits stand in the order of the different contexts, range by range
-                    strings = x["hi"] - x["lo"] + 1
-                    part, own = x["part"][x["first"]], strings[x["first"]]
-                    hit = np.zeros(int(own.sum()), bool)
-                    ends = np.concatenate([[0], np.cumsum(own)])
-                    for answer in batch.column("marks")[row].as_py() or []:
-                        a, b = np.searchsorted(part, [answer["g"], answer["g"] + 1])
-                        hit[ends[a] : ends[b]] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=int(ends[b] - ends[a]))
-                    at = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
-                    of = np.repeat(x["of"], strings)
-                    copy = np.repeat(x["id"] > x["id"][x["first"]][x["of"]], strings)
-                    gone = (hit[ends[of] + at] | copy).nonzero()[0]
-                    start = (np.repeat(x["lo"], strings) + at)[gone]
-                    steps += np.bincount(start, minlength=n + 1) - np.bincount(start + chunk.length, minlength=n + 1)
-                removed = np.cumsum(steps[:n]) > 0
-                edge = np.diff(np.concatenate([[0], removed.view(np.int8), [0]]))
-                opens, closes = edge[:-1] == 1, edge[1:] == -1
-                inner = chunk.offsets[1:-1]
-                inner = inner[(inner > 0) & (inner < n)]
-                opens[inner] |= removed[inner]
-                closes[inner - 1] |= removed[inner - 1]
-                opens, closes = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-                bounds = np.searchsorted(opens, chunk.offsets)
-                data, spans, shas = blob.to_pybytes(), [], []
-                for d, (a, b) in enumerate(zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())):
-                    here = list(zip(opens[bounds[d] : bounds[d + 1]].tolist(), closes[bounds[d] : bounds[d + 1]].tolist()))
-                    sha, at = hashlib.sha256(), a
-                    for s, e in here:
-                        sha.update(data[at:s])
-                        at = e
-                    sha.update(data[at:b])
-                    shas.append(sha.hexdigest())
-                    spans.append([{"start": s - a, "end": e - a} for s, e in here])
-                yield pa.RecordBatch.from_arrays([pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(np.diff(chunk.offsets)), pa.array(spans, kind), pa.array(shas)], ["doc_id", "n_bytes", "spans", "kept_sha256"])
+                yield one(batch, row)
+
+    def one(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        ids, offsets, blob = (batch.column(c)[row].as_buffer() for c in ("ids", "offsets", "blob"))
+        chunk = Chunk(ids, offsets, blob)
+        x = chunk.contexts(_wanted(batch.column("answers")[row].as_py()), bits)
+        n = len(chunk.data)
+        steps = np.zeros(n + 1, np.int64)
+        if len(x["first"]):
+            # the answers' bits stand in the order of the different contexts, range by range
+            strings = x["hi"] - x["lo"] + 1
+            part, own = x["part"][x["first"]], strings[x["first"]]
+            hit = np.zeros(int(own.sum()), bool)
+            ends = np.concatenate([[0], np.cumsum(own)])
+            for answer in batch.column("marks")[row].as_py() or []:
+                a, b = np.searchsorted(part, [answer["g"], answer["g"] + 1])
+                hit[ends[a] : ends[b]] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=int(ends[b] - ends[a]))
+            at = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
+            of = np.repeat(x["of"], strings)
+            copy = np.repeat(x["id"] > x["id"][x["first"]][x["of"]], strings)
+            gone = (hit[ends[of] + at] | copy).nonzero()[0]
+            start = (np.repeat(x["lo"], strings) + at)[gone]
+            steps += np.bincount(start, minlength=n + 1) - np.bincount(start + chunk.length, minlength=n + 1)
+        removed = np.cumsum(steps[:n]) > 0
+        edge = np.diff(np.concatenate([[0], removed.view(np.int8), [0]]))
+        opens, closes = edge[:-1] == 1, edge[1:] == -1
+        inner = chunk.offsets[1:-1]
+        inner = inner[(inner > 0) & (inner < n)]
+        opens[inner] |= removed[inner]
+        closes[inner - 1] |= removed[inner - 1]
+        opens, closes = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        bounds = np.searchsorted(opens, chunk.offsets)
+        data, spans, shas = blob.to_pybytes(), [], []
+        for d, (a, b) in enumerate(zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())):
+            here = list(zip(opens[bounds[d] : bounds[d + 1]].tolist(), closes[bounds[d] : bounds[d + 1]].tolist()))
+            sha, at = hashlib.sha256(), a
+            for s, e in here:
+                sha.update(data[at:s])
+                at = e
+            sha.update(data[at:b])
+            shas.append(sha.hexdigest())
+            spans.append([{"start": s - a, "end": e - a} for s, e in here])
+        return pa.RecordBatch.from_arrays([pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(np.diff(chunk.offsets)), pa.array(spans, kind), pa.array(shas)], ["doc_id", "n_bytes", "spans", "kept_sha256"])
 
     return run
 

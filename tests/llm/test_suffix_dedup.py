@@ -63,7 +63,11 @@ def test_family(batch):
     r = np.random.default_rng(1)
     codes, ids = r.integers(0, 300, 2000).astype(np.uint64), r.integers(0, 120, 2000)
     want = [ids[codes == c].min() < i for c, i in zip(codes, ids)]
-    assert S.earlier(codes, ids, batch).tolist() == want
+    got, family, seen = np.zeros(2000, bool), S.Family(), []
+    for rows in S.batches_of(ids, np.ones(2000, int), batch):
+        got[rows] = S.earlier(family, codes[rows], ids[rows])
+        seen += [ids[rows].min(), ids[rows].max()]
+    assert got.tolist() == want and seen == sorted(seen)
 
 
 def test_levels_are_geometric():
