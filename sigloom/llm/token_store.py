@@ -39,7 +39,7 @@ MAGIC = b"SLDAC1\0\0"
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 #: Words whose ids a worker keeps; a cache that is full starts afresh.
-CACHE_WORDS, CACHE_CORES = 1_000_000, 200_000
+CACHE_WORDS, CACHE_CORES = 1_500_000, 400_000
 BLOCK = 512
 
 
@@ -256,7 +256,7 @@ def _segments(path: str, end_id: int, by_word: bool):
             codes = encode_segment(np.concatenate(docs), np.concatenate(lengths), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), *(pa.array([x], pa.int64()) for x in (before, sum(map(len, docs)), n)), pa.array([codes], pa.binary())], ["part", "segment", "first_token", "n_docs", "n_tokens", "codes"])
 
-        for batch in C.slices(batches, most=1 << 20):
+        for batch in C.slices(batches):
             got, n = encode_slice(path, C.flat(batch, "text"), end_id, by_word)
             docs.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
             lengths.append(n)
