@@ -28,7 +28,7 @@ def convection(U: Value, L: Value, nu: Value, Pr: Value, k: Value, T_surface: Va
 def radiation(T1: Value, T2: Value, e1: Value = 1, e2: Value = 1, F12: Value = 1, A1: Value = 1) -> Column:
     b1, b2 = SIGMA * F.pow(c(T1), F.lit(4.0)), SIGMA * F.pow(c(T2), F.lit(4.0))
     r = (1 - c(e1)) / c(e1) / c(A1) + 1 / (c(A1) * c(F12)) + (1 - c(e2)) / c(e2) / c(A1)
-    return out(Q=(b1 - b2) / r, q=(b1 - b2) / r / c(A1), Eb1=b1, Eb2=b2, R_total=r)
+    return out(Q=(b1 - b2) / r, heat_flux=(b1 - b2) / r / c(A1), Eb1=b1, Eb2=b2, R_total=r)
 
 
 def heat_exchanger(T_h_in: Value, T_h_out: Value, T_c_in: Value, T_c_out: Value, C_h: Value, C_c: Value, UA: Value, counter: bool = True) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.operators import VIEWS, Signals
 from sigloom.operators.engines import KERNELS, apply, windowed
+from sigloom.plans import formulas
 from sigloom.plans.oracle import CTE, oracle
 from sigloom.sources.intake import event_grid, plant_grid
 
@@ -31,3 +32,6 @@ QUERIES |= {f"k_{name}": _kernel(name) for name in KERNELS}
 QUERIES |= {f"k_{name}_windows": (lambda spark, sf_dir, name=name: windowed(Signals(event_grid(spark, sf_dir)), name)) for name in ("garch_moments", "lyapunov", "wavelet")}
 #: All but the JSON texts, whose tables are checked themselves.
 ORACLES: dict[str, str] = {name: oracle(name, name in ON_PLANT) for name in VIEWS if name in CTE}
+
+QUERIES |= formulas.QUERIES
+ORACLES |= formulas.ORACLES

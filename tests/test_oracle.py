@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in entry.oracle_sql() if n.startswith(("v_", "p_"))]
+NAMES = [n for n in entry.oracle_sql() if n.startswith(("v_", "p_", "e_", "f_"))]
 
 
 @pytest.fixture(scope="module")

@@ -28,7 +28,7 @@ def test_closed_forms(spark):
     assert value(spark, C.power_law_rate(2.0, F.array(F.lit(3.0), F.lit(2.0)), F.array(F.lit(1.0), F.lit(2.0)))).rate == near(24)
     m = value(spark, C.mixed_potential(0.0, 0.5, 1e-3, 1e-4, 0.1, 0.1))
     assert m.i_corr == near(1e-4 * 10 ** ((0.5 - m.E_corr) / 0.1))
-    assert value(spark, T.radiation(500, 300)).q == near(5.670374e-8 * (500**4 - 300**4))
+    assert value(spark, T.radiation(500, 300)).heat_flux == near(5.670374e-8 * (500**4 - 300**4))
     assert value(spark, T.convection(1, 1, 1e-5, 0.7, 0.026, 350, 300)).Nu == near(0.664 * math.sqrt(1e5) * 0.7 ** (1 / 3))
     x = value(spark, T.heat_exchanger(100, 60, 20, 40, 1000, 2000, 1000))
     assert x.LMTD == near((60 - 40) / math.log(60 / 40)) and 0 < x.effectiveness < 1
