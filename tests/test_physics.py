@@ -135,3 +135,22 @@ def test_fields(spark):
     spots = U.vortex_centres(np.exp(-((x - 1) ** 2) - y**2) - np.exp(-((x + 1.5) ** 2) - y**2), 0.1, 0.1)
     assert len(spots) == 2 and {round(s["circulation"] > 0) for s in spots} == {0, 1}
     assert U.profile_error([0, 0.5, 1], [0, 1, 0], [0.25], [0.5])["passed"]
+
+
+def test_cavity_and_columns(spark):
+    from sigloom.functions.physics import cavity, columns
+
+    y, u = cavity.profile(1000)
+    assert u.min() == -0.38289 and cavity.check(y, u + 0.01, 1000)["passed"] and not cavity.check(y, u + 0.06, 1000)["passed"]
+    assert cavity.lookup(spark).where("component = 'u'").count() == 7 * 17
+    with pytest.raises(ValueError):
+        cavity.profile(7)
+    col = columns.simulate(20, 10, 0.5, 2.5, 3.0, 0.5)
+    assert col["converged"] and col["x_distillate"] > 0.9 > 0.1 > col["x_bottoms"] and (np.diff(col["x"]) < 0).all()
+    assert 0.5 * col["x_distillate"] + 0.5 * col["x_bottoms"] == pytest.approx(0.5, abs=1e-6)
+    t = columns.tray(0.5, 0.5, 1, 1, 2.5)
+    assert t["x"] + t["y"] == pytest.approx(1.0)
+    cool = columns.cooling_crystalliser(0.3, 330, 300, 0.01, 1e6, 1e-7, 2, 1, (-1.2, 0.0045, 0.0))
+    assert (np.diff(cool["C"]) <= 1e-9).all() and cool["mu0"][-1] > 0
+    with pytest.raises(ImportError):
+        columns.umap()

@@ -95,3 +95,17 @@ def test_primitives_reach_typology(spark):
     base = intake.event_grid(spark, SF)
     s = Signals(base, E.apply(Signals(base), "hurst").join(E.apply(Signals(base), "lyapunov"), ["entity_id", "signal_id"]))
     assert all(r.hurst is not None for r in s.table("v_signal_typology").collect())
+
+
+def test_domain_config(spark, tmp_path):
+    from sigloom.sources import config
+
+    (tmp_path / "d.json").write_text('{"index": {"column": "cycle", "dimension": "time"}, "entity": {"column": "unit_id"}, "signals": {"s1": {"unit": "K"}, "s2": {"unit": "psia"}, "s9": {}}}')
+    domain = config.load(spark, f"file://{tmp_path}/d.json")
+    wide = spark.createDataFrame([(1, 1, 5.0, 6.0), (1, 2, 5.5, None)], "unit_id int, cycle int, s1 double, s2 double")
+    rows = {(r.entity_id, r.signal_id, r.I): (r.y, r.unit) for r in config.melt(wide, domain).collect()}
+    assert rows["1", "s1", 2.0] == (5.5, "K") and rows["1", "s2", 1.0] == (6.0, "psia") and len(rows) == 4
+    with pytest.raises(ValueError):
+        config.melt(wide.select("cycle"), domain)
+    got = config.from_bytes(spark, b"signal_id,index,value\na,1,2.5\n").first()
+    assert (got.signal_id, got.I, got.y) == ("a", 1.0, 2.5)
