@@ -332,3 +332,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(C.table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * common >= 4 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(v, r) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v)
+SELECT t.doc_id, coalesce((SELECT min(r) FROM reach WHERE v = t.doc_id), t.doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = t.doc_id) AS n_links FROM t"""

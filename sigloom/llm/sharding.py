@@ -6,8 +6,8 @@ shards are equal slices of that sequence, so their row counts differ by one at m
 go to the files of one shard, or of two where a border falls inside it.
 
 Defined cases: a null text has no bytes; rows without an id are scattered by their text; rows that repeat an id are
-records of their own, ordered by size and text before the shuffle; an empty table gives no rows; columns named bucket,
-shard or slot in the input are refused, any others are carried along.
+records of their own, ordered by size and text before the shuffle; an empty table gives no rows; columns of the input that
+are named bucket, shard or slot give way to the operator's own, any others are carried along.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ def scatter(df: DataFrame, n_buckets: int, seed: int, key: str = "doc_id", text:
 
 def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of df, and bucket, shard and slot (gapless from 0 in each shard)."""
-    if taken := {"bucket", "shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has {sorted(taken)}")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("bucket", "shard", "slot")])
     total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
     scattered = scatter(df, n_buckets, seed, key, text)
@@ -36,9 +35,9 @@ def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key: str =
     # where each bucket begins: one row a bucket, from the id column alone
     counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select(
-        F.col("bucket").alias("of"),
-        (F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"),
-        F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
+        F.col("bucket").alias("_of"),
+        (F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("_before"),
+        F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"),
     )
 
     # One exchange: the buckets stay where it puts them, and are shuffled in their own order, so that the random numbers
@@ -50,14 +49,14 @@ def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key: str =
         .agg(F.array_sort(F.collect_list(record)).alias("rows"))
         .sortWithinPartitions("bucket")
         .withColumn("rows", F.shuffle("rows", seed))
-        .join(offsets, F.col("bucket") == F.col("of"))
-        .select("bucket", "before", "total", F.posexplode("rows").alias("at", "row"))
-        .select("bucket", "total", (F.col("before") + F.col("at")).alias("pos"), "row.r.*")
+        .join(offsets, F.col("bucket") == F.col("_of"))
+        .select("bucket", "_before", "_total", F.posexplode("rows").alias("_at", "_row"))
+        .select("bucket", "_total", (F.col("_before") + F.col("_at")).alias("_pos"), "_row.r.*")
     )
     return (
-        shuffled.withColumn("shard", F.expr(f"cast(((pos + 1) * {shards} - 1) div total as int)"))
-        .withColumn("slot", F.expr(f"pos - (shard * total) div {shards}"))
-        .drop("pos", "total")
+        shuffled.withColumn("shard", F.expr(f"cast(((_pos + 1) * {shards} - 1) div _total as int)"))
+        .withColumn("slot", F.expr(f"_pos - (shard * _total) div {shards}"))
+        .drop("_pos", "_total")
     )
 
 

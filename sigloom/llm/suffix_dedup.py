@@ -379,3 +379,16 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     return suffix_dedup(C.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Bytes as pairs of hexadecimal digits: every string of LENGTH bytes, the smallest doc_id that has it, and the runs of what goes.
+OP9_SQL = f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS x FROM (SELECT doc_id, h, unnest(range(n - {LENGTH} + 1)) AS i FROM t)),
+f AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, true) AS opens FROM s JOIN f USING (x) WHERE first < doc_id),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM r),
+q AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS runs, max(b) AS tail, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN q USING (doc_id)"""

@@ -35,8 +35,8 @@ def test_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a", "x"), (None, "a", "x"), (None, None, None), (1, "b", "x"), (1, "b", "x"), (1, "c", "x")], SCHEMA)
     got = S.external_shuffle(df).collect()
     assert len(got) == 6 and len({(r.shard, r.slot) for r in got}) == 6
-    with pytest.raises(ValueError):
-        S.external_shuffle(df.withColumnRenamed("source", "Shard"))
+    clash = S.external_shuffle(df.withColumnRenamed("source", "Shard").selectExpr("*", "1 AS total", "2 AS pos", "3 AS rows", "4 AS n", "'b' AS bucket"))
+    assert clash.columns == ["bucket", "doc_id", "text", "total", "pos", "rows", "n", "shard", "slot"] and {r.total for r in clash.collect()} == {1}
 
 
 def test_write(spark, tmp_path):
