@@ -236,3 +236,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def _words_sql(name: str, key: str, table: str) -> str:
+    """Canonical words of a table: place, code, kind and value; a sign that stands alone passes on that a sentence begins."""
+    edge, stop = r"""["'`.,;:!?()\[\]{}<>*#$%&|\-_~^/\\=+@]""".replace("'", "''"), "[.!?:;|]$"
+    return f"""
+{name}0 AS (SELECT k, unnest(w) AS raw, unnest(range(len(w))) AS i FROM (SELECT {key} AS k, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})),
+{name}1 AS (SELECT *, regexp_replace(regexp_replace(raw, '^{edge}+', ''), '{edge}+$', '') AS s, coalesce(regexp_matches(lag(raw) OVER (PARTITION BY k ORDER BY i), '{stop}'), true) AS b FROM {name}0),
+{name}2 AS (SELECT *, count(*) FILTER (s <> '') OVER (PARTITION BY k ORDER BY i) - (s <> '')::BIGINT AS nth FROM {name}1),
+{name}3 AS (SELECT k, nth AS i, max(s) AS s, bool_or(b) AS b FROM {name}2 GROUP BY k, nth HAVING max(s) <> ''),
+{name}4 AS (SELECT *, regexp_full_match(s, '[0-9][0-9.,:/]*') AS num FROM {name}3),
+{name}5 AS (SELECT k, i, lower(s) AS v, CASE WHEN num THEN 1 WHEN coalesce(lag(num) OVER (PARTITION BY k ORDER BY i), false) AND lower(s) IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN 3
+  WHEN NOT b AND regexp_matches(s, '^[A-ZÀ-ÖØ-Þ]') AND len(regexp_extract_all(s, '[A-ZÀ-ÖØ-Þ]')) = 1 AND octet_length(encode(s)) > 1 THEN 2 ELSE 0 END AS kind FROM {name}4),
+{name} AS (SELECT k, i, kind, v, CASE kind WHEN 0 THEN v ELSE chr(1) || kind END AS code FROM {name}5)"""
+
+
+def _windows_sql(name: str, words: str) -> str:
+    ahead = " || ' ' || ".join(["code", *(f"CASE WHEN size > {j} THEN coalesce(lead(code, {j}) OVER o, chr(2)) ELSE '' END" for j in range(1, WINDOW))])
+    literal = " + ".join(f"CASE WHEN size > {j} AND coalesce(lead(kind, {j}) OVER o, 1) = 0 THEN 1 ELSE 0 END" for j in range(WINDOW))
+    return f"{name} AS (SELECT * FROM (SELECT k, i, size, {ahead} AS win, {literal} AS literals FROM {words}, sizes WINDOW o AS (PARTITION BY k, size ORDER BY i)) WHERE literals >= {LITERALS} AND NOT contains(win, chr(2)))"
+
+
+OP8_SQL = f"""
+WITH {_words_sql("d", "doc_id", "documents")}, {_words_sql("b", "item_id", "(SELECT DISTINCT item_id, text FROM benchmark)")},
+bn AS (SELECT k, count(*) AS n FROM b GROUP BY k),
+sizes AS (SELECT DISTINCT least(n, {WINDOW}) AS size FROM bn WHERE n >= {LITERALS}),
+{_windows_sql("dw", "d")}, {_windows_sql("bw", "b")},
+hit AS (SELECT DISTINCT dw.k AS doc_id, bw.k AS item_id, n, bw.i AS pos, dw.i - bw.i AS shift, bw.size FROM dw JOIN bw USING (size, win) JOIN bn ON bn.k = bw.k WHERE bw.size = least(n, {WINDOW})),
+part AS (SELECT DISTINCT doc_id, item_id, n, shift, unnest(range(pos, pos + size)) AS p FROM hit),
+slot AS (SELECT DISTINCT doc_id, item_id, shift, b.kind, b.v AS x, d.v AS z FROM part JOIN b ON b.k = item_id AND b.i = p JOIN d ON d.k = doc_id AND d.i = p + shift WHERE b.kind > 0),
+bad AS (SELECT doc_id, item_id, shift FROM slot GROUP BY ALL HAVING count(*) > count(DISTINCT (kind, x)) OR count(*) > count(DISTINCT (kind, z))),
+good AS (SELECT * FROM part ANTI JOIN bad USING (doc_id, item_id, shift)),
+changed AS (SELECT doc_id, item_id, count(DISTINCT (kind, x)) AS n_changed FROM slot ANTI JOIN bad USING (doc_id, item_id, shift) WHERE x <> z GROUP BY ALL)
+SELECT doc_id, item_id, n::INTEGER AS n_words, count(DISTINCT p)::INTEGER AS n_covered, coalesce(any_value(n_changed), 0)::INTEGER AS n_changed, count(DISTINCT p) / n::DOUBLE AS share
+FROM good LEFT JOIN changed USING (doc_id, item_id) GROUP BY doc_id, item_id, n HAVING count(DISTINCT p) / n::DOUBLE >= {SHARE}"""

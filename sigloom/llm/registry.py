@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": near_duplicates.OP2_SQL, "op9_suffix_dedup": suffix_dedup.OP9_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_repetition_coverage": quality_rules.OP10_SQL}
+    return {"op2_jaccard_join": near_duplicates.OP2_SQL, "op8_decontamination": decontamination.OP8_SQL, "op9_suffix_dedup": suffix_dedup.OP9_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_repetition_coverage": quality_rules.OP10_SQL}
