@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sigloom.functions.physics.base import SIGMA, R, Value, c, out, over, pick
+from sigloom.functions.physics.base import SIGMA, R, Value, c, out, pick
 
 
 def convection(U: Value, L: Value, nu: Value, Pr: Value, k: Value, T_surface: Value, T_fluid: Value, geometry: str = "plate") -> Column:

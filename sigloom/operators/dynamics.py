@@ -11,14 +11,21 @@ AT = "entity_id signal_id I"
 S = "entity_id signal_id"
 
 
+def _changes(s: Signals):
+    """All points with the jump from the last point that has a curvature; those without one have no jump and no change."""
+    if "changes" not in s.made:
+        before, valid = by_index().rowsBetween(W.unboundedPreceding, -1), F.col("kappa").isNotNull()
+        m = s["v_points"].withColumns({f"{c}_prev": F.last(F.when(valid, F.col(c)), ignorenulls=True).over(before) for c in ("dy", "d2y")})
+        m = m.join(s["v_derivative_stats"].select(*KEY, "dy_median_abs", "d2y_median_abs"), KEY, "left")
+        m = m.withColumns({f"{c}_jump": F.when(valid, F.abs(F.col(c) - F.col(f"{c}_prev"))) for c in ("dy", "d2y")})
+        jumps = (F.col("dy_jump") > 3 * F.col("dy_median_abs")) | (F.col("d2y_jump") > 3 * F.col("d2y_median_abs"))
+        s.made["changes"] = m.withColumns({"change_score": div("dy_jump", "dy_median_abs") + div("d2y_jump", "d2y_median_abs"), "is_regime_change": flag(jumps)})
+    return s.made["changes"]
+
+
 @view(f"{AT} ~dy ~d2y ~dy_prev ~d2y_prev ~dy_jump ~d2y_jump ~change_score is_regime_change")
 def regime_changes(s: Signals):
-    w = by_index()
-    m = s["v_curvature"].select(*KEY, "I", "dy", "d2y").withColumns({"dy_prev": F.lag("dy").over(w), "d2y_prev": F.lag("d2y").over(w)})
-    m = m.join(s["v_derivative_stats"].select(*KEY, "dy_median_abs", "d2y_median_abs"), KEY)
-    m = m.withColumns({"dy_jump": F.abs(F.col("dy") - F.col("dy_prev")), "d2y_jump": F.abs(F.col("d2y") - F.col("d2y_prev"))})
-    jumps = (F.col("dy_jump") > 3 * F.col("dy_median_abs")) | (F.col("d2y_jump") > 3 * F.col("d2y_median_abs"))
-    return m.withColumns({"change_score": div("dy_jump", "dy_median_abs") + div("d2y_jump", "d2y_median_abs"), "is_regime_change": flag(jumps)})
+    return _changes(s).where("kappa is not null")
 
 
 @view(f"{S} ~regime_boundary ~change_score regime_number")
@@ -29,10 +36,8 @@ def regime_boundaries(s: Signals):
 
 @view(f"{AT} regime_id")
 def regime_assignment(s: Signals):
-    """Changes up to each point: a running count over the series, in place of a look-up of the last boundary."""
-    changed = s["v_regime_changes"].select(*KEY, "I", "is_regime_change")
-    points = s["v_points"].join(changed, [*KEY, "I"], "left")
-    return points.withColumn("regime_id", F.count_if(flag(F.col("is_regime_change"))).over(by_index().rowsBetween(W.unboundedPreceding, 0)))
+    """Changes up to each point: a running count over the series, in place of a look-up of the last boundary, and without a join."""
+    return _changes(s).withColumn("regime_id", F.count_if("is_regime_change").over(by_index().rowsBetween(W.unboundedPreceding, 0)))
 
 
 @view(f"{S} regime_id regime_length ~regime_start ~regime_end ~regime_mean ~regime_std ~regime_min ~regime_max ~regime_avg_velocity ~regime_avg_curvature")
