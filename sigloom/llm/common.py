@@ -5,7 +5,6 @@ Words are maximal runs of bytes other than space and \\t..\\r; bytes of other UT
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator

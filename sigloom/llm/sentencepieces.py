@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sigloom.llm import common as C
 from sigloom.llm.token_counts import public
