@@ -109,10 +109,9 @@ def signal_typology(s: Signals):
 NEEDS = "needs_hurst needs_lyapunov needs_fft needs_garch needs_wavelet needs_rqa needs_sample_entropy"
 
 
-@view(f"{S} signal_class {NEEDS}", "v_prism_requests")
 @view(f"{S} signal_class {NEEDS}")
 def work_order(s: Signals):
-    """Which kernels to run on each signal."""
+    """Which kernels to run on each signal: the requests view of the inventory (number 43)."""
     n = s["v_stats_global"].select(*KEY, F.col("n_points").alias("n_all"))
     t = s["v_signal_typology"].join(n, KEY, "left")
     steady = (F.col("signal_class") == "analog") & ~F.col("is_periodic")

@@ -108,7 +108,7 @@ CTE: dict[str, str] = {
     "v_chaos_proxy": f"SELECT *, coalesce(sensitivity_ratio > 2 AND curvature_variability > 1.5, false) AS chaos_suspected FROM (SELECT {K}, avg({div('abs(d2y)', 'abs(dy)')}) AS sensitivity_ratio, {div('stddev(kappa)', 'avg(kappa)')} AS curvature_variability FROM v_curvature GROUP BY ALL)",
     "v_signal_typology": f"SELECT * EXCLUDE (n_points), crossing_rate AS mean_crossing_rate, CAST(NULL AS DOUBLE) AS hurst, CAST(NULL AS DOUBLE) AS lyapunov, CASE WHEN is_periodic THEN 'periodic' WHEN signal_class = 'digital' THEN 'discrete' WHEN signal_class = 'event' THEN 'event' WHEN chaos_suspected THEN 'chaotic' WHEN persistence_class = 'trending' AND monotonicity > 0.6 THEN 'trending_strong' WHEN persistence_class = 'trending' THEN 'trending_weak' WHEN persistence_class = 'mean_reverting' AND is_mean_reverting THEN 'mean_reverting' WHEN persistence_class = 'random' THEN 'random_walk' WHEN is_stationary THEN 'stationary' ELSE 'unclassified' END AS behavioral_type FROM v_signal_class LEFT JOIN v_trend_detection USING ({K}) LEFT JOIN v_mean_reversion USING ({K}) LEFT JOIN v_stationarity USING ({K}) LEFT JOIN v_volatility_clustering USING ({K}) LEFT JOIN v_persistence USING ({K}) LEFT JOIN v_chaos_proxy USING ({K})",
     "v_work_order": f"SELECT t.*, coalesce(signal_class = 'analog' AND NOT is_periodic, false) AS needs_hurst, coalesce(signal_class = 'analog' AND NOT is_periodic, false) AS needs_sample_entropy, coalesce(chaos_suspected, false) AS needs_lyapunov, signal_class = 'periodic' OR is_periodic AS needs_fft, coalesce(has_volatility_clustering, false) AS needs_garch, coalesce(signal_class IN ('analog', 'periodic') AND NOT is_stationary, false) AS needs_wavelet, coalesce(chaos_suspected AND n_points > 500, false) AS needs_rqa FROM v_signal_typology t LEFT JOIN v_stats_global USING ({K})",
-    "v_prism_requests": "SELECT * FROM v_work_order", "v_typology_complete": "SELECT * FROM v_work_order",
+    "v_typology_complete": "SELECT * FROM v_work_order",
     # geometry
     "ab": "SELECT a.entity_id, a.signal_id AS signal_a, b.signal_id AS signal_b, a.I, a.y AS ya, b.y AS yb, a.dy AS va, b.dy AS vb, a.d2y AS aa, b.d2y AS ba FROM v_points a JOIN v_points b ON a.entity_id = b.entity_id AND a.I = b.I AND a.signal_id < b.signal_id",
     "v_correlation_matrix": f"SELECT {AB}, {corr('ya', 'yb')} AS pearson_correlation, count(*) AS n_overlap FROM ab GROUP BY ALL HAVING count(*) > 50",
