@@ -155,11 +155,13 @@ class Words:
 
     A word is what stands between blanks or line ends. Words are known by 64-bit hashes; one that is new is looked up
     without its tail and, if it is ASCII, in lower case, and only what is new then is encoded. All else is in NumPy.
+    Special strings match by case, so a word that holds one in lower case only is encoded as it stands.
     """
 
     def __init__(self, path: str):
         self.encode, self.cores, self.tails = tokenizer(path), {}, {"": b""}
-        self.whole = tuple(s.encode() for s in (*_specials(path), BETWEEN))
+        self.specials = _specials(path)
+        self.whole = tuple(s.encode() for s in (*self.specials, BETWEEN))
         (self.between,) = self.encode.encode(BETWEEN, add_special_tokens=False).ids
         self.forget()
 
@@ -187,7 +189,8 @@ class Words:
             core = word.rstrip(TAILS)
             if not core or not core[-1].isalpha():
                 core = word
-            parts.append((core.lower() if core.isascii() else core, word[len(core) :]))
+            low = core.lower() if core.isascii() else core
+            parts.append((core if any(s in low for s in self.specials) else low, word[len(core) :]))
         cores, tails = self.cores, self.tails
         new = list({c for c, _ in parts} - cores.keys())
         cores.update(zip(new, self.fresh(new)))

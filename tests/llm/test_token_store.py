@@ -41,6 +41,12 @@ def test_words_equal_whole_texts(monkeypatch):
     assert [x for i in range(0, len(texts), 3) for x in encoded(texts[i : i + 3], True)] == whole
 
 
+def test_special_strings_in_other_case():
+    words = [w for s in ("<|endoftext|>", "<|startoftext|>") for w in (s.upper(), s.title(), f"x{s.upper()}y", f"{s.title()}.", f"({s.upper()},", s.upper()[:-1], s.upper() + s.title(), f"É{s.upper()}")]
+    texts = [*words, " ".join(words), "\n".join(words), *(f"A {w} {s}" for w in words for s in ("<|endoftext|>", "b"))]
+    assert encoded(texts, True) == encoded(texts, False)
+
+
 def test_store(spark):
     rows = [(i * 3, " ".join(WORDS[: i % len(WORDS)]) * (i % 9), "c", None) for i in range(300)] + [(None, "no id", None, None), (3, "again", None, None), (3, "again", None, None), (700, None, None, None)]
     out = C.work_dir(spark, "store")
