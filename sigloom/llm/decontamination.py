@@ -8,7 +8,12 @@ different values of a kind stay different. Consistent alignments are put togethe
 cover SHARE of the item's words, so a question with other numbers or names is found, and one with a phrase in common is not.
 
 Items of fewer words than WINDOW are one window of their own length; those with fewer than LITERALS words that are no
-placeholders are too short to be told and are left out.
+placeholders have no template. Whether a word begins a sentence, and so is no name, depends on what stands before the item.
+
+So exact copies have a way of their own, for items of any length: windows of the words themselves, without case and the signs
+around them (quotes and stops beyond ASCII too), laid end to end over the item. A document with all of them at one shift
+holds the item word for word; a part of them counts for nothing. The figures of a pair are those of the templates where they
+cover SHARE of the item, and else those of the exact copy. An item without a word is not found.
 
 The windows of the benchmark are kept by each worker as sorted hashes where there are MOST_KEPT of them at most, which is
 checked; else all windows of the documents are joined by shuffle.
@@ -19,6 +24,7 @@ id and text; equal items are each reported; other columns are ignored; an empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +51,10 @@ _CODES = C.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _is = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8))
 _EDGE = _is(b"\"'`.,;:!?()[]{}<>*#$%&|-_~^/\\=+@")
 _STOP = _is(b".!?:;|")
+_WIDE = np.sort([int.from_bytes(chr(c).encode()) for c in (0xA1, 0xAB, 0xB4, 0xB7, 0xBB, 0xBF, *range(0x2000, 0x2070), *range(0x3000, 0x3004), *range(0x3008, 0x3012), *range(0x3014, 0x3020), *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21))])
+_LEAD = _is(bytes([0xC2, 0xE2, 0xE3, 0xEF]))
+#: Keeps the hashes of exact windows apart from those of templates.
+_EXACT = np.uint64(1 << 32)
 _DIGIT, _NUMERIC, _UPPER = _is(b"0123456789"), _is(b"0123456789.,:/"), _is(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -71,8 +81,38 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNIT_CODES = _hash_words(UNITS)
 
 
+def _sign(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Whether data[at : at + size] is a sign that may stand at a word's edge."""
+    if size == 1:
+        return _EDGE[data[at]]
+    key = np.zeros(len(at), np.int64)
+    for j in range(size):
+        key = key << 8 | data[at + j]
+    return _WIDE[np.minimum(np.searchsorted(_WIDE, key), len(_WIDE) - 1)] == key
+
+
+def _bared(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that have lost their ASCII signs, without signs beyond ASCII and what stands behind those."""
+    start, end = start.copy(), end.copy()
+    live = np.flatnonzero(_LEAD[data[start]])
+    while len(live):
+        before = start[live]
+        for size in (1, 2, 3):
+            fits = live[end[live] - start[live] >= size]
+            start[fits] += size * _sign(data, start[fits], size)
+        live = live[start[live] > before]
+    live = np.flatnonzero((end - start >= 2) & (data[end - 1] >= 0x80) & (_LEAD[data[end - 2]] | _LEAD[data[np.maximum(end - 3, 0)]]))
+    while len(live):
+        before = end[live]
+        for size in (1, 2, 3):
+            fits = live[end[live] - start[live] >= size]
+            end[fits] -= size * _sign(data, end[fits] - size, size)
+        live = live[end[live] < before]
+    return start, end
+
+
 def canonical(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Start, end, document, kind and code (of the word or its placeholder) of each canonical word; value: hash of what stands there."""
+    """Start, end, document, kind and code (of the word or its placeholder) of each canonical word; value: hash of what stands there; plain: of what is left of it without signs beyond ASCII, if real."""
     low, capital = lower(data)
     start, end, doc = C.words(data, offsets)
     raw_end = end
@@ -99,7 +139,13 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         begins = carry
     keep = ~bare
     start, end, doc, begins = start[keep], end[keep], doc[keep], begins[keep]
-    value = C.span_hash(C.prefix_hash(low), start, end)
+    prefix = C.prefix_hash(low)
+    value = C.span_hash(prefix, start, end)
+    plain, real = value.copy(), np.ones(len(start), bool)
+    if len(start):
+        s, e = _bared(data, start, end)
+        other = np.flatnonzero((s > start) | (e < end))
+        plain[other], real[other] = C.span_hash(prefix, s[other], e[other]), s[other] < e[other]
     numeric = np.concatenate([[0], np.cumsum(_NUMERIC[data])])
     number = _DIGIT[data[start]] & (numeric[end] - numeric[start] == end - start) if len(start) else np.zeros(0, bool)
     # one capital, at the beginning: words in capitals throughout are no names, nor are single letters
@@ -111,7 +157,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         unit[1:] = (_UNIT_CODES[at] == value)[1:] & number[:-1] & (doc[1:] == doc[:-1])
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
     code = np.where(kind == LITERAL, value, _CODES[kind])
-    return {"start": start, "end": end, "doc": doc, "kind": kind, "code": code, "value": value}
+    return {"start": start, "end": end, "doc": doc, "kind": kind, "code": code, "value": value, "plain": plain, "real": real}
 
 
 def windows(x: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +172,18 @@ def windows(x: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray
     return at, C.mix(C.window_hash(x["code"], size)[at] + np.uint64(size))
 
 
+def exact_words(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each word as it stands."""
+    return x["doc"][x["real"]], x["plain"][x["real"]]
+
+
+def exact_windows(doc: np.ndarray, plain: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of each window of words as they stand."""
+    at = np.arange(max(0, len(plain) - size + 1))
+    at = at[doc[at] == doc[at + size - 1]]
+    return at, C.mix(C.window_hash(plain, size)[at] + np.uint64(size) + _EXACT)
+
+
 def _slots(x: dict[str, np.ndarray], at: np.ndarray, size: int) -> list[bytes]:
     """Kind and value of each slot of a window, nine bytes each; literals are left out."""
     n = np.concatenate([[0], np.cumsum(x["kind"] != LITERAL)])
@@ -137,7 +195,8 @@ def _slots(x: dict[str, np.ndarray], at: np.ndarray, size: int) -> list[bytes]:
     return out
 
 
-ITEM_SCHEMA = "item_id long, n_words int, size int, item_pos int, window long, item_slots binary"
+#: exact: how many exact windows the item has, and 0 for a template; the slots of an exact window are a digest of the item.
+ITEM_SCHEMA = "item_id long, n_words int, size int, item_pos int, window long, item_slots binary, exact int"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,29 +205,53 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.bincount(x["doc"], minlength=batch.num_rows)
         first = np.concatenate([[0], np.cumsum(count)])
         ids = batch.column("item_id").to_numpy(zero_copy_only=False)
+        names = ["item_id", "n_words", "size", "item_pos", "window", "item_slots", "exact"]
         for size in sorted({WINDOW, *(int(c) for c in np.unique(count) if LITERALS <= c < WINDOW)}):
             at, code = windows(x, size)
             doc = x["doc"][at]
             right = count[doc] >= WINDOW if size == WINDOW else count[doc] == size
             at, code, doc = at[right], code[right], doc[right]
             values = [ids[doc], count[doc].astype(np.int32), np.full(len(at), size, np.int32), (at - first[doc]).astype(np.int32), code.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array(_slots(x, at, size), pa.binary())], ["item_id", "n_words", "size", "item_pos", "window", "item_slots"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array(_slots(x, at, size), pa.binary()), pa.array(np.zeros(len(at), np.int32))], names)
+        owner, plain = exact_words(x)
+        n = np.bincount(owner, minlength=batch.num_rows)
+        first = np.concatenate([[0], np.cumsum(n)])
+        digests = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in batch.column("text").to_pylist()]
+        for size in sorted({min(WINDOW, int(c)) for c in np.unique(n) if c}):
+            at, code = exact_windows(owner, plain, size)
+            doc = owner[at]
+            pos = at - first[doc]
+            right = (np.minimum(n[doc], WINDOW) == size) & ((pos % size == 0) | (pos == n[doc] - size))
+            pos, code, doc = pos[right], code[right], doc[right]
+            values = [ids[doc], count[doc].astype(np.int32), np.full(len(pos), size, np.int32), pos.astype(np.int32), code.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array([digests[d] for d in doc.tolist()], pa.binary()), pa.array((-(-n[doc] // size)).astype(np.int32))], names)
 
 
 DOC_SCHEMA = "doc_id long, tie long, doc_pos int, window long, doc_slots binary"
 
 
-def _doc_windows(sizes: list[int], kept: np.ndarray | None):
+def _doc_windows(sizes: list[int], exact_sizes: list[int], kept: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             x = canonical(*C.buffers(C.flat(batch, "text")))
             first = np.searchsorted(x["doc"], np.arange(batch.num_rows))
             ids, tie = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False)
-            for size in sizes:
-                at, code = windows(x, size)
+            owner, plain = exact_words(x) if exact_sizes else (None, None)
+            for size, exact in [*((s, False) for s in sizes), *((s, True) for s in exact_sizes)]:
+                at, code = exact_windows(owner, plain, size) if exact else windows(x, size)
                 if kept is not None and len(at):
                     hit = kept[np.minimum(np.searchsorted(kept, code), len(kept) - 1)] == code
                     at, code = at[hit], code[hit]
+                if exact:
+                    doc = owner[at]
+                    if size < WINDOW:  # the whole item: one copy of it is enough
+                        order = np.lexsort((at, code, doc))
+                        new = np.ones(len(order), bool)
+                        new[1:] = (doc[order][1:] != doc[order][:-1]) | (code[order][1:] != code[order][:-1])
+                        at, code, doc = at[order[new]], code[order[new]], doc[order[new]]
+                    values = [ids[doc], tie[doc], (at - np.searchsorted(owner, doc)).astype(np.int32), code.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array([b""] * len(at), pa.binary())], ["doc_id", "tie", "doc_pos", "window", "doc_slots"])
+                    continue
                 doc = x["doc"][at]
                 values = [ids[doc], tie[doc], (at - first[doc]).astype(np.int32), code.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array(_slots(x, at, size), pa.binary())], ["doc_id", "tie", "doc_pos", "window", "doc_slots"])
@@ -191,47 +274,61 @@ def consistent(pairs: list[tuple[bytes, bytes]]) -> bool:
 MATCH_SCHEMA = "doc_id long, item_id long, n_words int, n_covered int, n_changed int, share double"
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "item_id", "n_words", "n_covered", "n_changed", "share"]
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            shifts: dict[int, list[dict]] = {}
-            for hit in row["hits"]:
-                shifts.setdefault(hit["doc_pos"] - hit["item_pos"], []).append(hit)
-            covered, changed = set(), set()
-            for hits in shifts.values():
-                if consistent([(h["item_slots"], h["doc_slots"]) for h in hits]):
-                    for h in hits:
-                        covered |= set(range(h["item_pos"], h["item_pos"] + h["size"]))
-                        changed |= {h["item_slots"][i : i + 9] for i in range(0, len(h["item_slots"]), 9) if h["item_slots"][i : i + 9] != h["doc_slots"][i : i + 9]}
-            out.append((None if row["doc_id"] == NO_ID else row["doc_id"], row["item_id"], row["n_words"], len(covered), len(changed), len(covered) / row["n_words"]))
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("n_covered", pa.int32()), ("n_changed", pa.int32()), ("share", pa.float64())]))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, most_kept: int = MOST_KEPT) -> DataFrame:
+def _verify(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "item_id", "n_words", "n_covered", "n_changed", "share"]
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                shifts: dict[int, list[dict]] = {}
+                copies: dict[tuple[int, bytes], set[int]] = {}
+                whole = False
+                for hit in row["hits"]:
+                    shift = hit["doc_pos"] - hit["item_pos"]
+                    if hit["exact"]:
+                        there = copies.setdefault((shift, hit["item_slots"]), set())
+                        there.add(hit["item_pos"])
+                        whole |= len(there) == hit["exact"]
+                    else:
+                        shifts.setdefault(shift, []).append(hit)
+                covered, changed = set(), set()
+                for hits in shifts.values():
+                    if consistent([(h["item_slots"], h["doc_slots"]) for h in hits]):
+                        for h in hits:
+                            covered |= set(range(h["item_pos"], h["item_pos"] + h["size"]))
+                            changed |= {h["item_slots"][i : i + 9] for i in range(0, len(h["item_slots"]), 9) if h["item_slots"][i : i + 9] != h["doc_slots"][i : i + 9]}
+                if whole and len(covered) / row["n_words"] < share:
+                    covered, changed = set(range(row["n_words"])), set()
+                out.append((None if row["doc_id"] == NO_ID else row["doc_id"], row["item_id"], row["n_words"], len(covered), len(changed), len(covered) / row["n_words"]))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("n_covered", pa.int32()), ("n_changed", pa.int32()), ("share", pa.float64())]))
+
+    return run
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, most_kept: int = MOST_KEPT, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_words, n_covered, n_changed (slots with another value) and share of each pair with windows in common."""
     items = C.materialise(
         benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_items, ITEM_SCHEMA).distinct(), "items"
     )
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # WINDOW different values at most
+    found = items.select("size", (F.col("exact") > 0).alias("exact")).distinct().collect()  # 2 * WINDOW rows at most
+    sizes, exact_sizes = (sorted(r["size"] for r in found if r["exact"] == exact) for exact in (False, True))
     n = items.select("window").distinct().count()
     kept = None
     if n <= most_kept:
         kept = np.sort(np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
         if not len(kept):
-            sizes = []
+            sizes = exact_sizes = []
     base = C.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
-    found = base.mapInArrow(_doc_windows(sizes, kept), DOC_SCHEMA)
-    hits = found.join(items, "window").select("doc_id", "tie", "item_id", "n_words", F.struct("doc_pos", "item_pos", "size", "doc_slots", "item_slots").alias("hit"))
+    found = base.mapInArrow(_doc_windows(sizes, exact_sizes, kept), DOC_SCHEMA)
+    hits = found.join(items, "window").select("doc_id", "tie", "item_id", "n_words", F.struct("doc_pos", "item_pos", "size", "doc_slots", "item_slots", "exact").alias("hit"))
     # hits of one document and item: as many as they have words in common
     grouped = hits.groupBy("doc_id", "tie", "item_id", "n_words").agg(F.collect_set("hit").alias("hits"))
-    return grouped.mapInArrow(_verify, MATCH_SCHEMA)
+    return grouped.mapInArrow(_verify(share), MATCH_SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The pairs in which a document holds an item."""
-    return matches(docs, benchmark).where(F.col("share") >= share)
+    return matches(docs, benchmark, share=share).where(F.col("share") >= share)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

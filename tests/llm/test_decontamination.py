@@ -38,6 +38,21 @@ def test_shuffled_windows_give_the_same(spark):
     assert run(spark, CASES, ITEMS_IN, most_kept=0) == run(spark, CASES, ITEMS_IN)
 
 
+def test_exact_copies(spark):
+    items = {
+        1: "2, 4, 8, 16, 32, 64: what comes next?", 2: "Compute 12 + 7 - 3 * 4 / 2", 3: "What is the capital city of France today?", 4: "Ann Lee", 5: "42", 6: "¿Qué es — “esto”?",
+        7: " ".join(f"{i} Word{i}" for i in range(30)) + " end", 8: "?! --",
+    }
+    docs = {i: t for j, q in items.items() for i, t in ((10 * j, f"Homework page\n{q} Then more."), (10 * j + 1, f"He said: (“{q}”)"), (10 * j + 2, q.upper()), (10 * j + 3, q), (10 * j + 4, f"about {q.split()[0]}x none"))}
+    docs[75] = items[7].replace("Word15", "other")
+    docs[76] = items[7] + " and " + items[4] + " twice " + items[4]
+    want = {(10 * j + k, j) for j in items if j < 8 for k in range(4)} | {(76, 7), (76, 4)}
+    for most in (D.MOST_KEPT, 0):
+        got = run(spark, docs.items(), items.items(), most_kept=most)
+        assert set(got) == want
+        assert all(got[pair].share == 1 for pair in want)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS_IN) == {} == run(spark, CASES, [])
 
