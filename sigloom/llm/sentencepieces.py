@@ -8,9 +8,10 @@ those scores as its heuristic, which is exact, so complete ways leave the queue
 No piece crosses from other characters to a space, and none holds a line end, so a lattice falls into units there. In bulk,
 units are known by 64-bit hashes; the new ones of a slice go through one forward and one backward Viterbi in NumPy, which
 gives their best segmentation and how much the second best loses. The N best segmentations of a text differ from the best in
-the N - 1 units that lose least, and A* is run on those, so the result is that of A* over the whole text.
+the N - 1 units that lose least, and A* is run on those, so the result is that of A* over the whole text: the ids of each of
+the N are the best ones with those of A* in the place of such units. The first is Viterbi's, which A* equals up to ties.
 
-Ties go to the longer piece at the end. Decoding joins the pieces and gives back every text exactly.
+Ties go to the longer piece at the end, and between units to the earlier one. Decoding joins the pieces and gives back every text exactly.
 
 Defined cases: a null text is empty, and an empty one has no pieces, a score of 0 and one segmentation; rows that repeat a
 doc_id are encoded each; other columns are ignored; an empty table gives no rows.
@@ -218,7 +219,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = pieces(path)
-        self.searches: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.searches: dict[tuple[int, int], tuple[tuple[int, ...], tuple[bytes, ...]]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -233,22 +234,29 @@ class Encoder:
         self.keys = joined[order]
         self.score, self.loss, self.at, self.n = (np.concatenate(x)[order] for x in ((self.score, score), (self.loss, loss), (self.at, at), (self.n, n)))
 
-    def losses(self, key: int, unit: bytes, n: int) -> tuple[int, ...]:
-        """What each of the n best segmentations of a unit loses against the best."""
+    def search(self, key: int, unit: bytes, best: bytes, n: int) -> tuple[tuple[int, ...], tuple[bytes, ...]]:
+        """Of the n best segmentations of a unit: what each loses against the best, and its ids; best: the ids of the first."""
         if (key, n) not in self.searches:
             if len(self.searches) > KEPT_SEARCHES:
                 self.searches.clear()
             found = n_best(self.model, unit.decode().replace(" ", SPACE), n)
-            self.searches[key, n] = tuple(found[0][0] - s for s, _ in found)
+            ways = [np.array(ids, "<u4").tobytes() for _, ids in found]
+            # best is one of them, or ties with all of them
+            ways = [best, *(w for w in ways if w != best)][: len(found)]
+            self.searches[key, n] = tuple(found[0][0] - s for s, _ in found), tuple(ways)
         return self.searches[key, n]
 
     def __call__(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
         """All ids, their number for each text, and the scores of each text's n best segmentations."""
+        return self.ways(texts, n)[:3]
+
+    def ways(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[bytes]]]:
+        """As __call__, and the ids of each text's n best segmentations, as bytes of four for each."""
         marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
         data, offsets = C.buffers(marked)
         n_docs = len(offsets) - 1
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(n_docs, np.int64), [[0] for _ in range(n_docs)]
+            return np.zeros(0, np.int32), np.zeros(n_docs, np.int64), [[0] for _ in range(n_docs)], [[b""] for _ in range(n_docs)]
         gap, line = data == 32, data == 10
         begins = np.zeros(len(data), bool)
         begins[1:] = gap[1:] & ~gap[:-1] | line[1:] | line[:-1]
@@ -272,19 +280,32 @@ class Encoder:
         np.cumsum(np.bincount(doc, minlength=n_docs), out=best[1:])
         sums = np.concatenate([[0], np.cumsum(self.score[hit])])
         score = sums[best[1:]] - sums[best[:-1]]
-        loss, scores = self.loss[hit], []
+        loss, scores, lists = self.loss[hit], [], []
+        coded, place = ids.astype("<u4").tobytes(), np.concatenate([[0], 4 * np.cumsum(count)])
         for d, (a, b) in enumerate(zip(best[:-1].tolist(), best[1:].tolist())):
-            ways = [0]
+            ways, found = [(0, ())], []
             if n > 1 and b > a:
                 least = loss[a:b]
-                few = np.argpartition(least, n - 2)[: n - 1] if b - a >= n else np.arange(b - a)
-                for i in few.tolist():
-                    if least[i] < NEVER:
-                        u = a + i
-                        more = self.losses(int(codes[u]), raw[start[u] : stop[u]], n)
-                        ways = heapq.nsmallest(n, (x + y for x in ways for y in more))
-            scores.append([int(score[d]) - x for x in ways])
-        return ids, np.bincount(doc, count, n_docs).astype(np.int64), scores
+                few = np.arange(b - a)
+                if b - a >= n:
+                    few = np.flatnonzero(least <= np.partition(least, n - 2)[n - 2])
+                    few = np.sort(few[np.argsort(least[few], kind="stable")[: n - 1]])
+                for i in few[least[few] < NEVER].tolist():
+                    u = a + i
+                    at, to = int(place[u]), int(place[u + 1])
+                    more, other = self.search(int(codes[u]), raw[start[u] : stop[u]], coded[at:to], n)
+                    found.append((at, to, other))
+                    ways = heapq.nsmallest(n, ((x + y, (*taken, k)) for x, taken in ways for k, y in enumerate(more)))
+            scores.append([int(score[d]) - x for x, _ in ways])
+            lists.append([])
+            for _, taken in ways:
+                parts, before = [], int(place[a])
+                for (at, to, other), k in zip(found, taken):
+                    if k:
+                        parts += [coded[before:at], other[k]]
+                        before = to
+                lists[-1].append(b"".join([*parts, coded[before : int(place[b])]]))
+        return ids, np.bincount(doc, count, n_docs).astype(np.int64), scores, lists
 
 
 @cache
@@ -302,21 +323,27 @@ def decode(path: str, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [raw[a + 1 : b] for a, b in zip(ends[:-1], ends[1:])]  # without the space before the text
 
 
-SCHEMA = "doc_id long, ids array<int>, scores array<long>"
+SCHEMA = "doc_id long, ids array<int>, scores array<long>, ways array<array<int>>"
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """doc_id, ids of the best segmentation, and the scores of the n best (fewer where there are fewer)."""
+    """doc_id, ids of the best segmentation, and the scores and the ids of the n best (fewer where there are fewer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, most=1 << 20):
-            ids, count, scores = encoder(path)(C.flat(batch, "text"), n)
-            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))), pa.array(scores, pa.list_(pa.int64()))], ["doc_id", "ids", "scores"])
+            ids, count, scores, ways = encoder(path).ways(C.flat(batch, "text"), n)
+            every = [w for x in ways for w in x]
+            inner = pa.ListArray.from_arrays(_ends([len(w) >> 2 for w in every]), pa.array(np.frombuffer(b"".join(every), "<i4")))
+            values = [pa.ListArray.from_arrays(_ends(count), pa.array(ids.astype(np.int32))), pa.array(scores, pa.list_(pa.int64())), pa.ListArray.from_arrays(_ends([len(x) for x in ways]), inner)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], ["doc_id", "ids", "scores", "ways"])
 
     return C.texts(docs).mapInArrow(run, SCHEMA)
 
 
+def _ends(sizes) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
 def decoded(coded: DataFrame, path: str) -> DataFrame:
     """doc_id and text for rows of doc_id and ids."""
 
@@ -330,28 +357,39 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-DIGEST_SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, best_score long, n_found int, scores array<long>, text_crc32 long, round_trip boolean"
+DIGEST_SCHEMA = (
+    "doc_id long, n_pieces long, ids_crc32 long, best_score long, n_found int, scores array<long>, text_crc32 long, round_trip boolean, "
+    "ways_crc32 array<long>, ways_round_trip array<boolean>"
+)
 
 
 def digest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """Encodes and decodes: counts, checksums and whether each text comes back as it was."""
+    """Encodes and decodes each of the n best: counts, checksums and whether each text comes back as it was; those without `ways` are of the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, most=1 << 20):
             texts = C.flat(batch, "text")
-            ids, count, scores = encoder(path)(texts, n)
-            back = decode(path, ids, count)
+            _, count, scores, ways = encoder(path).ways(texts, n)
             data, offsets = C.buffers(texts)
-            raw, coded = data.tobytes(), ids.astype("<u4").tobytes()
-            ends, at = (4 * np.concatenate([[0], np.cumsum(count)])).tolist(), offsets.tolist()
+            raw, at = data.tobytes(), offsets.tolist()
+            crc, same, first = [[zlib.crc32(w) for w in x] for x in ways], [[] for _ in ways], []
+            for k in range(max(map(len, ways))):  # one of each text at a time: as much memory as for the best
+                some = [d for d, x in enumerate(ways) if k < len(x)]
+                ids = np.frombuffer(b"".join([ways[d][k] for d in some]), "<u4").astype(np.int64)
+                for d, text in zip(some, decode(path, ids, np.array([len(ways[d][k]) >> 2 for d in some]))):
+                    same[d].append(text == raw[at[d] : at[d + 1]])
+                    if not k:
+                        first.append(zlib.crc32(text))
             values = [
                 pa.array(count),
-                pa.array([zlib.crc32(coded[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64()),
+                pa.array([x[0] for x in crc], pa.int64()),
                 pa.array([s[0] for s in scores], pa.int64()),
                 pa.array([len(s) for s in scores], pa.int32()),
                 pa.array(scores, pa.list_(pa.int64())),
-                pa.array([zlib.crc32(t) for t in back], pa.int64()),
-                pa.array([t == raw[a:b] for t, a, b in zip(back, at[:-1], at[1:])]),
+                pa.array(first, pa.int64()),
+                pa.array([x[0] for x in same]),
+                pa.array(crc, pa.list_(pa.int64())),
+                pa.array(same, pa.list_(pa.bool_())),
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], [x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
 

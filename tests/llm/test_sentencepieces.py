@@ -76,3 +76,34 @@ def test_rows(spark):
     assert all(r.text_crc32 == zlib.crc32((t or "").encode()) for r in got for i, t, _, _ in rows if i == r.doc_id)
     assert S.digest(spark.createDataFrame([], SCHEMA), PATH).count() == 0
     assert [(r.n_pieces, list(r.scores)) for r in got if r.doc_id in (1, 2)] == [(0, [0])] * 2
+
+
+def worth(ids):
+    """Score of a list of ids; a run of byte pieces counts for each character that it spells."""
+    model, out, run = S.pieces(PATH), 0, b""
+    is_byte = set(model.byte.tolist())
+    for i in [*ids, -1]:
+        if i in is_byte:
+            run += model.raw[i]
+            continue
+        out, run = out + model.unknown * len(run.decode()), b""
+        out += int(model.score[i]) if i >= 0 else 0
+    return out
+
+
+def test_ids_of_all_segmentations(spark):
+    r = np.random.default_rng(3)
+    texts = [t for t in TEXTS if t != "▁x"]
+    texts = ["", *texts, *("".join(r.choice(texts, 8)) for _ in range(60))]
+    rows = S.encode(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA).coalesce(1), PATH).collect()
+    digests = {r.doc_id: r for r in S.digest(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA), PATH).collect()}
+    assert len(rows) == len(texts)
+    for row in rows:
+        text, ways = texts[row.doc_id], [list(w) for w in row.ways]
+        want = S.n_best(S.pieces(PATH), S.prepared(text), S.N_BEST)
+        assert ways[0] == list(row.ids) and len({tuple(w) for w in ways}) == len(ways) == len(row.scores)
+        assert [worth(w) for w in ways] == list(row.scores) == [s for s, _ in want]
+        assert S.decode(PATH, np.array(sum(ways, []), np.int64), np.array([len(w) for w in ways])) == [text.encode()] * len(ways)
+        got = digests[row.doc_id]
+        assert got.ways_crc32 == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in ways] and got.ways_round_trip == [True] * len(ways)
+        assert got.ids_crc32 == got.ways_crc32[0]
