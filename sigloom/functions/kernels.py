@@ -198,12 +198,55 @@ def embedding(I, y):
     return {"embedding_delay": delay, "embedding_dim": max(2, min(int(math.log2(delay + 1)) + 2, 10))}
 
 
-def attractor(I, y, most=1000):
-    """Delay by the first minimum of mutual information, dimension by false neighbours, correlation dimension by counts in 20 radii."""
+def _rows(n):
+    """Blocks of rows, so that a block of distances to n vectors has some million elements."""
+    step = max(1, 2_000_000 // max(1, n))
+    return [(a, min(n, a + step)) for a in range(0, n, step)]
+
+
+def _gaps(x, y):
+    return np.sqrt(sum((x[:, None, j] - y[None, :, j]) ** 2 for j in range(x.shape[1])))
+
+
+def _pairs(x):
+    """The positive distances of all pairs, in blocks."""
+    for a, b in _rows(len(x)):
+        d = _gaps(x[a:b], x[a:])[np.arange(len(x) - a) > np.arange(b - a)[:, None]]
+        yield d[d > 0]
+
+
+def _quantiles(x, shares):
+    """Exact quantiles of those distances, and their number: digits of 16 bits, from the highest, of the ranks asked for."""
+    total = sum(len(d) for d in _pairs(x))
+    if not total:
+        return [NAN] * len(shares), 0
+    places = [q * (total - 1) for q in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    known, left = dict.fromkeys(ranks, 0), {r: r for r in ranks}
+    for shift in (48, 32, 16, 0):
+        counts = {v: np.zeros(1 << 16, np.int64) for v in known.values()}
+        for d in _pairs(x):
+            bits = d.view(np.uint64) >> np.uint64(shift)
+            for v, count in counts.items():
+                mine = bits[bits >> np.uint64(16) == v] if shift < 48 else bits
+                count += np.bincount((mine & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+        for r in ranks:
+            below = np.cumsum(counts[known[r]])
+            digit = int(np.searchsorted(below, left[r], side="right"))
+            left[r] -= int(below[digit - 1]) if digit else 0
+            known[r] = known[r] << 16 | digit
+    value = {r: float(np.uint64(v).view(np.float64)) for r, v in known.items()}
+    return [value[math.floor(p)] + (value[math.ceil(p)] - value[math.floor(p)]) * (p - math.floor(p)) for p in places], total
+
+
+def attractor(I, y):
+    """Delay by the first minimum of mutual information, dimension by false neighbours, correlation dimension by counts in 20 radii.
+
+    All vectors are used, in blocks: the time grows with their square, the memory in proportion.
+    """
     out = {"attractor_dim": -1, "attractor_delay": -1, "correlation_dim": NAN, "lyapunov": NAN, "attractor_type": "unknown"}
     if len(y) < 100 or y.std() == 0:
         return out
-    y = y[: most * 5]
     info = []
     for k in range(1, min(50, len(y) // 10)):
         p = np.histogram2d(y[:-k], y[k:], 16)[0] / (len(y) - k)
@@ -214,23 +257,24 @@ def attractor(I, y, most=1000):
     delay = len(info) - 1 if len(info) > 2 else 1
     dim = 10
     for k in range(1, 10):
-        x = M.embed(y, k + 1, delay)[:most]
+        x = M.embed(y, k + 1, delay)
         if len(x) < 20:
             break
-        d = M.distances(x[:, :k])
-        np.fill_diagonal(d, np.inf)
-        near = d.argmin(1)
-        gap = np.abs(x[:, k] - x[near, k]) / np.maximum(d[np.arange(len(x)), near], 1e-12)
+        gap = np.empty(len(x))
+        for a, b in _rows(len(x)):
+            d = _gaps(x[a:b, :k], x[:, :k])
+            d[np.arange(b - a), np.arange(a, b)] = np.inf
+            near = d.argmin(1)
+            gap[a:b] = np.abs(x[a:b, k] - x[near, k]) / np.maximum(d[np.arange(b - a), near], 1e-12)
         if (gap > 15).mean() < 0.01:
             dim = k
             break
-    d = M.distances(M.embed(y, dim, delay)[:most])
-    d = d[np.triu_indices(len(d), 1)]
-    d = d[d > 0]
+    x = M.embed(y, dim, delay)
+    (low, high), total = _quantiles(x, (0.02, 0.5))
     corr = NAN
-    if len(d) > 100:
-        radii = np.geomspace(np.quantile(d, 0.02), np.quantile(d, 0.5), 20)
-        counts = np.array([(d < r).mean() for r in radii])
+    if total > 100:
+        radii = np.geomspace(low, high, 20)
+        counts = sum(np.searchsorted(np.sort(d), radii) for d in _pairs(x)) / total
         slope, _, r2 = M.line(np.log(radii[counts > 0]), np.log(counts[counts > 0]))
         corr = slope if r2 >= 0.9 else NAN
     kind = "unknown" if math.isnan(corr) else "fixed_point" if corr < 0.5 else "limit_cycle" if corr < 1.5 else "torus" if corr < 2.5 else "strange"

@@ -99,3 +99,19 @@ def test_windows_and_points(spark):
 def test_work_order(spark):
     out = E.run_order(Signals(frame(spark, {"walk": WALK, "sine": SINE})))
     assert set(out) == {"hurst", "lyapunov", "fft", "garch", "wavelet", "rqa", "sample_entropy"} and out["hurst"].count() >= 1
+
+
+def test_attractor_uses_the_whole_signal():
+    t = np.arange(6500)
+    late = np.where(t < 5000, np.sin(0.1 * t), np.random.default_rng(5).normal(size=len(t)))
+    head, whole = K.attractor(t[:5000], late[:5000]), K.attractor(t, late)
+    assert head["attractor_type"] == "limit_cycle"
+    assert (whole["attractor_dim"], whole["correlation_dim"]) != (head["attractor_dim"], head["correlation_dim"])
+
+
+def test_quantiles_in_blocks(monkeypatch):
+    monkeypatch.setattr(K, "_rows", lambda n: [(a, min(n, a + 7)) for a in range(0, n, 7)])
+    x = np.random.default_rng(1).normal(size=(150, 3)).round(1)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(150, 1)]
+    got, total = K._quantiles(x, (0.02, 0.5))
+    assert total == (d > 0).sum() and np.allclose(got, np.quantile(d[d > 0], (0.02, 0.5)), rtol=1e-12)
