@@ -144,7 +144,8 @@ def _specials(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
-#: What may be cut off a word's end before it is encoded: never part of a contraction, nor joined to a letter.
+#: What may be cut off behind an ASCII letter before a word is encoded: never part of a contraction, nor joined to such a
+#: letter. Letters of other scripts may end in a combining mark once normalised, which joins the sign behind it.
 TAILS = ".,!?;:%$&#|*"
 #: Stands between words that are encoded at one go; texts that hold it are encoded whole.
 BETWEEN = "\x01"
@@ -187,7 +188,7 @@ class Words:
         parts = []
         for word in words:
             core = word.rstrip(TAILS)
-            if not core or not core[-1].isalpha():
+            if not core or not (core[-1].isascii() and core[-1].isalpha()):
                 core = word
             low = core.lower() if core.isascii() else core
             parts.append((core if any(s in low for s in self.specials) else low, word[len(core) :]))

@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,7 +26,7 @@ def test_random_access(n, top):
         assert (s.ids(i, n) == ids[i:]).all() and (s.ids(0, i) == ids[:i]).all()
 
 
-WORDS = ["It's", "naïve", "don't", "ΑΣ", "Σ.", "x\ty", "a b", "é", "̈x", "İ", "123abc", "…!!", "<|endoftext|>", "<|endof", "ﬁ", "\x1cq", "a b", "", "\r", "漢字", "'s", "'", "s", "It'll.", "'.", "a'.", "1.", "x.|", "CAFÉ!", "Dog,,", "...", "Ⅷ.", "ª.", "x\x01y", "ǅ."]
+WORDS = ["It's", "naïve", "don't", "ΑΣ", "Σ.", "x\ty", "a b", "é", "̈x", "İ", "123abc", "…!!", "<|endoftext|>", "<|endof", "ﬁ", "\x1cq", "a b", "", "\r", "漢字", "'s", "'", "s", "It'll.", "'.", "a'.", "1.", "x.|", "CAFÉ!", "Dog,,", "...", "Ⅷ.", "ª.", "x\x01y", "ǅ.", "TARİHİ,", "GEZİ.", "ড়,", "ਗ਼.", "གྷ!", "e\u0301.", "İstanbul;"]
 
 
 def encoded(texts, by_word):
@@ -41,6 +43,16 @@ def test_words_equal_whole_texts(monkeypatch):
     assert [x for i in range(0, len(texts), 3) for x in encoded(texts[i : i + 3], True)] == whole
 
 
+def test_words_of_all_scripts():
+    """Random words of letters, marks and signs of all scripts below U+3000, with stops behind them."""
+    r = random.Random(3)
+    chars = [chr(c) for c in range(0x21, 0x3000) if unicodedata.category(chr(c))[0] in "LMNPS"]
+    marks = [c for c in chars if unicodedata.category(c)[0] == "M"]
+    word = lambda: "".join(r.choice(r.choice((chars, marks, "aIxM"))) for _ in range(r.randint(1, 4))) + r.choice(".,!?;:%$&#|*")
+    texts = [" ".join(word() for _ in range(8)) for _ in range(1500)]
+    assert encoded(texts, True) == encoded(texts, False)
+
+
 def test_special_strings_in_other_case():
     words = [w for s in ("<|endoftext|>", "<|startoftext|>") for w in (s.upper(), s.title(), f"x{s.upper()}y", f"{s.title()}.", f"({s.upper()},", s.upper()[:-1], s.upper() + s.title(), f"É{s.upper()}")]
     texts = [*words, " ".join(words), "\n".join(words), *(f"A {w} {s}" for w in words for s in ("<|endoftext|>", "b"))]
