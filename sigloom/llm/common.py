@@ -22,9 +22,15 @@ SLICE_BYTES = 2 << 20
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Only a session without one gets a local folder."""
+    """A new folder below spark.checkpoint.dir, which all executors share.
+
+    Only a session without one that runs in a single JVM gets a folder of this machine; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sigloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -42,10 +48,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "sigloom_path", None)
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path := getattr(df, "sigloom_path", None):
+        delete(df.sparkSession, path)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder, with the folders above it."""
+    at, files = _files(spark, path)
+    there, _ = _files(spark, to)
+    files.mkdirs(there.getParent())
+    if not files.rename(at, there):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing where there is none."""
+    at, files = _files(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

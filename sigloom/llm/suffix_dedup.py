@@ -5,17 +5,24 @@ suffixes that can matter are found first: every string of LENGTH bytes holds an
 hash, and strings whose anchor occurs in one document only cannot repeat. Each string belongs to its leftmost least gram,
 so that an anchor stands for a short run of strings, its context.
 
-1. The texts are packed into chunks, in a bucketed table of the shared folder, which later joins read in place.
+1. The texts are packed into chunks, in a table of the shared folder with buckets of a bounded size, which later joins
+   read in place.
 2. Chunks send 32-bit fingerprints of their anchors, spread over Q key ranges; each range answers which of them occur in
    more than one document. A false answer costs a context, and nothing else.
 3. Chunks send the contexts of those anchors, each different one once, with the smallest doc_id that has it, to the same
-   ranges. A range takes the contexts in batches of ascending doc_id: the suffixes of a batch are sorted (by a 64-bit
-   fingerprint of their first LENGTH bytes, as merge-scanning needs any one order), merge-scanned against each level of
-   the family, and become a level; levels of like size are merged, so that a suffix moves a logarithmic number of times.
+   ranges. A range takes the contexts in batches of ascending doc_id. A batch gets its suffix array (places in the text of
+   its contexts, in the order of the LENGTH bytes that begin there), which is merge-scanned against each level of the
+   family: where the longest common prefix of neighbours in the merged order has LENGTH bytes, the string is known. What is
+   new becomes a level; levels of like size are merged, so that a suffix moves a logarithmic number of times.
 4. The answers, a bit for each string, go back to the chunks, where the removed bytes are marked.
 
 All that moves are packed arrays; contexts that repeat within a chunk move once, so a passage of a third of all documents
-costs one context for each chunk.
+costs one context for each chunk. Equal hashes decide nothing: contexts that are taken to be equal are compared in bytes. An
+anchor of more than HOT_CHUNKS chunks, which may stand in as many different surroundings, is dealt out over ranges of its own,
+by a hash of each string.
+
+SuffixIndex keeps the levels in a folder, for batches that come later: each batch is scanned against what is stored, whose
+strings all count as earlier ones, and becomes a level. There all contexts move, as a string that is new now may repeat then.
 
 Defined cases: a null text is empty; texts shorter than LENGTH stay whole; rows that repeat a doc_id are not removed for
 one another; rows without an id count as having the largest one; an empty table gives no rows; other columns are ignored.
@@ -24,6 +31,7 @@ one another; rows without an id count as having the largest one; an empty table
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -37,9 +45,11 @@ from sigloom.llm import common as C
 from sigloom.llm.near_duplicates import borders, grouped
 
 LENGTH, K = 50, 24
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 64 << 20
 #: Strings for a key range, and in a batch of a range.
 RANGE_STRINGS, BATCH_STRINGS = 4 << 20, 1 << 18
+#: Chunks with an anchor beyond which it has ranges of its own, one more for each so many chunks.
+HOT_CHUNKS = 4096
 NO_ID = (1 << 63) - 1
 
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, offsets binary, blob binary"
@@ -117,10 +127,19 @@ class Chunk:
             return key, np.zeros(0, bool)
         return key[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
 
-    def contexts(self, repeated: np.ndarray, bits: int) -> dict[str, np.ndarray]:
-        """Contexts of the anchors with these fingerprints: range, place (lo, to hi: the first and last string), document; and, for the different ones in order of range and hash, `first` and the smallest doc_id."""
-        at = self.at[np.isin(self.key >> np.uint64(32 - bits), repeated)] if len(repeated) else self.at[:0]
-        key = self.key[np.isin(self.key >> np.uint64(32 - bits), repeated)] if len(repeated) else self.key[:0]
+    def contexts(self, repeated: np.ndarray | None, bits: int, hot: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Contexts of the anchors with these fingerprints (None: of all): range, place (lo, to hi: the first and last string), document; and, for the different ones in order of range and hash, `first` and the smallest doc_id.
+
+        hot: for each fingerprint the number of ranges of its own, 0 for the usual one.
+        """
+        key = self.key >> np.uint64(32 - bits)
+        if repeated is None:
+            wanted, own = np.ones(len(key), bool), np.zeros(len(key), np.int64)
+        else:
+            place = np.minimum(np.searchsorted(repeated, key), max(0, len(repeated) - 1))
+            wanted = repeated[place] == key if len(repeated) else np.zeros(len(key), bool)
+            own = hot[place] if hot is not None and len(repeated) else np.zeros(len(key), np.int64)
+        at, key, own = self.at[wanted], self.key[wanted], own[wanted]
         doc = self.documents(at)
         rank = self.rank[at]
         lo, hi = np.maximum(at - self.width + 1, self.offsets[doc]), np.minimum(at, self.offsets[doc + 1] - self.length)
@@ -131,15 +150,40 @@ class Chunk:
             held = (after < len(self.rank)) & (self.rank[np.minimum(after, len(self.rank) - 1)] < rank)
             hi[held] = np.minimum(hi[held], after[held] - self.width)
         good = lo <= hi
-        lo, hi, doc, key = lo[good], hi[good], doc[good], key[good]
+        lo, hi, doc, key, own = lo[good], hi[good], doc[good], key[good], own[good]
         part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        if own.any():  # each string of a hot anchor by itself, in the range that its hash says
+            n = np.where(own > 0, hi - lo + 1, 1)
+            lo, hi, doc, part, own = (np.repeat(x, n) for x in (lo, hi, doc, part, own))
+            step = np.arange(len(lo)) - np.repeat(np.cumsum(n) - n, n)
+            lo = lo + step
+            hi = np.where(own > 0, lo, hi)
+            code = C.span_hash(self.prefix, lo, lo + self.length)
+            part = np.where(own > 0, part | ((1 + (code >> np.uint64(20)).astype(np.int64) % np.maximum(own, 1)) << 40), part)
         code = C.span_hash(self.prefix, lo, hi + self.length)
-        order = np.lexsort((self.ids[doc], code, part))
+        order = np.lexsort((self.ids[doc], hi - lo, code, part))
         lo, hi, doc, part, code = lo[order], hi[order], doc[order], part[order], code[order]
-        new = np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])) if len(code) else np.zeros(0, bool)
+        new = np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1]) | (np.diff(hi - lo) != 0)) if len(code) else np.zeros(0, bool)
+        apart(self.data, lo, hi - lo + self.length, new)
         return {"lo": lo, "hi": hi, "id": self.ids[doc], "part": part, "of": np.cumsum(new) - 1, "first": np.flatnonzero(new)}
 
 
+def apart(data: np.ndarray, start: np.ndarray, size: np.ndarray, new: np.ndarray) -> None:
+    """Marks in `new`, where it says that groups of equal spans begin, all spans of groups that are not equal in bytes."""
+    if new.all():
+        return
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    rest = np.flatnonzero(~new)
+    for a in range(0, len(rest), 1 << 16):
+        some = rest[a : a + (1 << 16)]
+        n = size[some]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        unlike = data[np.repeat(start[some], n) + step] != data[np.repeat(start[first[group[some]]], n) + step]
+        if unlike.any():
+            new |= np.isin(group, group[some][np.unique(np.repeat(np.arange(len(some)), n)[unlike])])
+
+
 def ranges(key: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """Range, from and to of sorted fingerprints."""
     part = (key >> np.uint64(32)).astype(np.int64)
@@ -163,7 +207,7 @@ def _send_fingerprints(bits: int):
     return run
 
 
-ANSWER_SCHEMA = "chunk long, g long, keys binary"
+ANSWER_SCHEMA = "chunk long, g long, keys binary, hot binary"
 
 
 def _repeated(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -173,24 +217,30 @@ def _repeated(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column("keys")]
         many = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(k)).astype(bool) for x, k in zip(part.column("many"), keys)]
         everything = np.sort(np.concatenate([*keys, *(k[m] for k, m in zip(keys, many))]))
-        twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
-        found = [k[np.isin(k, twice, assume_unique=True)].tobytes() if len(twice) else b"" for k in keys]
-        keep = [i for i, x in enumerate(found) if x]
-        if keep:
-            chunk = part.column("chunk").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk[i] for i in keep], pa.int64()), pa.array([part.column("g")[0].as_py()] * len(keep), pa.int64()), pa.array([found[i] for i in keep], pa.binary())], ["chunk", "g", "keys"])
-
-
-def _wanted(answers) -> np.ndarray:
-    """All fingerprints that some ranges have answered with, in order."""
-    parts = [(np.uint64(x["g"]) << np.uint64(32)) | np.frombuffer(x["keys"], "<u4").astype(np.uint64) for x in sorted(answers or [], key=lambda x: x["g"])]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        twice, count = np.unique(everything, return_counts=True)
+        twice, count = twice[count > 1], count[count > 1]
+        chunk, g = part.column("chunk").to_pylist(), part.column("g")[0].as_py()
+        for i, k in enumerate(keys):
+            at = np.flatnonzero(np.isin(twice, k, assume_unique=True, kind="sort"))
+            if len(at):
+                hot = (count[at] > HOT_CHUNKS) * (1 + count[at] // HOT_CHUNKS)
+                values = [[chunk[i]], [g], [twice[at].tobytes()], [hot.astype("<u4").tobytes() if hot.any() else None]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])], ["chunk", "g", "keys", "hot"])
+
+
+def _wanted(answers) -> tuple[np.ndarray, np.ndarray]:
+    """All fingerprints that some ranges have answered with, in order, and for each the number of ranges of its own."""
+    answers = sorted(answers or [], key=lambda x: x["g"])
+    keys = [np.frombuffer(x["keys"], "<u4").astype(np.uint64) for x in answers]
+    hot = [np.frombuffer(x["hot"], "<u4").astype(np.int64) if x["hot"] else np.zeros(len(k), np.int64) for x, k in zip(answers, keys)]
+    keys = [(np.uint64(x["g"]) << np.uint64(32)) | k for x, k in zip(answers, keys)]
+    return (np.concatenate(keys), np.concatenate(hot)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 CONTEXT_SCHEMA = "g long, chunk long, lengths binary, ids binary, text binary"
 
 
-def _send_contexts(bits: int):
+def _send_contexts(bits: int, every: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -199,7 +249,8 @@ def _send_contexts(bits: int):
     def one(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
         ids, offsets, blob = (batch.column(c)[row].as_buffer() for c in ("ids", "offsets", "blob"))
         chunk = Chunk(ids, offsets, blob)
-        x = chunk.contexts(_wanted(batch.column("answers")[row].as_py()), bits)
+        keys, hot = (None, None) if every else _wanted(batch.column("answers")[row].as_py())
+        x = chunk.contexts(keys, bits, hot)
         first = x["first"]
         lo, n, part, doc = x["lo"][first], x["hi"][first] - x["lo"][first] + chunk.length, x["part"][first], x["id"][first]
         # bytes of all contexts, one after the other
@@ -217,30 +268,72 @@ def _send_contexts(bits: int):
 # ---------------------------------------------------------------- the family
 
 
+def strings(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The strings of `length` bytes at some places, as values that NumPy orders by their bytes."""
+    return np.lib.stride_tricks.sliding_window_view(text, length)[at].reshape(len(at) * length).view(f"S{length}")
+
+
+def prefixes(keys: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each string with the one before it; of the first, 0."""
+    width = keys.dtype.itemsize
+    out = np.zeros(len(keys), np.int64)
+    for a in range(1, len(keys), 1 << 16):
+        x = keys[a - 1 : a + (1 << 16)].view(np.uint8).reshape(-1, width)
+        unlike = x[1:] != x[:-1]
+        out[a : a + (1 << 16)] = np.where(unlike.any(1), unlike.argmax(1), width)
+    return out
+
+
+class Level:
+    """A text and its suffix array: the places of different strings of `length` bytes, in the order of those bytes."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, length: int):
+        self.text, self.at, self.length = text, at, length
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def keys(self) -> np.ndarray:
+        return strings(self.text, self.at, self.length)
+
+    def scan(self, keys: np.ndarray) -> np.ndarray:
+        """Merge-scan: which of these different strings in order the level has."""
+        both = np.concatenate([self.keys(), keys])
+        order = np.argsort(both, kind="stable")  # a merge of two runs
+        same = prefixes(both[order]) == self.length
+        out = np.zeros(len(both), bool)
+        out[order] = same
+        return out[len(self) :]
+
+    def merged(self, other: Level) -> Level:
+        """One level of two that have no string in common."""
+        order = np.argsort(np.concatenate([self.keys(), other.keys()]), kind="stable")
+        return Level(np.concatenate([self.text, other.text]), np.concatenate([self.at, other.at + len(self.text)])[order], self.length)
+
+
 class Family:
-    """Sorted suffixes in levels; a level is about twice the size of the next at least."""
+    """Suffix arrays in levels; a level has about twice the size of the next at least."""
 
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
+    def __init__(self, levels: list[Level] | None = None):
+        self.levels: list[Level] = list(levels or [])
 
-    def seen(self, suffixes: np.ndarray) -> np.ndarray:
-        """Merge-scan: which of these sorted suffixes some level has."""
-        out = np.zeros(len(suffixes), bool)
+    def seen(self, keys: np.ndarray) -> np.ndarray:
+        """Which of these different strings in order some level has."""
+        out = np.zeros(len(keys), bool)
         for level in self.levels:
-            at = np.searchsorted(level, suffixes)
-            out |= level[np.minimum(at, len(level) - 1)] == suffixes
+            if len(level):
+                left = np.flatnonzero(~out)
+                out[left] = level.scan(keys[left])
         return out
 
-    def add(self, suffixes: np.ndarray) -> None:
-        """A new level of sorted, different suffixes; levels that it has caught up with are merged into it."""
-        if not len(suffixes):
+    def add(self, level: Level) -> None:
+        """A new level of strings that no other has; levels that it has caught up with are merged into it."""
+        if not len(level):
             return
-        self.levels.append(suffixes)
+        self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             a, b = self.levels.pop(), self.levels.pop()
-            both = np.concatenate([b, a])
-            both.sort(kind="stable")
-            self.levels.append(both[np.append(True, both[1:] != both[:-1])])
+            self.levels.append(b.merged(a))
 
 
 def batches_of(ids: np.ndarray, strings: np.ndarray, most: int = BATCH_STRINGS) -> Iterator[np.ndarray]:
@@ -255,53 +348,114 @@ def batches_of(ids: np.ndarray, strings: np.ndarray, most: int = BATCH_STRINGS)
         at, done = to, int(total[np.searchsorted(ends, to)])
 
 
-def earlier(family: Family, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which suffixes of a batch also start in a document with a smaller id, in the batch or before it; adds the batch."""
-    rank = np.lexsort((ids, codes))
-    mine, who = codes[rank], ids[rank]
-    first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mine))))
-    known = family.seen(mine[first])
-    out = np.zeros(len(codes), bool)
-    out[rank] = known[group] | (who > who[first][group])
-    family.add(mine[first][~known])
-    return out
-
-
-BIT_SCHEMA = "chunk long, g long, bits binary"
+def earlier(family: Family, text: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For a batch of contexts, string by string: whether it starts in a document with a smaller id, in the batch or before it; adds the batch."""
+    # equal contexts: the one with the smallest id stands for all
+    code = C.span_hash(C.prefix_hash(text), start, start + size)
+    order = np.lexsort((ids, size, code))
+    new = np.append(True, (np.diff(code[order]) != 0) | (np.diff(size[order]) != 0))
+    apart(text, start[order], size[order], new)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    own = order[new]
+    n = size[own]
+    begin = np.cumsum(n) - n
+    held = text[np.arange(int(n.sum())) + np.repeat(start[own] - begin, n)]
+
+    count = n - length + 1
+    first = np.cumsum(count) - count
+    context = np.repeat(np.arange(len(own)), count)
+    at = np.arange(int(count.sum())) - np.repeat(first, count) + begin[context]
+    # the batch's suffix array, and its different strings
+    keys = strings(held, at, length)
+    rank = np.argsort(keys, kind="stable")
+    keys = keys[rank]
+    opens = prefixes(keys) < length
+    opens[:1] = True
+    group = np.cumsum(opens) - 1
+    lead = np.flatnonzero(opens)
+    who = ids[own][context][rank]
+    least = np.minimum.reduceat(who, lead) if len(lead) else who
+    known = family.seen(keys[lead])
+    hit = np.zeros(len(at), bool)
+    hit[rank] = known[group] | (who > least[group])
+
+    # what is new becomes a level, with the contexts that hold it
+    fresh = rank[lead[~known]]
+    used = np.zeros(len(own), bool)
+    used[context[fresh]] = True
+    kept = np.where(used, n, 0)
+    moved = np.cumsum(kept) - kept
+    family.add(Level(held[np.repeat(used, n)], (at - begin[context] + moved[context])[fresh], length))
+
+    each = size - length + 1
+    step = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    return hit[np.repeat(first[of], each) + step] | np.repeat(ids > ids[own][of], each)
+
+
+BIT_SCHEMA = "chunk long, g long, bits binary, text binary"
+_BIT_KINDS = list(zip(["chunk", "g", "bits", "text"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]))
+
+
+def _scan(length: int, store: bool = False):
+    """Answers of a range; store: levels come as rows with a negative chunk, and the new one goes out as such a row."""
 
-
-def _scan(length: int):
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         cut = borders(table.column("g").to_numpy())
         for lo, hi in zip(cut[:-1], cut[1:]):
-            part = table.slice(lo, hi - lo)
-            lengths = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in part.column("lengths")]
-            ids = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in part.column("ids")])
-            data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("text")])
-            n = np.concatenate(lengths)
-            strings = n - length + 1
-            begin, place = np.cumsum(n) - n, np.cumsum(strings) - strings
-            hit, family = np.zeros(int(strings.sum()), bool), Family()
-            for batch in batches_of(ids, strings):
-                m, k = n[batch], strings[batch]
-                text = data[np.arange(int(m.sum())) + np.repeat(begin[batch] - (np.cumsum(m) - m), m)]
-                i = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                at = i + np.repeat(np.cumsum(m) - m, k)
-                prefix = C.prefix_hash(text)
-                codes = C.mix((prefix[at + length] - prefix[at]) * C.powers(C._RINV, len(prefix))[at])
-                hit[i + np.repeat(place[batch], k)] = earlier(family, codes, np.repeat(ids[batch], k))
-            ends = np.concatenate([[0], np.cumsum([int((x - length + 1).sum()) for x in lengths])])
-            bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("chunk").combine_chunks(), part.column("g").combine_chunks(), pa.array(bits, pa.binary())], ["chunk", "g", "bits"])
+            yield from one(table.slice(lo, hi - lo))
+
+    def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = part.column("g")[0].as_py()
+        chunk = part.column("chunk").to_numpy()
+        view = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+        levels = [Level(view(part.column("text")[i], np.uint8), view(part.column("ids")[i], "<i8"), length) for i in np.flatnonzero(chunk < 0).tolist()]
+        part = part.filter(pa.array(chunk >= 0))
+        if not part.num_rows:
+            return
+        family, n_stored = Family(sorted(levels, key=len, reverse=True)), len(levels)
+        lengths = [view(x, "<u2").astype(np.int64) for x in part.column("lengths")]
+        ids = np.concatenate([view(x, "<i8") for x in part.column("ids")])
+        data = np.concatenate([view(x, np.uint8) for x in part.column("text")])
+        chunks = part.column("chunk").to_pylist()
+        del part
+        n = np.concatenate(lengths)
+        count = n - length + 1
+        begin, place = np.cumsum(n) - n, np.cumsum(count) - count
+        hit, stored = np.zeros(int(count.sum()), bool), family.levels[:n_stored]
+        fresh = Family()
+        for batch in batches_of(ids, count):
+            k = count[batch]
+            found = earlier(_Both(stored, fresh), data, begin[batch], n[batch], ids[batch], length)
+            hit[np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(place[batch], k)] = found
+        ends = np.concatenate([[0], np.cumsum([int((x - length + 1).sum()) for x in lengths])])
+        rows = [(c, g, np.packbits(hit[a:b]).tobytes(), None) for c, a, b in zip(chunks, ends[:-1], ends[1:])]
+        if store and fresh.levels:
+            new = fresh.levels[0]
+            for level in fresh.levels[1:]:
+                new = new.merged(level)
+            rows.append((-1, g, new.at.astype("<i8").tobytes(), new.text.tobytes()))
+        for a in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*rows[a : a + 256]), _BIT_KINDS)], [c for c, _ in _BIT_KINDS])
 
     return grouped(work)
 
 
+class _Both(Family):
+    """Levels that are stored, which stay as they are, and a family that takes what is new."""
+
+    def __init__(self, stored: list[Level], fresh: Family):
+        super().__init__([*stored, *fresh.levels])
+        self.fresh = fresh
+
+    def add(self, level: Level) -> None:
+        self.fresh.add(level)
+
+
 SPAN_SCHEMA = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string"
 
 
-def _mark(bits: int):
+def _mark(bits: int, every: bool = False):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +466,8 @@ def _mark(bits: int):
     def one(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
         ids, offsets, blob = (batch.column(c)[row].as_buffer() for c in ("ids", "offsets", "blob"))
         chunk = Chunk(ids, offsets, blob)
-        x = chunk.contexts(_wanted(batch.column("answers")[row].as_py()), bits)
+        keys, hot = (None, None) if every else _wanted(batch.column("answers")[row].as_py())
+        x = chunk.contexts(keys, bits, hot)
         n = len(chunk.data)
         steps = np.zeros(n + 1, np.int64)
         if len(x["first"]):
@@ -354,26 +509,105 @@ def _mark(bits: int):
     return run
 
 
+class _Chunks:
+    """The packed texts: a bucketed table whose name is dropped, and its files deleted, once nothing reads it any more."""
+
+    def __init__(self, docs: DataFrame):
+        self.spark, self.name, self.path = docs.sparkSession, f"sigloom_chunks_{uuid.uuid4().hex[:12]}", C.work_dir(docs.sparkSession, "chunks")
+        base = C.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+        self.total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.total / BUCKET_BYTES))
+        base.mapInArrow(_pack, CHUNK_SCHEMA).write.bucketBy(min(buckets, 100_000), "chunk").option("path", self.path).format("parquet").saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        result = C.materialise(result, "spans")
+        self.spark.sql(f"DROP TABLE {self.name}")
+        C.delete(self.spark, self.path)
+        return result
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes, maximal runs) and kept_sha256 of each row."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"sigloom_chunks_{uuid.uuid4().hex[:12]}"
-    base = C.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    base.mapInArrow(_pack, CHUNK_SCHEMA).write.bucketBy(buckets, "chunk").option("path", C.work_dir(spark, "chunks")).format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(0, (total // RANGE_STRINGS).bit_length())
-
-    sent = chunks.mapInArrow(_send_fingerprints(bits), FINGER_SCHEMA)
+    chunks = _Chunks(docs)
+    bits = max(0, (chunks.total // RANGE_STRINGS).bit_length())
+
+    sent = chunks.table.mapInArrow(_send_fingerprints(bits), FINGER_SCHEMA)
     answers = C.materialise(sent.repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_repeated), ANSWER_SCHEMA), "repeated")
-    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("g", "keys")).alias("answers"))
-    asked = chunks.join(by_chunk, "chunk", "left")
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("g", "keys", "hot")).alias("answers"))
+    asked = chunks.table.join(by_chunk, "chunk", "left")
 
     contexts = asked.select("chunk", "ids", "offsets", "blob", "answers").mapInArrow(_send_contexts(bits), CONTEXT_SCHEMA)
     marks = C.materialise(contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_scan(LENGTH), BIT_SCHEMA), "marks")
     marked = asked.join(marks.groupBy("chunk").agg(F.collect_list(F.struct("g", "bits")).alias("marks")), "chunk", "left")
-    return marked.select("chunk", "ids", "offsets", "blob", "answers", "marks").mapInArrow(_mark(bits), SPAN_SCHEMA)
+    spans = chunks.finish(marked.select("chunk", "ids", "offsets", "blob", "answers", "marks").mapInArrow(_mark(bits), SPAN_SCHEMA))
+    C.discard(answers)
+    C.discard(marks)
+    return spans
+
+
+LEVEL_SCHEMA = "g long, n long, at binary, text binary"
+
+
+class SuffixIndex:
+    """Levels of suffix arrays in a shared folder, one row for each key range of a level.
+
+    add() scans a batch against them, as if all that is stored had smaller ids, and stores it; levels of like size are
+    merged, range by range. The number of ranges is settled when the folder is new. A level's folder appears under its name
+    once it is complete, and what it replaces is deleted after that, so a run that is lost leaves the levels as they were.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, bits: int = 8):
+        self.spark, self.path = spark, path.rstrip("/")
+        made = [n.split("-") for n in C.names(spark, self.path) if n.startswith("level-")]
+        # level-<bits>-<number>-<strings>-<numbers that it replaces>
+        gone = {x for _, _, _, _, old in made for x in old.split(".")}
+        self.levels = sorted(((int(number), int(n)) for _, _, number, n, _ in made if number not in gone), key=lambda x: -x[1])
+        self.names = {int(m[2]): "-".join(m) for m in made}
+        self.bits = int(made[0][1]) if made else bits
+
+    def _read(self, number: int) -> DataFrame:
+        return self.spark.read.schema(LEVEL_SCHEMA).parquet(f"{self.path}/{self.names[number]}")
+
+    def _write(self, level: DataFrame, old: list[int]) -> None:
+        held = C.materialise(level, "level")
+        n = held.agg(F.sum("n")).first()[0] or 0
+        number = max(self.names, default=0) + 1
+        name = f"level-{self.bits}-{number}-{n}-{'.'.join(map(str, old))}"
+        C.move(self.spark, held.sigloom_path, f"{self.path}/{name}")
+        self.names[number] = name
+        for x in old:
+            C.delete(self.spark, f"{self.path}/{self.names[x]}")
+        self.levels = sorted([x for x in self.levels if x[0] not in old] + [(number, n)], key=lambda x: -x[1])
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """The result of suffix_dedup for a batch after all that are stored."""
+        chunks = _Chunks(docs)
+        contexts = chunks.table.mapInArrow(_send_contexts(self.bits, True), CONTEXT_SCHEMA)
+        for number, _ in self.levels:
+            contexts = contexts.unionByName(self._read(number).select("g", F.lit(-1 - number).cast("long").alias("chunk"), F.lit(b"").alias("lengths"), F.col("at").alias("ids"), "text"))
+        found = C.materialise(contexts.repartition("g").sortWithinPartitions("g", "chunk").mapInArrow(_scan(LENGTH, True), BIT_SCHEMA), "marks")
+        marks = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("g", "bits")).alias("marks"))
+        spans = chunks.finish(chunks.table.join(marks, "chunk", "left").select("chunk", "ids", "offsets", "blob", "marks").mapInArrow(_mark(self.bits, True), SPAN_SCHEMA))
+        self._write(found.where("chunk < 0").select("g", (F.octet_length("bits") / 8).cast("long").alias("n"), F.col("bits").alias("at"), "text"), [])
+        C.discard(found)
+        while near := [(x[0], y[0]) for x, y in zip(self.levels, self.levels[1:]) if x[1] < 2 * y[1]]:
+            a, b = near[-1]
+            both = self._read(a).unionByName(self._read(b))
+            self._write(both.repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_merge_levels(LENGTH)), LEVEL_SCHEMA), [a, b])
+        return spans
+
+
+def _merge_levels(length: int):
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cut = borders(table.column("g").to_numpy())
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            levels = [Level(np.frombuffer(table.column("text")[i].as_buffer(), np.uint8), np.frombuffer(table.column("at")[i].as_buffer(), "<i8"), length) for i in range(lo, hi)]
+            made = levels[0].merged(levels[1]) if len(levels) > 1 else levels[0]
+            values = [[table.column("g")[lo].as_py()], [len(made)], [made.at.astype("<i8").tobytes()], [made.text.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])], ["g", "n", "at", "text"])
+
+    return work
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,24 +58,90 @@ def test_many_ranges_and_chunks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def contexts(r, n):
+    """Texts of n contexts of 6 to 9 bytes over two letters, with ids; strings have 5 bytes."""
+    size = r.integers(6, 10, n)
+    return r.integers(97, 99, int(size.sum())).astype(np.uint8), np.cumsum(size) - size, size, r.integers(0, 40, n)
+
+
 @pytest.mark.parametrize("batch", [1, 7, 100, 10**6])
 def test_family(batch):
-    r = np.random.default_rng(1)
-    codes, ids = r.integers(0, 300, 2000).astype(np.uint64), r.integers(0, 120, 2000)
-    want = [ids[codes == c].min() < i for c, i in zip(codes, ids)]
-    got, family, seen = np.zeros(2000, bool), S.Family(), []
-    for rows in S.batches_of(ids, np.ones(2000, int), batch):
-        got[rows] = S.earlier(family, codes[rows], ids[rows])
+    text, start, size, ids = contexts(np.random.default_rng(1), 600)
+    where = [(text[s + j : s + j + 5].tobytes(), i) for s, n, i in zip(start, size, ids) for j in range(n - 4)]
+    least = {}
+    for x, i in where:
+        least[x] = min(i, least.get(x, i))
+    count = size - 4
+    place = np.cumsum(count) - count
+    got, family, seen = np.zeros(len(where), bool), S.Family(), []
+    for rows in S.batches_of(ids, count, batch):
+        found = S.earlier(family, text, start[rows], size[rows], ids[rows], 5)
+        got[np.concatenate([place[r] + np.arange(count[r]) for r in rows])] = found
         seen += [ids[rows].min(), ids[rows].max()]
-    assert got.tolist() == want and seen == sorted(seen)
+    assert got.tolist() == [least[x] < i for x, i in where] and seen == sorted(seen)
+    kept = [k for level in family.levels for k in level.keys().tolist()]
+    assert sorted(kept) == sorted(least) and all(level.keys().tolist() == sorted(level.keys().tolist()) for level in family.levels)
 
 
 def test_levels_are_geometric():
     family = S.Family()
-    for i in range(64):
-        family.add(np.arange(i * 10, i * 10 + 10).astype(np.uint64))
+    numbers = np.random.default_rng(0).permutation(6400).reshape(64, 100)
+    text = lambda x: np.frombuffer(b"".join(b"%08d" % i for i in x), np.uint8)
+    for batch in numbers:
+        family.add(S.Level(text(np.sort(batch)), np.arange(100) * 8, 8))
         assert len(family.levels) <= 8
-    assert family.seen(np.arange(700).astype(np.uint64)).sum() == 640
+    assert family.seen(S.strings(text(range(7000)), np.arange(7000) * 8, 8)).sum() == 6400
+
+
+def test_prefixes():
+    keys = np.array([b"abcd", b"abce", b"abce", b"b\0\0a", b"b\0\0\0"], "S4")
+    assert S.prefixes(keys).tolist() == [0, 3, 4, 0, 3]
+
+
+def test_equal_hashes_of_other_bytes_stay_apart():
+    data = np.frombuffer(b"abcabcabdxyzxyz", np.uint8)
+    new = np.array([True, False, False, True, False])
+    S.apart(data, np.arange(5) * 3, np.full(5, 3), new)
+    assert new.tolist() == [True, True, True, True, False]
+
+
+def test_hot_anchors_have_ranges_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_CHUNKS", 2)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 1 << 12)
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    short, long = text(30), text(90)
+    rows = [(i, text(r.randrange(60)) + (short if i % 3 else long) + text(r.randrange(60))) for i in range(300)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_nothing_is_left(spark):
+    rows = [(i, "some text that is the same in each of the documents and long enough " * 2) for i in range(9)]
+    assert run(spark, rows) == brute(rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("sigloom_chunks")]
+
+
+def test_stored_levels(spark, tmp_path):
+    """Batches scanned one after the other against what is stored, by an index opened anew each time, give what one run over all gives."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = sorted(rows) + [(10**6 + i, rows[i][1]) for i in range(3)]
+    got, sizes = [], []
+    for a, b in ((0, 90), (90, 150), (150, 151), (151, len(rows))):
+        index = S.SuffixIndex(spark, f"file://{tmp_path}/index", bits=2)
+        sizes.append(len(index.levels))
+        found = index.add(spark.createDataFrame(rows[a:b], "doc_id long, text string"))
+        got += [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in found.collect()]
+    assert sorted(got) == brute(rows)
+    assert sizes[0] == 0 and max(sizes) <= 3 and len(S.SuffixIndex(spark, f"file://{tmp_path}/index").levels) <= 3
+
+
+def test_very_long_text(spark):
+    """A text above what is worked on at once."""
+    r = random.Random(2)
+    block = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    rows = [(1, "".join(r.choice("abcdefgh ") for _ in range(2_500_000)) + block), (2, "z" + block + "y")]
+    got = run(spark, rows)
+    assert [(x[0], x[2], x[3]) for x in got] == [(1, 0, 0), (2, 60_000, 1)]
 
 
 def test_empty_table(spark):
