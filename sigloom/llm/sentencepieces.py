@@ -11,6 +11,9 @@ gives their best segmentation and how much the second best loses. The N best seg
 the N - 1 units that lose least, and A* is run on those, so the result is that of A* over the whole text: the ids of each of
 the N are the best ones with those of A* in the place of such units. The first is Viterbi's, which A* equals up to ties.
 
+Scores are those of the model, unrounded: integers in a BPE model, logarithms of probabilities in a unigram model, whose best
+and n best segmentations are the library's. Models whose normaliser changes texts are refused, since decoding could not give them back.
+
 Ties go to the longer piece at the end, and between units to the earlier one. Decoding joins the pieces and gives back every text exactly.
 
 Defined cases: a null text is empty, and an empty one has no pieces, a score of 0 and one segmentation; rows that repeat a
@@ -35,7 +38,9 @@ from sigloom.llm.token_counts import public
 PENALTY, N_BEST = 10, 4
 #: Units that a worker keeps, and searches; what is full starts afresh.
 KEPT_UNITS, KEPT_SEARCHES = 600_000, 100_000
-NEVER = 1 << 60
+NEVER = 1e300
+#: What a normaliser would change: ligatures, wide letters, accents apart, runs of spaces.
+PROBE = "ﬁ  Ａ e\u0301 ½"
 SPACE = "▁"
 
 
@@ -46,10 +51,12 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.normalize(PROBE).replace(SPACE, " ").strip() != PROBE:
+            raise ValueError("the model's normaliser changes texts")
         n = model.get_piece_size()
         self.byte = np.full(256, -1)
         plain: dict[str, int] = {}
-        self.score = np.zeros(n, np.int64)
+        self.score = np.zeros(n)
         self.raw = [b""] * n
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -60,11 +67,11 @@ class Pieces:
                 if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                     raise ValueError(f"a piece crosses a unit: {piece!r}")
                 plain[piece] = i
-                self.score[i] = round(model.get_score(i))
+                self.score[i] = model.get_score(i)
                 self.raw[i] = piece.replace(SPACE, " ").encode()
         if (self.byte < 0).any():
             raise ValueError("the model has no byte pieces")
-        self.unknown = int(self.score.min()) - PENALTY
+        self.unknown = float(self.score.min()) - PENALTY
         # trie: (state, character) -> state, as sorted keys
         states: dict[str, int] = {"": 0}
         keys, to, ends = [], [], {}
@@ -121,7 +128,7 @@ def pieces(path: str) -> Pieces:
 # ---------------------------------------------------------------- one lattice
 
 
-def n_best(model: Pieces, unit: str, n: int) -> list[tuple[int, list[int]]]:
+def n_best(model: Pieces, unit: str, n: int) -> list[tuple[float, list[int]]]:
     """Score and ids of the n best segmentations of a string in which spaces are SPACE."""
     chars = np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.int64)
     size = len(chars)
@@ -130,12 +137,12 @@ def n_best(model: Pieces, unit: str, n: int) -> list[tuple[int, list[int]]]:
     into: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]
     for s, k, p, w in sorted(zip(start.tolist(), length.tolist(), piece.tolist(), worth.tolist()), key=lambda e: -e[1]):
         into[s + k].append((s, p, w))
-    forward = [0] + [-NEVER] * size
+    forward = [0.0] + [-NEVER] * size
     for node in range(1, size + 1):
         forward[node] = max((forward[s] + w for s, _, w in into[node]), default=-NEVER)
-    out: list[tuple[int, list[int]]] = []
+    out: list[tuple[float, list[int]]] = []
     # of equal estimates, the one nearest to the beginning goes first: ties do not spread
-    queue = [(-forward[size], size, 0, 0, None)]
+    queue = [(-forward[size], size, 0, 0.0, None)]
     count = 0
     while queue and len(out) < n:
         estimate, node, _, behind, way = heapq.heappop(queue)
@@ -219,11 +226,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = pieces(path)
-        self.searches: dict[tuple[int, int], tuple[tuple[int, ...], tuple[bytes, ...]]] = {}
+        self.searches: dict[tuple[int, int], tuple[tuple[float, ...], tuple[bytes, ...]]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.score, self.loss, self.at, self.n = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+        self.keys, self.score, self.loss = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
     def learn(self, keys: np.ndarray, units: list[str]) -> None:
@@ -234,7 +242,7 @@ class Encoder:
         self.keys = joined[order]
         self.score, self.loss, self.at, self.n = (np.concatenate(x)[order] for x in ((self.score, score), (self.loss, loss), (self.at, at), (self.n, n)))
 
-    def search(self, key: int, unit: bytes, best: bytes, n: int) -> tuple[tuple[int, ...], tuple[bytes, ...]]:
+    def search(self, key: int, unit: bytes, best: bytes, n: int) -> tuple[tuple[float, ...], tuple[bytes, ...]]:
         """Of the n best segmentations of a unit: what each loses against the best, and its ids; best: the ids of the first."""
         if (key, n) not in self.searches:
             if len(self.searches) > KEPT_SEARCHES:
@@ -246,17 +254,17 @@ class Encoder:
             self.searches[key, n] = tuple(found[0][0] - s for s, _ in found), tuple(ways)
         return self.searches[key, n]
 
-    def __call__(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    def __call__(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
         """All ids, their number for each text, and the scores of each text's n best segmentations."""
         return self.ways(texts, n)[:3]
 
-    def ways(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[bytes]]]:
+    def ways(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[bytes]]]:
         """As __call__, and the ids of each text's n best segmentations, as bytes of four for each."""
         marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
         data, offsets = C.buffers(marked)
         n_docs = len(offsets) - 1
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(n_docs, np.int64), [[0] for _ in range(n_docs)], [[b""] for _ in range(n_docs)]
+            return np.zeros(0, np.int32), np.zeros(n_docs, np.int64), [[0.0] for _ in range(n_docs)], [[b""] for _ in range(n_docs)]
         gap, line = data == 32, data == 10
         begins = np.zeros(len(data), bool)
         begins[1:] = gap[1:] & ~gap[:-1] | line[1:] | line[:-1]
@@ -278,12 +286,11 @@ class Encoder:
         ids = self.pool[total + np.repeat(self.at[hit] - (np.cumsum(count) - count), count)]
         best = np.zeros(n_docs + 1, np.int64)
         np.cumsum(np.bincount(doc, minlength=n_docs), out=best[1:])
-        sums = np.concatenate([[0], np.cumsum(self.score[hit])])
-        score = sums[best[1:]] - sums[best[:-1]]
+        score = np.bincount(doc, self.score[hit], n_docs)
         loss, scores, lists = self.loss[hit], [], []
         coded, place = ids.astype("<u4").tobytes(), np.concatenate([[0], 4 * np.cumsum(count)])
         for d, (a, b) in enumerate(zip(best[:-1].tolist(), best[1:].tolist())):
-            ways, found = [(0, ())], []
+            ways, found = [(0.0, ())], []
             if n > 1 and b > a:
                 least = loss[a:b]
                 few = np.arange(b - a)
@@ -296,7 +303,7 @@ class Encoder:
                     more, other = self.search(int(codes[u]), raw[start[u] : stop[u]], coded[at:to], n)
                     found.append((at, to, other))
                     ways = heapq.nsmallest(n, ((x + y, (*taken, k)) for x, taken in ways for k, y in enumerate(more)))
-            scores.append([int(score[d]) - x for x, _ in ways])
+            scores.append([float(score[d]) - x for x, _ in ways])
             lists.append([])
             for _, taken in ways:
                 parts, before = [], int(place[a])
@@ -323,7 +330,7 @@ def decode(path: str, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [raw[a + 1 : b] for a, b in zip(ends[:-1], ends[1:])]  # without the space before the text
 
 
-SCHEMA = "doc_id long, ids array<int>, scores array<long>, ways array<array<int>>"
+SCHEMA = "doc_id long, ids array<int>, scores array<double>, ways array<array<int>>"
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
@@ -334,7 +341,7 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
             ids, count, scores, ways = encoder(path).ways(C.flat(batch, "text"), n)
             every = [w for x in ways for w in x]
             inner = pa.ListArray.from_arrays(_ends([len(w) >> 2 for w in every]), pa.array(np.frombuffer(b"".join(every), "<i4")))
-            values = [pa.ListArray.from_arrays(_ends(count), pa.array(ids.astype(np.int32))), pa.array(scores, pa.list_(pa.int64())), pa.ListArray.from_arrays(_ends([len(x) for x in ways]), inner)]
+            values = [pa.ListArray.from_arrays(_ends(count), pa.array(ids.astype(np.int32))), pa.array(scores, pa.list_(pa.float64())), pa.ListArray.from_arrays(_ends([len(x) for x in ways]), inner)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], ["doc_id", "ids", "scores", "ways"])
 
     return C.texts(docs).mapInArrow(run, SCHEMA)
@@ -358,7 +365,7 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
 
 
 DIGEST_SCHEMA = (
-    "doc_id long, n_pieces long, ids_crc32 long, best_score long, n_found int, scores array<long>, text_crc32 long, round_trip boolean, "
+    "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_found int, scores array<double>, text_crc32 long, round_trip boolean, "
     "ways_crc32 array<long>, ways_round_trip array<boolean>"
 )
 
@@ -383,9 +390,9 @@ def digest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
             values = [
                 pa.array(count),
                 pa.array([x[0] for x in crc], pa.int64()),
-                pa.array([s[0] for s in scores], pa.int64()),
+                pa.array([s[0] for s in scores], pa.float64()),
                 pa.array([len(s) for s in scores], pa.int32()),
-                pa.array(scores, pa.list_(pa.int64())),
+                pa.array(scores, pa.list_(pa.float64())),
                 pa.array(first, pa.int64()),
                 pa.array([x[0] for x in same]),
                 pa.array(crc, pa.list_(pa.int64())),

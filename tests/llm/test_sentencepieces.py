@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -107,3 +108,61 @@ def test_ids_of_all_segmentations(spark):
         got = digests[row.doc_id]
         assert got.ways_crc32 == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in ways] and got.ways_round_trip == [True] * len(ways)
         assert got.ids_crc32 == got.ways_crc32[0]
+
+
+def unigram(path, scores, kind=1, spaces=b""):
+    """A model file in the library's format: control and byte pieces, and pieces with their logarithms of probabilities."""
+
+    def field(number, wire, raw):
+        return bytes([number << 3 | wire]) if number < 16 else bytes([(number << 3 | wire) & 0x7F | 0x80, number >> 4]), raw
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def message(*fields):
+        return b"".join(tag + (varint(len(raw)) + raw if tag[0] & 7 == 2 else raw) for tag, raw in fields)
+
+    def piece(text, score, type_):
+        return message(field(1, 2, message(field(1, 2, text.encode()), field(2, 5, struct.pack("<f", score)), field(3, 0, varint(type_)))))
+
+    pieces = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    pieces += b"".join(piece(f"<0x{i:02X}>", 0, 6) for i in range(256)) + b"".join(piece(p, s, 1) for p, s in scores.items())
+    n = 259 + len(scores)
+    trainer = message(field(3, 0, varint(kind)), field(4, 0, varint(n)), field(35, 0, varint(1)))
+    normal = message(field(1, 2, b"identity"), field(3, 0, varint(1)), field(4, 0, varint(0)), field(5, 0, varint(1)))
+    path.write_bytes(pieces + message(field(2, 2, trainer), field(3, 2, normal)))
+    return str(path)
+
+
+def test_unigram_model_as_the_library(tmp_path):
+    """Fractional scores: best and n best segmentations, with their scores, are those of the library."""
+    import sentencepiece
+
+    r = np.random.default_rng(4)
+    texts = {t.strip() for t in "the then there their other mother father than that tea eat heat at he her here a e h t r m o n f".split()}
+    scores = {(S.SPACE if r.random() < 0.4 and len(t) > 1 else "") + t: float(-1 - 9 * r.random()) for t in sorted(texts)} | {S.SPACE: -2.25, S.SPACE + "the": -1.5}
+    path = unigram(tmp_path / "own.model", scores)
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), S.Pieces(path)
+    for text in ("the mother", "then there at the tea", "heat", "their father eat other than that", "a", "hhtt aeo the"):
+        got = S.n_best(model, S.prepared(text), 5)
+        assert got[0][1] == library.encode(text)
+        assert sorted(ids for _, ids in got) == sorted(library.nbest_encode_as_ids(text, len(got)))
+        ids, count, found = S.Encoder(path)(pa.array([text, text]), 5)
+        assert np.allclose(found[0], [s for s, _ in got]) and found[0] == found[1] and S.decode(path, ids, count) == [text.encode()] * 2
+        assert found[0][0] == pytest.approx(sum(model.score[i] for i in got[0][1])) and found[0][0] != round(found[0][0])
+
+
+def test_changing_normaliser_is_refused(monkeypatch):
+    class Changing:
+        def __init__(self, model_file):
+            pass
+
+        def normalize(self, text):
+            return "fi A é 1/2"
+
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", Changing)
+    with pytest.raises(ValueError, match="normaliser"):
+        S.Pieces(PATH)
