@@ -19,6 +19,7 @@ strings are matched as the library does by default; an empty table gives no rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -109,10 +110,15 @@ def _chunks(path: str, step: int, overlap: int):
     return run
 
 
-def _spliced(long: DataFrame, path: str, step: int, overlap: int) -> DataFrame:
+#: Bytes of long texts that a task encodes, and the most tasks.
+TASK_BYTES, MOST_TASKS = 2 << 20, 100_000
+
+
+def _spliced(long: DataFrame, path: str, step: int, overlap: int, tasks: int) -> DataFrame:
     """row, n_tokens (null where some neighbours have no common boundary) of texts in chunks of step + overlap characters."""
     cut = long.select("row", "text").mapInArrow(_cut(step, overlap), "row long, part int, text string, last boolean")
-    coded = cut.repartition(F.col("row"), F.col("part")).mapInArrow(_chunks(path, step, overlap), CHUNK_SCHEMA)
+    # by a number that the bytes settle: encoding costs more than its bytes say, so tasks must not be put together by them
+    coded = cut.repartition(tasks, F.col("row"), F.col("part")).mapInArrow(_chunks(path, step, overlap), CHUNK_SCHEMA)
     next_head = F.lead("head").over(W.partitionBy("row").orderBy("part"))
     paired = coded.withColumn("next", next_head).withColumn("at", F.array_min(F.array_intersect(F.map_keys("tail"), F.map_keys("next"))))
     # tokens of the left chunk before the splice, less those of the right chunk before it
@@ -137,8 +143,10 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     # long texts: a number of its own for each row, kept in the shared folder, so that equal ids and retries do no harm
     queue = C.materialise(long.select("doc_id", size, "text").withColumn("row", F.monotonically_increasing_id()), "long-texts")
     left, done = queue, None
+    size = queue.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES)))
     while not left.isEmpty():
-        found = C.materialise(_spliced(left, path, chunk, overlap), "spliced")
+        found = C.materialise(_spliced(left, path, chunk, overlap, tasks), "spliced")
         good = found.where("n_tokens is not null")
         done = good if done is None else done.unionByName(good)
         left = left.join(found.where("n_tokens is null").select("row"), "row", "left_semi")
