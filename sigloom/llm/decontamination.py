@@ -51,7 +51,9 @@ _CODES = C.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _is = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8))
 _EDGE = _is(b"\"'`.,;:!?()[]{}<>*#$%&|-_~^/\\=+@")
 _STOP = _is(b".!?:;|")
-_WIDE = np.sort([int.from_bytes(chr(c).encode()) for c in (0xA1, 0xAB, 0xB4, 0xB7, 0xBB, 0xBF, *range(0x2000, 0x2070), *range(0x3000, 0x3004), *range(0x3008, 0x3012), *range(0x3014, 0x3020), *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21))])
+#: Signs beyond ASCII that may stand at a word's edge: of Latin-1, general punctuation, and those of wide scripts.
+WIDE_SIGNS = (0xA1, 0xAB, 0xB4, 0xB7, 0xBB, 0xBF, *range(0x2000, 0x2070), *range(0x3000, 0x3004), *range(0x3008, 0x3012), *range(0x3014, 0x3020), *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21))
+_WIDE = np.sort([int.from_bytes(chr(c).encode()) for c in WIDE_SIGNS])
 _LEAD = _is(bytes([0xC2, 0xE2, 0xE3, 0xEF]))
 #: Keeps the hashes of exact windows apart from those of templates.
 _EXACT = np.uint64(1 << 32)
@@ -271,38 +273,33 @@ def consistent(pairs: list[tuple[bytes, bytes]]) -> bool:
     return True
 
 
-MATCH_SCHEMA = "doc_id long, item_id long, n_words int, n_covered int, n_changed int, share double"
-
-
-def _verify(share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "n_words", "n_covered", "n_changed", "share"]
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                shifts: dict[int, list[dict]] = {}
-                copies: dict[tuple[int, bytes], set[int]] = {}
-                whole = False
-                for hit in row["hits"]:
-                    shift = hit["doc_pos"] - hit["item_pos"]
-                    if hit["exact"]:
-                        there = copies.setdefault((shift, hit["item_slots"]), set())
-                        there.add(hit["item_pos"])
-                        whole |= len(there) == hit["exact"]
-                    else:
-                        shifts.setdefault(shift, []).append(hit)
-                covered, changed = set(), set()
-                for hits in shifts.values():
-                    if consistent([(h["item_slots"], h["doc_slots"]) for h in hits]):
-                        for h in hits:
-                            covered |= set(range(h["item_pos"], h["item_pos"] + h["size"]))
-                            changed |= {h["item_slots"][i : i + 9] for i in range(0, len(h["item_slots"]), 9) if h["item_slots"][i : i + 9] != h["doc_slots"][i : i + 9]}
-                if whole and len(covered) / row["n_words"] < share:
-                    covered, changed = set(range(row["n_words"])), set()
-                out.append((None if row["doc_id"] == NO_ID else row["doc_id"], row["item_id"], row["n_words"], len(covered), len(changed), len(covered) / row["n_words"]))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("n_covered", pa.int32()), ("n_changed", pa.int32()), ("share", pa.float64())]))
-
-    return run
+ALIGNED_SCHEMA = "doc_id long, tie long, item_id long, n_words int, marks array<long>"
+#: Marks of an alignment: places of the item that it covers, from 0; slots with another value, below 0; and that it holds the whole item.
+WHOLE = (1 << 63) - 1
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Judges each alignment: one document, one item, one shift, at most one hit for each window of the item."""
+    kinds = {"doc_id": pa.int64(), "tie": pa.int64(), "item_id": pa.int64(), "n_words": pa.int32(), "marks": pa.list_(pa.int64())}
+    for batch in batches:
+        marks = []
+        for hits in batch.column("hits").to_pylist():
+            found: set[int] = set()
+            copies: dict[bytes, set[int]] = {}
+            for h in hits:
+                if h["exact"]:
+                    there = copies.setdefault(h["item_slots"], set())
+                    there.add(h["item_pos"])
+                    if len(there) == h["exact"]:
+                        found.add(WHOLE)
+            windows = [h for h in hits if not h["exact"]]
+            if consistent([(h["item_slots"], h["doc_slots"]) for h in windows]):
+                for h in windows:
+                    found |= set(range(h["item_pos"], h["item_pos"] + h["size"]))
+                    a, b = h["item_slots"], h["doc_slots"]
+                    found |= {-1 - (int.from_bytes(hashlib.blake2b(a[i : i + 9], digest_size=8).digest()) >> 2) for i in range(0, len(a), 9) if a[i : i + 9] != b[i : i + 9]}
+            marks.append(list(found))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in list(kinds)[:4]), pa.array(marks, kinds["marks"])], list(kinds))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, most_kept: int = MOST_KEPT, share: float = SHARE) -> DataFrame:
@@ -312,18 +309,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, most_kept: int = MOST_KEPT, s
     )
     found = items.select("size", (F.col("exact") > 0).alias("exact")).distinct().collect()  # 2 * WINDOW rows at most
     sizes, exact_sizes = (sorted(r["size"] for r in found if r["exact"] == exact) for exact in (False, True))
-    n = items.select("window").distinct().count()
+    codes = C.materialise(items.select("window").distinct(), "windows")
     kept = None
-    if n <= most_kept:
-        kept = np.sort(np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
+    if codes.count() <= most_kept:
+        kept = np.sort(C.flat(codes.toArrow(), "window").to_numpy(zero_copy_only=False).view(np.uint64))
         if not len(kept):
             sizes = exact_sizes = []
+    C.discard(codes)
     base = C.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
     found = base.mapInArrow(_doc_windows(sizes, exact_sizes, kept), DOC_SCHEMA)
-    hits = found.join(items, "window").select("doc_id", "tie", "item_id", "n_words", F.struct("doc_pos", "item_pos", "size", "doc_slots", "item_slots", "exact").alias("hit"))
-    # hits of one document and item: as many as they have words in common
-    grouped = hits.groupBy("doc_id", "tie", "item_id", "n_words").agg(F.collect_set("hit").alias("hits"))
-    return grouped.mapInArrow(_verify(share), MATCH_SCHEMA)
+    pair = ["doc_id", "tie", "item_id", "n_words"]
+    shift = (F.col("doc_pos") - F.col("item_pos")).alias("shift")
+    hits = found.join(items, "window").select(*pair, shift, F.struct("item_pos", "size", "doc_slots", "item_slots", "exact").alias("hit"))
+    # the hits of one alignment: at most one for each window of the item
+    aligned = hits.groupBy(*pair, "shift").agg(F.collect_set("hit").alias("hits")).mapInArrow(_align, ALIGNED_SCHEMA)
+    # marks are made different before they are counted, so that a document with many alignments costs no row of many
+    marks = aligned.select(*pair, F.explode_outer("marks").alias("mark")).distinct()
+    told = marks.groupBy(*pair).agg(
+        F.count_if((F.col("mark") >= 0) & (F.col("mark") < WHOLE)).cast("int").alias("covered"), F.count_if(F.col("mark") < 0).cast("int").alias("changed"), F.count_if(F.col("mark") == WHOLE).alias("whole")
+    )
+    copy = (F.col("whole") > 0) & (F.col("covered") / F.col("n_words") < share)
+    covered = F.when(copy, F.col("n_words")).otherwise(F.col("covered"))
+    return told.select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "item_id", "n_words", covered.alias("n_covered"), F.when(copy, 0).otherwise(F.col("changed")).alias("n_changed"), (covered / F.col("n_words")).alias("share")
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -355,6 +364,15 @@ def _windows_sql(name: str, words: str) -> str:
     return f"{name} AS (SELECT * FROM (SELECT k, i, size, {ahead} AS win, {literal} AS literals FROM {words}, sizes WINDOW o AS (PARTITION BY k, size ORDER BY i)) WHERE literals >= {LITERALS} AND NOT contains(win, chr(2)))"
 
 
+def _copies_sql() -> str:
+    """copied: documents that hold an item word for word; words without case and the signs around them, also those beyond ASCII."""
+    wide = "".join(chr(c) for c in WIDE_SIGNS)
+    edge = (r"""["'`.,;:!?()\[\]{}<>*#$%&|\-_~^/\\=+@""" + wide + "]").replace("'", "''")
+    bare = lambda name, of: f"{name} AS (SELECT k, ' ' || string_agg(w, ' ' ORDER BY i) || ' ' AS t FROM (SELECT k, i, regexp_replace(regexp_replace(v, '^{edge}+', ''), '{edge}+$', '') AS w FROM {of}) WHERE w <> '' GROUP BY k)"
+    return f"""{bare("dt", "d")}, {bare("bt", "b")},
+copied AS (SELECT dt.k AS doc_id, bt.k AS item_id FROM dt JOIN bt ON contains(dt.t, bt.t))"""
+
+
 OP8_SQL = f"""
 WITH {_words_sql("d", "doc_id", "documents")}, {_words_sql("b", "item_id", "(SELECT DISTINCT item_id, text FROM benchmark)")},
 bn AS (SELECT k, count(*) AS n FROM b GROUP BY k),
@@ -365,6 +383,9 @@ part AS (SELECT DISTINCT doc_id, item_id, n, shift, unnest(range(pos, pos + size
 slot AS (SELECT DISTINCT doc_id, item_id, shift, b.kind, b.v AS x, d.v AS z FROM part JOIN b ON b.k = item_id AND b.i = p JOIN d ON d.k = doc_id AND d.i = p + shift WHERE b.kind > 0),
 bad AS (SELECT doc_id, item_id, shift FROM slot GROUP BY ALL HAVING count(*) > count(DISTINCT (kind, x)) OR count(*) > count(DISTINCT (kind, z))),
 good AS (SELECT * FROM part ANTI JOIN bad USING (doc_id, item_id, shift)),
-changed AS (SELECT doc_id, item_id, count(DISTINCT (kind, x)) AS n_changed FROM slot ANTI JOIN bad USING (doc_id, item_id, shift) WHERE x <> z GROUP BY ALL)
-SELECT doc_id, item_id, n::INTEGER AS n_words, count(DISTINCT p)::INTEGER AS n_covered, coalesce(any_value(n_changed), 0)::INTEGER AS n_changed, count(DISTINCT p) / n::DOUBLE AS share
-FROM good LEFT JOIN changed USING (doc_id, item_id) GROUP BY doc_id, item_id, n HAVING count(DISTINCT p) / n::DOUBLE >= {SHARE}"""
+{_copies_sql()},
+changed AS (SELECT doc_id, item_id, count(DISTINCT (kind, x)) AS n_changed FROM slot ANTI JOIN bad USING (doc_id, item_id, shift) WHERE x <> z GROUP BY ALL),
+template AS (SELECT doc_id, item_id, n::INTEGER AS n_words, count(DISTINCT p)::INTEGER AS n_covered, coalesce(any_value(n_changed), 0)::INTEGER AS n_changed, count(DISTINCT p) / n::DOUBLE AS share
+  FROM good LEFT JOIN changed USING (doc_id, item_id) GROUP BY doc_id, item_id, n HAVING count(DISTINCT p) / n::DOUBLE >= {SHARE})
+SELECT * FROM template UNION ALL
+SELECT doc_id, item_id, n::INTEGER, n::INTEGER, 0::INTEGER, 1::DOUBLE FROM copied JOIN bn ON k = item_id ANTI JOIN template USING (doc_id, item_id)"""

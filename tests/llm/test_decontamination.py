@@ -1,4 +1,6 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sigloom.llm import decontamination as D
@@ -53,6 +55,20 @@ def test_exact_copies(spark):
         assert all(got[pair].share == 1 for pair in want)
 
 
+def test_many_alignments_and_sql(spark):
+    """A document that repeats a line often against an item that does; and both tables through the query's SQL."""
+    line = "every cat of the house sat on Monday with 3 mice. "
+    items = {1: line * 40, 2: PLAIN, 3: "“Ann” Lee, 42!", 4: ITEM}
+    docs = {1: line * 300, 2: f"x\n{items[3]} y", 3: PLAIN.replace("fox", "cat"), 4: "nothing", 5: ITEM.replace("450", "520"), 6: "ann lee 42"}
+    got = run(spark, docs.items(), items.items())
+    assert set(got) == {(1, 1), (2, 3), (6, 3), (3, 2), (5, 4)} and got[1, 1].n_covered == 440
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(docs), "text": list(docs.values())}))
+    con.register("benchmark", pa.table({"item_id": list(items), "text": list(items.values())}))
+    want = con.sql(D.OP8_SQL).fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.item_id, r.n_words, r.n_covered, r.n_changed, r.share) for r in got.values())
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS_IN) == {} == run(spark, CASES, [])
 
