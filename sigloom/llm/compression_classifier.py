@@ -5,11 +5,12 @@ with both, block by block, so that the dictionary counts as much at the end of a
 difference of the sizes, divided by the text's length, becomes a score by a logistic curve that is fitted on labelled
 texts which the dictionaries have not seen, weighted so that both classes have their share among all labelled rows.
 
-The sample to learn from has a bound: MOST_ROWS rows and MOST_BYTES bytes of each class, chosen by a hash of the id. The
+The sample to learn from has a bound: MOST_ROWS rows of each class in the order of a hash of the id, up to the one with which
+MOST_BYTES bytes are full, so that long texts have the same chance as short ones. Equal rows count once. The
 dictionaries (DICT_BYTES each) and two coefficients are all that is sent to the workers. Scoring covers every whole text.
 
 Defined cases: a null text is empty, with a difference of nought; labels that are null, or of ids without a document, are
-not learned from; where a class has no labels every score is 0.5; an id with several labels counts once for each; repeated
+not learned from; where a class has no labels every score is 0.5; an id with several labels counts once for each different one; repeated
 rows are scored each; other columns are ignored; an empty table gives no rows.
 """
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigloom.llm import common as C
 
@@ -91,16 +93,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_byt
     shares = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
     if len(shares) < 2:
         return None
-    picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for q in (0, 1)]
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("hash")]
+    picked = [usable.where(F.col("quality") == q).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for q in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * most_rows rows of two numbers
+    base = C.texts(docs).withColumn("hash", F.xxhash64("text"))
+    found = base.select("doc_id", "hash", F.octet_length("text").alias("size")).join(few, "doc_id").distinct()
+    first = [found.where(F.col("quality") == q).orderBy(*order).limit(most_rows) for q in (0, 1)]
+    before = F.sum("size").over(W.partitionBy("quality").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    wanted = first[0].unionByName(first[1]).withColumn("before", before).where(F.col("before") < most_bytes).select("doc_id", "hash", "quality")
+    rows = base.join(F.broadcast(wanted), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "quality"]).orderBy(*order)
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    size = {0: 0, 1: 0}
-    rows = C.texts(docs).join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    for row in rows.limit(4 * most_rows).toLocalIterator():
-        raw = row.text.encode()
-        if size[row.quality] + len(raw) <= most_bytes:
-            texts[row.quality].append(raw)
-            size[row.quality] += len(raw)
+    for row in rows.select("quality", "text").toLocalIterator():
+        texts[row.quality].append(row.text.encode())
     if not texts[0] or not texts[1]:
         return None
     # of four texts, three go to the dictionaries and one to the calibration

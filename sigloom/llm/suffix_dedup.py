@@ -348,10 +348,21 @@ def batches_of(ids: np.ndarray, strings: np.ndarray, most: int = BATCH_STRINGS)
         at, done = to, int(total[np.searchsorted(ends, to)])
 
 
-def earlier(family: Family, text: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For a batch of contexts, string by string: whether it starts in a document with a smaller id, in the batch or before it; adds the batch."""
+def hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of spans that lie end to end, some million bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + (1 << 20))))
+        low = start[at]
+        out[at:to] = C.span_hash(C.prefix_hash(text[low : start[to - 1] + size[to - 1]]), start[at:to] - low, start[at:to] - low + size[at:to])
+        at = to
+    return out
+
+
+def earlier(family: Family, text: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For a batch of contexts with hashes, string by string: whether it starts in a document with a smaller id, in the batch or before it; adds the batch."""
     # equal contexts: the one with the smallest id stands for all
-    code = C.span_hash(C.prefix_hash(text), start, start + size)
     order = np.lexsort((ids, size, code))
     new = np.append(True, (np.diff(code[order]) != 0) | (np.diff(size[order]) != 0))
     apart(text, start[order], size[order], new)
@@ -423,10 +434,10 @@ def _scan(length: int, store: bool = False):
         count = n - length + 1
         begin, place = np.cumsum(n) - n, np.cumsum(count) - count
         hit, stored = np.zeros(int(count.sum()), bool), family.levels[:n_stored]
-        fresh = Family()
+        fresh, code = Family(), hashes(data, begin, n)
         for batch in batches_of(ids, count):
             k = count[batch]
-            found = earlier(_Both(stored, fresh), data, begin[batch], n[batch], ids[batch], length)
+            found = earlier(_Both(stored, fresh), data, begin[batch], n[batch], code[batch], ids[batch], length)
             hit[np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(place[batch], k)] = found
         ends = np.concatenate([[0], np.cumsum([int((x - length + 1).sum()) for x in lengths])])
         rows = [(c, g, np.packbits(hit[a:b]).tobytes(), None) for c, a, b in zip(chunks, ends[:-1], ends[1:])]

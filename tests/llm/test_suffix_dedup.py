@@ -71,11 +71,11 @@ def test_family(batch):
     least = {}
     for x, i in where:
         least[x] = min(i, least.get(x, i))
-    count = size - 4
+    count, code = size - 4, S.hashes(text, start, size)
     place = np.cumsum(count) - count
     got, family, seen = np.zeros(len(where), bool), S.Family(), []
     for rows in S.batches_of(ids, count, batch):
-        found = S.earlier(family, text, start[rows], size[rows], ids[rows], 5)
+        found = S.earlier(family, text, start[rows], size[rows], code[rows], ids[rows], 5)
         got[np.concatenate([place[r] + np.arange(count[r]) for r in rows])] = found
         seen += [ids[rows].min(), ids[rows].max()]
     assert got.tolist() == [least[x] < i for x, i in where] and seen == sorted(seen)
