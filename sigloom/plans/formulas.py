@@ -12,7 +12,7 @@ from sigloom.functions.physics import fluids as U
 from sigloom.functions.physics import machines as M
 from sigloom.functions.physics import thermal as T
 from sigloom.functions.physics import turbines as G
-from sigloom.operators.catalog import SHIFT
+from sigloom.operators.catalog import settled, settled_sql
 
 #: Inputs, in Spark and in SQL alike: temperatures, fractions, a potential, a size and a pressure.
 INPUTS = "280 + 4 * l_quantity AS T, 0.05 + 8 * l_discount AS x, 10 * l_tax - 0.4 AS e, l_quantity AS q, l_extendedprice AS p, 1 + l_tax AS r"
@@ -87,15 +87,17 @@ def _query(name: str):
         made = F.when(F.col("q") > 1, struct()) if name == "polytropic_to_isentropic" else struct()
         found = rows.select("l_orderkey", "l_linenumber", made.alias("f"))
         kinds = dict(found.select("f.*").dtypes)
-        return found.select("l_orderkey", "l_linenumber", *[((F.round(F.col(f"f.{k}") + SHIFT, 6) + 0.0) if kinds[k] == "double" else F.col(f"f.{k}")).alias(k) for k in fields])
+        return found.select("l_orderkey", "l_linenumber", *[(settled(F.col(f"f.{k}")) if kinds[k] == "double" else F.col(f"f.{k}")).alias(k) for k in fields])
 
     return run
 
 
 def _sql(name: str) -> str:
     labels = ("region", "limitation", "regime", "metastable", "labile", "stable", "spontaneous_forward")
-    columns = ", ".join(f"{v} AS {k}" if k in labels else f"round(CAST({v} AS DOUBLE) + {SHIFT}, 6) + 0.0 AS {k}" for k, v in FORMULAS[name][1].items())
-    return f"SELECT l_orderkey, l_linenumber, {columns} FROM (SELECT l_orderkey, l_linenumber, {INPUTS} FROM lineitem)"
+    fields = FORMULAS[name][1]
+    raw = ", ".join(f"{v} AS {k}" if k in labels else f"CAST({v} AS DOUBLE) AS {k}" for k, v in fields.items())
+    columns = ", ".join(k if k in labels else f"{settled_sql(k)} AS {k}" for k in fields)
+    return f"SELECT l_orderkey, l_linenumber, {columns} FROM (SELECT l_orderkey, l_linenumber, {raw} FROM (SELECT l_orderkey, l_linenumber, {INPUTS} FROM lineitem))"
 
 
 QUERIES = {f"f_{name}": _query(name) for name in FORMULAS}

@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 
 from sigloom.operators import VIEWS
-from sigloom.operators.catalog import SHIFT
-from sigloom.sources.intake import ANALOG_UNITS, DIGITAL_UNITS, EVENT_UNITS, EVENT_UNITS_BY_SIGNAL, PLANT, STEPWISE_UNITS
+from sigloom.operators.catalog import settled_sql
+from sigloom.sources.intake import ANALOG_UNITS, DIGITAL_UNITS, EVENT_UNITS, EVENT_UNITS_BY_SIGNAL, LINKED, PLANT, STEPWISE_UNITS
 
 K = "entity_id, signal_id"
 W = "(PARTITION BY entity_id, signal_id ORDER BY I)"
@@ -37,14 +37,17 @@ def kurt(x: str) -> str:
     return f"CASE WHEN count({x}) > 3 THEN kurtosis({x}) END"
 
 
-EVENTS = f"""SELECT 'all' AS entity_id, event_type AS signal_id, CAST(epoch_us(ts) // 3600000000 - 473352 AS DOUBLE) AS I,
+EVENTS = f"""SELECT 'g' || (user_id % 3) AS entity_id, event_type AS signal_id, CAST(epoch_us(ts) // 3600000000 - 473352 AS DOUBLE) AS I,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS y,
-  CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_UNITS_BY_SIGNAL.items())} END AS unit, 'time' AS dimension FROM events GROUP BY 2, 3"""
+  CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_UNITS_BY_SIGNAL.items())} END AS unit, 'time' AS dimension FROM events GROUP BY 1, 2, 3"""
 PLANT_SQL = " UNION ALL ".join(
     f"SELECT l_returnflag AS entity_id, '{s}' AS signal_id, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS I, "
     f"CAST(sum({e}) AS DOUBLE) / count(*) AS y, '{u}' AS unit, '{d}' AS dimension FROM lineitem GROUP BY 1, 3"
     for s, (e, u, d) in PLANT.items()
 )
+WEEKS = "SELECT l_returnflag AS entity_id, date_diff('day', DATE '1992-01-06', CAST(l_shipdate AS DATE)) // 7 AS week, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS q, CAST(count(*) % 4 AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2"
+LINKED_SQL = " UNION ALL ".join(f"SELECT entity_id, '{s}' AS signal_id, CAST(week + {k} AS DOUBLE) AS I, {e} AS y, '{u}' AS unit, 'time' AS dimension FROM ({WEEKS})" for s, (e, k, u) in LINKED.items())
+GRIDS = {"events": EVENTS, "plant": PLANT_SQL, "linked": LINKED_SQL}
 
 
 def _mean(table: str, value: str, mean: str, z: str) -> str:
@@ -247,7 +250,7 @@ CTE: dict[str, str] = {
 }
 
 
-def oracle(name: str, plant: bool = False) -> str:
+def oracle(name: str, grid: str = "events") -> str:
     """The query with all expressions that it rests on, and real numbers rounded as in the DataFrame's."""
     used: dict[str, str] = {}
 
@@ -258,6 +261,6 @@ def oracle(name: str, plant: bool = False) -> str:
         used[n] = CTE[n]
 
     need(name)
-    parts = [f"obs AS ({PLANT_SQL if plant else EVENTS})", *(f"{k} AS ({v})" for k, v in used.items())]
-    columns = ", ".join(f"round({c[1:]} + {SHIFT}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else c for c in VIEWS[name][1])
+    parts = [f"obs AS ({GRIDS[grid]})", *(f"{k} AS ({v})" for k, v in used.items())]
+    columns = ", ".join(f"{settled_sql(f'CAST({c[1:]} AS DOUBLE)')} AS {c[1:]}" if c[0] == "~" else c for c in VIEWS[name][1])
     return f"WITH {', '.join(parts)} SELECT {columns} FROM {name}"

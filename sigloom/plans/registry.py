@@ -10,16 +10,29 @@ from sigloom.operators import VIEWS, Signals
 from sigloom.operators.engines import KERNELS, apply, windowed
 from sigloom.plans import formulas
 from sigloom.plans.oracle import CTE, oracle
-from sigloom.sources.intake import event_grid, plant_grid
+from sigloom.sources.intake import event_grid, linked_grid, plant_grid
 
 FLAGSHIP = "v_calculus_complete"
 
-#: These need units that belong together, so they run on the plant's signals; all others on the hourly events.
+#: Some need units that belong together, so they run on the plant's signals; some need signals that drive each other; all others run on the hourly events.
 ON_PLANT = {f"v_{n}" for n in "conservation_check mass_balance energy_balance thermodynamic_consistency second_law_check continuity_equation diffusion_check bernoulli_check heat_transfer_check momentum_balance physics_complete".split()}
 
+ON_LINKED = {
+    f"v_{n}"
+    for n in (
+        "optimal_lag lead_lag coupling_network node_degree directional_degree correlation_clusters geometry_complete attractors_all attractors granger_proxy bidirectional_causality causal_roles causal_chains "
+        "root_cause_candidates causal_strength causal_graph causality_complete system_causal_structure coupling_summary system_summary export_behavioral_geometry export_causal_mechanics"
+    ).split()
+}
+GRIDS = {"events": event_grid, "plant": plant_grid, "linked": linked_grid}
+
+
+def grid_of(name: str) -> str:
+    return "plant" if name in ON_PLANT else "linked" if name in ON_LINKED else "events"
+
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    grid = plant_grid if name in ON_PLANT else event_grid
+    grid = GRIDS[grid_of(name)]
     return lambda spark, sf_dir: Signals(grid(spark, sf_dir)).rounded(name)
 
 
@@ -31,7 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(nam
 QUERIES |= {f"k_{name}": _kernel(name) for name in KERNELS}
 QUERIES |= {f"k_{name}_windows": (lambda spark, sf_dir, name=name: windowed(Signals(event_grid(spark, sf_dir)), name)) for name in ("garch_moments", "lyapunov", "wavelet")}
 #: All but the JSON texts, whose tables are checked themselves.
-ORACLES: dict[str, str] = {name: oracle(name, name in ON_PLANT) for name in VIEWS if name in CTE}
+ORACLES: dict[str, str] = {name: oracle(name, grid_of(name)) for name in VIEWS if name in CTE}
 
 QUERIES |= formulas.QUERIES
 ORACLES |= formulas.ORACLES

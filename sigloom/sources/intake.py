@@ -64,14 +64,14 @@ EVENT_UNITS_BY_SIGNAL = {"click": "kPa", "error": "K", "purchase": "L/min", "sig
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly averages of event values by type; sums are exact decimals, so they do not depend on the order of rows."""
+    """Hourly averages of event values by type for three groups of users; sums are exact decimals, so they do not depend on the order of rows."""
     hour = F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 3600000000 - 473352").cast("double")
     unit = F.create_map(*[F.lit(x) for kv in EVENT_UNITS_BY_SIGNAL.items() for x in kv])
     return (
         spark.read.parquet(f"{sf_dir}/events.parquet")
-        .groupBy(F.col("event_type").alias("signal_id"), hour.alias("I"))
+        .groupBy(F.concat(F.lit("g"), F.col("user_id") % 3).alias("entity_id"), F.col("event_type").alias("signal_id"), hour.alias("I"))
         .agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("y"))
-        .select(F.lit("all").alias("entity_id"), "signal_id", "I", "y", F.try_element_at(unit, "signal_id").alias("unit"), F.lit("time").alias("dimension"))
+        .select("entity_id", "signal_id", "I", "y", F.try_element_at(unit, "signal_id").alias("unit"), F.lit("time").alias("dimension"))
     )
 
 
@@ -98,3 +98,23 @@ def plant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     signals = F.array(*[F.struct(F.lit(s).alias("signal_id"), (F.col(s) / F.col("n")).alias("y"), F.lit(u).alias("unit"), F.lit(d).alias("dimension")) for s, (_, u, d) in PLANT.items()])
     return wide.select("entity_id", "I", F.explode(signals).alias("x")).select("entity_id", "x.signal_id", "I", "x.y", "x.unit", "x.dimension")
+
+
+#: signal -> (expression over a week's mean quantity q and number of rows n, weeks by which it comes later, unit)
+LINKED = {
+    "drive": ("q", 0, "L/min"),
+    "follow": ("0.5 * q + 3", 10, "kPa"),
+    "third": ("2 * q", 20, "kPa"),
+    "oppose": ("50 - q", 3, "K"),
+    "state": ("n", 0, "state"),
+}
+
+
+def linked_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly signals for each return flag, of which some are others' copies some weeks later, so that drivers, chains and clusters exist."""
+    week = F.expr("datediff(CAST(l_shipdate AS DATE), DATE'1992-01-06') DIV 7")
+    weeks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("entity_id"), week.alias("week")).agg(
+        (F.sum(F.expr("CAST(l_quantity AS DECIMAL(18,2))")).cast("double") / F.count(F.lit(1))).alias("q"), (F.count(F.lit(1)) % 4).cast("double").alias("n")
+    )
+    signals = F.array(*[F.struct(F.lit(s).alias("signal_id"), (F.col("week") + k).cast("double").alias("I"), F.expr(e).cast("double").alias("y"), F.lit(u).alias("unit")) for s, (e, k, u) in LINKED.items()])
+    return weeks.select("entity_id", F.explode(signals).alias("x")).select("entity_id", "x.*", F.lit("time").alias("dimension"))
