@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sigloom.operators import VIEWS, Signals
+from sigloom.operators.catalog import settled
 from sigloom.operators.engines import KERNELS, apply, windowed
-from sigloom.plans import formulas
+from sigloom.plans import formulas, kernel_sql
 from sigloom.plans.oracle import CTE, oracle
 from sigloom.sources.intake import event_grid, linked_grid, plant_grid
 
@@ -37,14 +39,21 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _kernel(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: apply(Signals(event_grid(spark, sf_dir)), name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        signals = Signals(event_grid(spark, sf_dir))
+        found = windowed(signals, name.removesuffix("_windows")) if name.endswith("_windows") else apply(signals, name)
+        if name not in kernel_sql.KERNEL_SQL:
+            return found
+        return found.select(*[settled(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in kernel_sql.columns(name)])
+
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in VIEWS}
 QUERIES |= {f"k_{name}": _kernel(name) for name in KERNELS}
-QUERIES |= {f"k_{name}_windows": (lambda spark, sf_dir, name=name: windowed(Signals(event_grid(spark, sf_dir)), name)) for name in ("garch_moments", "lyapunov", "wavelet")}
+QUERIES |= {f"k_{name}": _kernel(name) for name in ("garch_moments_windows", "lyapunov_windows", "wavelet_windows")}
 #: All but the JSON texts, whose tables are checked themselves.
 ORACLES: dict[str, str] = {name: oracle(name, grid_of(name)) for name in VIEWS if name in CTE}
 
 QUERIES |= formulas.QUERIES
-ORACLES |= formulas.ORACLES
+ORACLES |= formulas.ORACLES | kernel_sql.ORACLES
