@@ -11,6 +11,7 @@ import math
 import numpy as np
 
 from sigloom.functions import mathx as M
+from sigloom.functions.physics import control
 
 NAN = float("nan")
 
@@ -405,6 +406,26 @@ def regimes(I, y):
     return {"regime": np.arange(jump.sum()), "start": I[at[jump]], "mean": means[jump]}
 
 
+def kalman(I, y, q=0.1, r=1.0):
+    """A local level filtered forward and smoothed back (Rauch, Tung and Striebel), from level 0 with variance 1."""
+    if not len(y):
+        return {k: np.zeros(0) for k in ("I", "level", "variance", "innovation", "smoothed", "smoothed_variance")}
+    found = control.filter_sequence(y, 1.0, 1.0, q, r)
+    smooth = control.smooth(found["states"], found["covariances"], 1.0, q)
+    return {
+        "I": I, "level": found["states"][:, 0], "variance": found["covariances"][:, 0, 0], "innovation": found["innovations"][:, 0],
+        "smoothed": smooth["smoothed_states"][:, 0], "smoothed_variance": smooth["smoothed_covariances"][:, 0, 0],
+    }
+
+
+def noise(I, y, q=0.1, r=1.0):
+    """Variances of the steps and of what is left, as estimated from the filtered level."""
+    if len(y) < 3:
+        return {"process_noise": NAN, "measurement_noise": NAN}
+    found = control.noise(y, control.filter_sequence(y, 1.0, 1.0, q, r)["states"], 1.0, 1.0)
+    return {"process_noise": float(found["Q"][0, 0]), "measurement_noise": float(found["R"][0, 0])}
+
+
 # ---------------------------------------------------------------- pairs (a, b aligned, directed from a to b where it matters)
 
 
@@ -549,6 +570,7 @@ def tree(x, names, index):
     return {
         "source": [names[a] for a, _, _ in edges], "target": [names[b] for _, b, _ in edges], "distance": np.array([w for _, _, w in edges]),
         "source_degree": np.array([int(degree[a]) for a, _, _ in edges], int), "target_degree": np.array([int(degree[b]) for _, b, _ in edges], int),
+        "hubs": [sorted(names[i] for i in np.flatnonzero(degree >= 3))] * len(edges), "leaves": [sorted(names[i] for i in np.flatnonzero(degree == 1))] * len(edges),
     }
 
 

@@ -41,6 +41,14 @@ def exchange_current_density(i0_ref: Value, T_ref: Value, T: Value, E_a: Value)
     return out(i0=c(i0_ref) * ratio, ratio=ratio)
 
 
+def polarization_curve(eta: Value, i0: Value, alpha: Value = 0.5, n: Value = 1, T: Value = 298.15, i_L: Value | None = None) -> Column:
+    """Current by Butler and Volmer at each overpotential, held by the limiting current where one is given."""
+    i = butler_volmer(eta, i0, alpha, n, T)["i"]
+    if i_L is not None:
+        i = i / (1 + F.abs(i) / c(i_L))
+    return out(eta=c(eta), i=i, log_abs_i=F.log10(F.abs(i) + 1e-20))
+
+
 def arrhenius(A: Value, Ea: Value, T: Value) -> Column:
     x = c(Ea) / (R * c(T))
     return out(k=c(A) * F.exp(-x), exponential_factor=F.exp(-x), Ea_RT=x)

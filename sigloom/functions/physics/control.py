@@ -90,14 +90,16 @@ def routh(coefficients) -> dict:
     n, w = len(a), (len(a) + 1) // 2
     t = np.zeros((n, w))
     t[0, : len(a[::2])], t[1, : len(a[1::2])] = a[::2], a[1::2]
+    border = False  # poles on the imaginary axis, or in pairs about it
     for i in range(2, n):
         if not t[i - 1].any():  # a row of noughts: the derivative of the row above
+            border = True
             t[i - 1] = t[i - 2] * np.maximum(n - i + 1 - 2 * np.arange(w), 0)
         lead = t[i - 1, 0] if t[i - 1, 0] else 1e-9
         t[i, :-1] = (lead * t[i - 2, 1:] - t[i - 2, 0] * t[i - 1, 1:]) / lead
     s = np.sign(np.where(t[:, 0] == 0, 1e-9, t[:, 0]))
     changes = int((s[1:] != s[:-1]).sum())
-    return {"stable": changes == 0 and bool((t[:, 0] != 0).all()), "routh_array": t, "sign_changes": changes, "rhp_poles": changes}
+    return {"stable": changes == 0 and not border and bool((t[:, 0] != 0).all()), "routh_array": t, "sign_changes": changes, "rhp_poles": changes}
 
 
 def nyquist(num, den, omega=None) -> dict:

@@ -55,6 +55,58 @@ def invariants(g: DataFrame, nu: float) -> DataFrame:
     return g.withColumns({"Q": q, "delta": F.pow(q / 3, F.lit(3.0)) + F.pow(r / 2, F.lit(2.0)), "dissipation": 2 * nu * square(S), "enstrophy": 0.5 * F.col("vorticity_magnitude") ** 2, "helicity": spin, "relative_helicity": over(spin, speed * F.col("vorticity_magnitude"))})
 
 
+def _tensor(g: DataFrame, sign: int, name: str) -> DataFrame:
+    return g.withColumns({f"{name}_{a}{b}": (F.col(f"d{'uvw'[i]}_d{b}") + sign * F.col(f"d{'uvw'[j]}_d{a}")) / 2 for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j and (sign > 0 or i < j)})
+
+
+def strain_rate(g: DataFrame) -> DataFrame:
+    """s_xx, s_xy, ...: the symmetric part of the velocity gradient."""
+    return _tensor(g, 1, "s")
+
+
+def rotation(g: DataFrame) -> DataFrame:
+    """r_xy, r_xz, r_yz: its skew part."""
+    return _tensor(g, -1, "r")
+
+
+def laplacian(field: DataFrame, value: str, steps: tuple[float, ...]) -> DataFrame:
+    """Adds the sum of second differences of a value; null on the border."""
+    axes = AXES[: len(steps)]
+    total = F.lit(0.0)
+    for axis, step in zip(axes, steps):
+        w = W.partitionBy("field_id", *[a for a in axes if a != axis]).orderBy(axis)
+        total = total + (F.lead(value).over(w) - 2 * F.col(value) + F.lag(value).over(w)) / (step * step)
+    return field.withColumn(f"laplacian_{value}", total)
+
+
+def speed(field: DataFrame) -> DataFrame:
+    return field.withColumn("velocity_magnitude", F.sqrt(sum((F.col(n) * F.col(n) for n in "uvw" if n in field.columns), F.lit(0.0))))
+
+
+def shape(field: DataFrame) -> DataFrame:
+    """Extents of each field, and whether it is whole: every cell once, no velocity missing."""
+    axes = [a for a in AXES if a in field.columns]
+    sizes = [F.count_distinct(a).alias(f"n_{a[1:]}") for a in axes]
+    m = field.groupBy("field_id").agg(*sizes, F.count(F.lit(1)).alias("n_cells"), F.count_if(sum((F.col(n).isNull().cast("int") for n in "uvw" if n in field.columns), F.lit(0)) > 0).alias("n_missing"))
+    cells = F.lit(1)
+    for a in axes:
+        cells = cells * F.col(f"n_{a[1:]}")
+    return m.withColumn("is_valid", (F.col("n_cells") == cells) & (F.col("n_missing") == 0))
+
+
+def analysis(field: DataFrame, steps: tuple[float, ...], nu: float, length: float) -> DataFrame:
+    """One row for each field: Reynolds numbers, regime, intensity, and means of energy, dissipation, enstrophy, helicity and Q."""
+    m = speed(invariants(gradients(field, steps), nu)).groupBy("field_id").agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in ("velocity_magnitude", "dissipation", "enstrophy", "helicity", "Q")], *[F.var_pop(c).alias(f"var_{c}") for c in "uvw"]
+    )
+    tke = (F.col("var_u") + F.col("var_v") + F.col("var_w")) / 2
+    m = m.withColumns({"mean_tke": tke, "reynolds_number": F.col("mean_velocity_magnitude") * length / nu})
+    u2 = 2 * F.col("mean_tke") / 3
+    taylor = F.sqrt(15 * nu * u2 / F.col("mean_dissipation"))
+    kind = pick((F.col("reynolds_number") < 2300, "laminar"), (F.col("reynolds_number") < 4000, "transitional"), other="turbulent")
+    return m.withColumns({"taylor_reynolds_number": F.sqrt(u2) * taylor / nu, "turbulence_intensity": F.sqrt(u2) / F.col("mean_velocity_magnitude"), "flow_regime": kind}).drop("var_u", "var_v", "var_w")
+
+
 def lambda2(gradient: np.ndarray) -> np.ndarray:
     """Middle eigenvalue of S^2 + O^2 for an array of 3x3 gradients."""
     s, o = (gradient + gradient.swapaxes(-1, -2)) / 2, (gradient - gradient.swapaxes(-1, -2)) / 2

@@ -33,6 +33,21 @@ def paris(delta_K: Value, C: Value, m: Value) -> Column:
     return c(C) * F.pow(c(delta_K), c(m))
 
 
+def crack_life(a0: Value, a_c: Value, delta_sigma: Value, C: Value, m: float) -> Column:
+    """Cycles from one crack length to another: Paris' law with a stress range, delta_K = delta_sigma sqrt(pi a), integrated."""
+    k = c(C) * F.pow(c(delta_sigma) * math.sqrt(math.pi), F.lit(m))
+    e = 1 - m / 2
+    n = F.ln(c(a_c) / c(a0)) / k if e == 0 else (F.pow(c(a_c), F.lit(e)) - F.pow(c(a0), F.lit(e))) / (k * e)
+    return out(N=n, da_dN_start=paris(c(delta_sigma) * F.sqrt(math.pi * c(a0)), C, m))
+
+
+def critical_speed(m: Value, k: Value, rpm_low: Value, rpm_high: Value) -> Column:
+    """Natural frequency of a rotor on its shaft, as a speed, and whether a range of speeds holds it."""
+    w = F.sqrt(c(k) / c(m))
+    rpm = w * 30 / math.pi
+    return out(natural_frequency=w, critical_rpm=rpm, in_range=(rpm >= c(rpm_low)) & (rpm <= c(rpm_high)))
+
+
 def unbalance(m: Value, k: Value, damping: Value, e: Value, omega: Value) -> Column:
     w2 = c(omega) * c(omega)
     stiff, loss = c(k) - c(m) * w2, c(damping) * c(omega)

@@ -141,6 +141,13 @@ def cubic(T: float, P: float, Tc: float, Pc: float, omega: float = 0, kind: str
     return {"Z": Z, "V": Z * R * T / P, "fugacity_coeff": math.exp(ln), "A": A, "B": B}
 
 
+def vle(T: float, P: float, z, antoine) -> dict:
+    """Vapour and liquid of a feed at T (K) and P (mmHg): K-values by Raoult's law and Antoine's equation, then a flash."""
+    a = np.asarray(antoine, float)
+    K = 10 ** (a[:, 0] - a[:, 1] / (T - 273.15 + a[:, 2])) / P
+    return flash(z, K) | {"K": K}
+
+
 def flash(z, K, steps: int = 50) -> dict:
     """Vapour share by bisection of Rachford and Rice's equation."""
     z, K = np.asarray(z, float), np.asarray(K, float)

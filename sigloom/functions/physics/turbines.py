@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigloom.functions.physics.base import Value, c, out, over
 
@@ -81,3 +82,32 @@ def brayton_ideal(T1: Value, T3: Value, ratio: Value, gamma: Value = 1.4, cp: Va
 def capabilities(signals: set[str], constants: set[str], needs: dict[str, tuple[set[str], set[str]]]) -> dict[str, dict]:
     """For each analysis, whether its signals and constants are there, and which are not."""
     return {k: {"available": s <= signals and q <= constants, "missing_signals": sorted(s - signals), "missing_constants": sorted(q - constants)} for k, (s, q) in needs.items()}
+
+
+# ---------------------------------------------------------------- on tables of signals
+
+#: The columns of the turbofan data that the efficiencies need: temperatures in Rankine, pressures in psia.
+TURBOFAN = {"T1": "T2", "T2": "T30", "P1": "P2", "P2": "P30", "T4": "T50"}
+
+
+def compressor_from_signals(df: DataFrame, T1: str, T2: str, P1: str, P2: str, rankine: bool = False, psia: bool = False, gamma: float = 1.4) -> DataFrame:
+    """The compressor's measures beside the rows of a wide table; temperatures and pressures in other units are converted."""
+    t, p = RANKINE if rankine else 1.0, PSIA if psia else 1.0
+    return df.withColumn("compressor", compressor(F.col(T1) * t, F.col(T2) * t, F.col(P1) * p, F.col(P2) * p, gamma)).select(*df.columns, "compressor.*")
+
+
+def turbine_from_signals(df: DataFrame, T3: str, T4: str, P3: str, P4: str, rankine: bool = False, psia: bool = False, gamma: float = 1.33) -> DataFrame:
+    t, p = RANKINE if rankine else 1.0, PSIA if psia else 1.0
+    return df.withColumn("turbine", turbine(F.col(T3) * t, F.col(T4) * t, F.col(P3) * p, F.col(P4) * p, gamma)).select(*df.columns, "turbine.*")
+
+
+def analyse_turbofan(df: DataFrame, unit: str = "unit_id", cycle: str = "cycle", names: dict[str, str] = TURBOFAN) -> DataFrame:
+    """For each engine: its cycles, mean compressor efficiency, that of the first and last tenth of its life, and the trend."""
+    made = compressor_from_signals(df, names["T1"], names["T2"], names["P1"], names["P2"], True, True)
+    last = F.max(F.col(cycle)).over(W.partitionBy(unit))
+    made = made.withColumn("life", F.col(cycle) / last)
+    m = made.groupBy(unit).agg(
+        F.max(cycle).alias("n_cycles"), F.avg("efficiency").alias("mean_efficiency"), F.avg(F.when(F.col("life") <= 0.1, F.col("efficiency"))).alias("early_efficiency"),
+        F.avg(F.when(F.col("life") > 0.9, F.col("efficiency"))).alias("late_efficiency"), F.regr_slope("efficiency", cycle).alias("trend"),
+    )
+    return m.withColumn("degradation", F.col("early_efficiency") - F.col("late_efficiency"))

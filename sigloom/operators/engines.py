@@ -64,6 +64,8 @@ for _name, _columns, _run in (
     ("signal_form", "predictability string, repetition string, standard_form string, symmetry double, frequency_content string, dominant_ratio double", K.typology),
     ("laplace_series", "I double, gradient double, laplacian double, field string", K.laplace_series),
     ("regime_detection", "regime int, start double, mean double", K.regimes),
+    ("kalman", "I double, level double, variance double, innovation double, smoothed double, smoothed_variance double", K.kalman),
+    ("kalman_noise", "process_noise double, measurement_noise double", K.noise),
 ):
     kernel(_name, "signal", _columns, _run)
 kernel("granger", "pair", "f_stat double, p_value double, lag int, is_causal boolean", K.granger)
@@ -76,7 +78,7 @@ kernel("pca_coordinates", "entity", "I double, manifold_x double, manifold_y dou
 kernel("dmd", "entity", "mode int, growth double, frequency double, is_stable boolean, recon_error double", K.dmd)
 kernel("clustering", "entity", "I double, regime_id int, centroid_distance double", K.clustering)
 kernel("density_clustering", "entity", "I double, regime_id int", K.density_clustering)
-kernel("mst", "entity", "source string, target string, distance double, source_degree int, target_degree int", K.tree)
+kernel("mst", "entity", "source string, target string, distance double, source_degree int, target_degree int, hubs array<string>, leaves array<string>", K.tree)
 kernel("lof", "entity", "signal_id string, lof_score double, is_outlier boolean", K.outliers)
 kernel("convex_hull", "entity", "hull_area double, n_boundary int, mean_distance double, max_distance double, hull_method string", K.hull)
 kernel("modes", "entity", "signal_id string, mode_id int, mode_affinity double, mode_entropy double", K.modes)
@@ -237,11 +239,34 @@ def e_extras(s: Signals):
     return m.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("realized_volatility"), div(F.covar_pop("I", "away"), F.var_pop("I")).alias("hd_slope"), F.avg("h").alias("mean_hamiltonian"))
 
 
-@view("entity_id signal_id regime_id n_points ~mean_index ~pct_time", "e_regime_stats")
+def segments(points: DataFrame, label: str) -> DataFrame:
+    """For each signal and label: points, segments (parted by a gap of over 1.5 usual steps), their mean duration, the mean index and the share of points."""
+    own = W.partitionBy(*KEY, label).orderBy("I")
+    steps = points.withColumn("step", F.col("I") - F.lag("I").over(by_index()))
+    m = steps.withColumn("usual", F.median("step").over(W.partitionBy(*KEY))).withColumn("gap", F.col("I") - F.lag("I").over(own))
+    m = m.withColumn("segment", F.count_if(F.col("gap") > 1.5 * F.col("usual")).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    parts = m.groupBy(*KEY, label, "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("I").alias("total"), (F.max("I") - F.min("I")).alias("duration"))
+    found = parts.groupBy(*KEY, label).agg(F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("n_segments"), F.avg("duration").alias("duration_mean"), (F.sum("total") / F.sum("n")).alias("mean_index"))
+    return found.withColumn("pct_time", 100 * div("n_points", F.sum("n_points").over(W.partitionBy(*KEY))))
+
+
+@view("entity_id signal_id regime_id n_points n_segments ~duration_mean ~mean_index ~pct_time", "e_regime_stats")
 def e_regime_stats(s: Signals):
-    """Of k-means regimes: how many points of a signal are in each, and their share."""
-    m = s["v_base"].join(apply(s, "clustering"), ["entity_id", "I"]).groupBy(*KEY, "regime_id").agg(F.count(F.lit(1)).alias("n_points"), F.avg("I").alias("mean_index"))
-    return m.withColumn("pct_time", 100 * div("n_points", F.sum("n_points").over(W.partitionBy(*KEY))))
+    """Segments of k-means regimes."""
+    return segments(s["v_base"].select(*KEY, "I").join(apply(s, "clustering"), ["entity_id", "I"]), "regime_id")
+
+
+@view("entity_id signal_id regime_state n_points n_segments ~duration_mean ~mean_index ~pct_time", "e_regime_segments")
+def e_regime_segments(s: Signals):
+    """Segments of the regime states."""
+    return segments(s["v_regime_state"].select(*KEY, "I", "regime_state"), "regime_state")
+
+
+@view("entity_id signal_a signal_b ~js ~wasserstein", "e_reference_divergence")
+def e_reference_divergence(s: Signals):
+    """Divergence of each signal's changes of distribution from one reference, the entity's first signal by name."""
+    first = s["v_base"].groupBy("entity_id").agg(F.min("signal_id").alias("signal_a"))
+    return apply(s, "divergence").join(first, ["entity_id", "signal_a"], "left_semi")
 
 
 @view("entity_id signal_a signal_b n_points ~correlation ~te_proxy_ab ~te_proxy_ba", "e_layer_pairs")

@@ -76,6 +76,12 @@ FORMULAS: dict[str, tuple[Callable[[], Column], dict[str, str]]] = {
     "corrected_parameters": (lambda: G.corrected("T", 101325.0, "p", "q"), {"N_corrected": "p / sqrt(T / 288.15)", "W_corrected": "q * sqrt(T / 288.15)"}),
     "brayton_cycle": (lambda: G.brayton(288.0, F.col("T") + 300, 1400.0, 800.0, 1e5, 1e6), {"work_net": "1150 * 600 - 1005 * (T + 300 - 288)", "thermal_efficiency": "(1150 * 600 - 1005 * (T + 12)) / (1150 * (1100 - T))"}),
     "brayton_ideal": (lambda: G.brayton_ideal(288.0, 1400.0, F.col("q") + 1), {"thermal_efficiency": "1 - power(q + 1, -0.4 / 1.4)"}),
+    "polarization_curve": (lambda: C.polarization_curve("e", 2.0, 0.4, 1, "T", 50.0), {"i": f"(2 * exp(0.4 * e * {FRT}) - 2 * exp(-0.6 * e * {FRT})) / (1 + abs(2 * exp(0.4 * e * {FRT}) - 2 * exp(-0.6 * e * {FRT})) / 50)"}),
+    "crack_life": (lambda: M.crack_life("x", 2.0, "q", 1e-3, 3.0), {"N": "(power(2, -0.5) - power(x, -0.5)) / (1e-3 * power(q * sqrt(pi()), 3) * -0.5)", "da_dN_start": "1e-3 * power(q * sqrt(pi() * x), 3)"}),
+    "critical_speeds": (lambda: M.critical_speed("r", "p", 900.0, 2500.0), {"natural_frequency": "sqrt(p / r)", "critical_rpm": "sqrt(p / r) * 30 / pi()", "in_range": "sqrt(p / r) * 30 / pi() BETWEEN 900 AND 2500"}),
+    "uncorrect_speed": (lambda: F.struct(G.uncorrect_speed("p", "T").alias("N")), {"N": "p * sqrt(T / 288.15)"}),
+    "uncorrect_flow": (lambda: F.struct(G.uncorrect_flow("q", "T", "p").alias("W")), {"W": "q * p / 101325 / sqrt(T / 288.15)"}),
+    "isentropic_to_polytropic": (lambda: F.struct(G.isentropic_to_polytropic(0.85, F.col("q") + 1).alias("eta_p")), {"eta_p": "0.4 / 1.4 * ln(q + 1) / ln((power(q + 1, 0.4 / 1.4) - 1) / 0.85 + 1)"}),
 }
 
 
@@ -93,7 +99,7 @@ def _query(name: str):
 
 
 def _sql(name: str) -> str:
-    labels = ("region", "limitation", "regime", "metastable", "labile", "stable", "spontaneous_forward")
+    labels = ("region", "limitation", "regime", "metastable", "labile", "stable", "spontaneous_forward", "in_range")
     fields = FORMULAS[name][1]
     raw = ", ".join(f"{v} AS {k}" if k in labels else f"CAST({v} AS DOUBLE) AS {k}" for k, v in fields.items())
     columns = ", ".join(k if k in labels else f"{settled_sql(k)} AS {k}" for k in fields)

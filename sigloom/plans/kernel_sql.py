@@ -54,7 +54,7 @@ KERNEL_SQL: dict[str, str] = {
       SELECT {K}, CASE WHEN count(f) < 3 THEN 0.5 ELSE least(greatest(regr_slope(ln(f), ln(w)), 0), 1) END AS hurst, CASE WHEN count(f) < 3 THEN 0 ELSE regr_r2(ln(f), ln(w)) END AS hurst_r2, 'dfa' AS hurst_method
       FROM sizes LEFT JOIN f USING ({K}) GROUP BY ALL""",
     "acf_decay": f"""WITH r AS (SELECT {K}, count(*) FILTER (r > 0.01 AND k <= 50) AS m, -regr_slope(ln(CASE WHEN r > 0.01 THEN r END), CASE WHEN r > 0.01 THEN k END) FILTER (k <= 50) AS rate, max(r) FILTER (k = 1) AS a1, max(r) FILTER (k = 5) AS a5 FROM lags WHERE n >= 60 GROUP BY ALL)
-      SELECT {K}, CASE WHEN m > 5 THEN rate ELSE {NAN} END AS acf_decay_rate, CASE WHEN m <= 5 THEN {NAN} WHEN rate > 0 THEN ln(2) / rate ELSE 'Infinity'::DOUBLE END AS half_life, a1 AS acf_1, a5 AS acf_5 FROM r""",
+      SELECT {K}, CASE WHEN m > 5 THEN rate END AS acf_decay_rate, CASE WHEN m <= 5 THEN NULL WHEN rate > 0 THEN ln(2) / rate WHEN rate <= 0 THEN 'Infinity'::DOUBLE END AS half_life, a1 AS acf_1, a5 AS acf_5 FROM sizes LEFT JOIN r USING ({K})""",
     "spectral_slope": f"SELECT {K}, -regr_slope(ln(p + 1e-10), ln(f)) AS slope, regr_r2(ln(p + 1e-10), ln(f)) AS slope_r2 FROM power WHERE f > 0.01 AND f < 0.4 GROUP BY ALL",
     "fft": f"""WITH q AS (SELECT *, p / sum(p) OVER (PARTITION BY {K}) AS w FROM power WHERE k > 0), c AS (SELECT *, sum(w) OVER (PARTITION BY {K} ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto, sum(f * w) OVER (PARTITION BY {K}) AS centre FROM q)
       SELECT {K}, any_value(centre) AS spectral_centroid, sqrt(sum((f - centre) * (f - centre) * w)) AS spectral_bandwidth, sum(w) FILTER (f < 0.1) / sum(w) FILTER (f >= 0.1) AS low_high_ratio,
@@ -122,6 +122,16 @@ KERNEL_SQL: dict[str, str] = {
       w AS (SELECT {AB}, sum(abs(below_a - below_b) / n::DOUBLE * (next - y)) AS w FROM e WHERE next IS NOT NULL GROUP BY ALL)
       SELECT {AB}, CASE WHEN n >= 10 THEN kl END AS kl_symmetric, CASE WHEN n >= 10 THEN js END AS js, CASE WHEN n >= 10 THEN w END AS wasserstein FROM l LEFT JOIN k USING ({AB}) LEFT JOIN w USING ({AB})""",
 }
+# a local level with noises 0.1 and 1, forward and back: one point of each signal a step
+KALMAN = f"""f(entity_id, signal_id, t, n, I, x, p, gap) AS (SELECT entity_id, signal_id, t, n, I, y * 1.1 / 2.1, 1.1 * power(1 / 2.1, 2) + power(1.1 / 2.1, 2), y FROM s WHERE t = 0
+      UNION ALL SELECT s.entity_id, s.signal_id, s.t, s.n, s.I, x + (p + 0.1) / (p + 1.1) * (y - x), power(1 - (p + 0.1) / (p + 1.1), 2) * (p + 0.1) + power((p + 0.1) / (p + 1.1), 2), y - x FROM f JOIN s ON s.entity_id = f.entity_id AND s.signal_id = f.signal_id AND s.t = f.t + 1)"""
+KERNEL_SQL["kalman"] = f"""WITH RECURSIVE {KALMAN},
+      b(entity_id, signal_id, t, x, p) AS (SELECT entity_id, signal_id, t, x, p FROM f WHERE t = n - 1
+        UNION ALL SELECT f.entity_id, f.signal_id, f.t, f.x + f.p / (f.p + 0.1) * (b.x - f.x), f.p + power(f.p / (f.p + 0.1), 2) * (b.p - f.p - 0.1) FROM b JOIN f ON f.entity_id = b.entity_id AND f.signal_id = b.signal_id AND f.t = b.t - 1)
+      SELECT f.entity_id, f.signal_id, I, f.x AS level, f.p AS variance, gap AS innovation, b.x AS smoothed, b.p AS smoothed_variance FROM f JOIN b USING ({K}, t)"""
+KERNEL_SQL["kalman_noise"] = f"""WITH RECURSIVE {KALMAN}
+      SELECT {K}, CASE WHEN count(*) >= 3 THEN var_samp(step) END AS process_noise, CASE WHEN count(*) >= 3 THEN var_samp(left_over) END AS measurement_noise
+      FROM (SELECT f.entity_id, f.signal_id, x - lag(x) OVER (PARTITION BY {K} ORDER BY t) AS step, y - x AS left_over FROM f JOIN s USING ({K}, t)) GROUP BY ALL"""
 KERNEL_SQL["hilbert"] = f"""WITH points AS ({KERNEL_SQL["hilbert_points"]})
       SELECT {K}, {", ".join(f"{f}({c}) AS {c}_{k}" for c in ("amplitude", "phase", "frequency") for k, f in (("mean", "avg"), ("std", "stddev_pop")))} FROM points GROUP BY ALL"""
 
@@ -140,3 +150,4 @@ def kernel_oracle(name: str) -> str:
 
 
 ORACLES = {f"k_{name}": kernel_oracle(name) for name in KERNEL_SQL}
+ORACLES["e_reference_divergence"] = f"SELECT entity_id, signal_a, signal_b, js, wasserstein FROM ({ORACLES['k_divergence']}) WHERE (entity_id, signal_a) IN (SELECT entity_id, min(signal_id) FROM ({EVENTS}) GROUP BY 1)"

@@ -247,6 +247,20 @@ CTE: dict[str, str] = {
     "e_extras": f"SELECT {K}, sqrt(sum(r * r)) AS realized_volatility, {div('covar_pop(I, away)', 'var_pop(I)')} AS hd_slope, avg((dy * dy + (y - mu) * (y - mu)) / 2) AS mean_hamiltonian FROM (SELECT *, y - lag(y) OVER {W} AS r, abs(y - first_value(y) OVER {W}) AS away, avg(y) OVER (PARTITION BY {K}) AS mu FROM v_points) GROUP BY ALL",
     "placed": f"SELECT {K}, y, row_number() OVER {W} AS pos, lead(y) OVER {W} AS nxt FROM obs",
     "e_layer_pairs": f"SELECT a.entity_id, a.signal_id AS signal_a, b.signal_id AS signal_b, count(*) AS n_points, {corr('a.y', 'b.y')} AS correlation, 0.5 * abs({corr('a.y', 'b.nxt')}) AS te_proxy_ab, 0.5 * abs({corr('b.y', 'a.nxt')}) AS te_proxy_ba FROM placed a JOIN placed b ON a.entity_id = b.entity_id AND a.pos = b.pos AND a.signal_id < b.signal_id GROUP BY ALL",
+    # segments, and modes with affinities
+    "gaps": f"SELECT *, I - lag(I) OVER (PARTITION BY {K}, regime_state ORDER BY I) AS gap, median(step) OVER (PARTITION BY {K}) AS usual FROM (SELECT *, I - lag(I) OVER {W} AS step FROM v_regime_state)",
+    "parts": f"SELECT {K}, regime_state, segment, count(*) AS n, sum(I) AS total, max(I) - min(I) AS duration FROM (SELECT *, count(*) FILTER (gap > 1.5 * usual) OVER (PARTITION BY {K}, regime_state ORDER BY I) AS segment FROM gaps) GROUP BY ALL",
+    "e_regime_segments": f"SELECT *, 100 * n_points::DOUBLE / sum(n_points) OVER (PARTITION BY {K}) AS pct_time FROM (SELECT {K}, regime_state, sum(n)::BIGINT AS n_points, count(*) AS n_segments, avg(duration) AS duration_mean, sum(total) / sum(n) AS mean_index FROM parts GROUP BY ALL)",
+    "leveled": f"SELECT {K}, floor(I / 120)::BIGINT AS period, avg(y) AS level, stddev_pop(y) AS spread, {div('covar_pop(I, y)', 'var_pop(I)')} AS slope FROM obs GROUP BY ALL",
+    "shares": f"SELECT {K}, period, level, spread, slope, c, m, exp(-abs(level - c) / 12) / sum(exp(-abs(level - c) / 12)) OVER (PARTITION BY {K}, period) AS p FROM leveled, (VALUES (0, 35.0::DOUBLE), (1, 50.0), (2, 65.0)) t(m, c)",
+    "e_soft_modes": f"SELECT {K}, period, any_value(level) AS level, any_value(spread) AS spread, any_value(slope) AS slope, arg_max(m, p)::BIGINT AS mode_id, max(p) AS affinity, -sum(p * ln(p)) AS mode_entropy FROM shares GROUP BY ALL",
+    "tall_modes": "SELECT entity_id, mode_id, affinity, mode_entropy > median(mode_entropy) OVER (PARTITION BY entity_id) AS between_modes, unnest(['level', 'spread', 'slope']) AS feature, unnest([level, spread, slope]) AS value FROM e_soft_modes",
+    "e_affinity_features": "SELECT entity_id, mode_id, feature, count(value) AS n, any_value(mu) AS weighted_mean, CASE WHEN count(value) > 1 THEN sum(affinity * (value - mu) * (value - mu)) / sum(affinity) END AS weighted_variance FROM (SELECT *, sum(affinity * value) OVER g / sum(affinity) OVER g AS mu FROM tall_modes WHERE value IS NOT NULL WINDOW g AS (PARTITION BY entity_id, mode_id, feature)) GROUP BY ALL",
+    "e_affinity_contrasts": "SELECT a.entity_id, a.feature, a.mode_id AS mode_a, b.mode_id AS mode_b, abs(a.weighted_mean - b.weighted_mean) AS contrast FROM e_affinity_features a JOIN e_affinity_features b ON a.entity_id = b.entity_id AND a.feature = b.feature AND a.mode_id < b.mode_id",
+    "e_affinity_summary": "SELECT entity_id, avg(affinity) AS affinity_mean, stddev(affinity) AS affinity_std, min(affinity) AS affinity_min, max(affinity) - min(affinity) AS affinity_range, avg(mode_entropy) AS entropy_mean, stddev(mode_entropy) AS entropy_std, max(mode_entropy) AS entropy_max, count(*) FILTER (b) AS n_transitioning, avg(b::INT) AS transitioning_ratio, count(DISTINCT mode_id) AS n_modes FROM (SELECT *, mode_entropy > median(mode_entropy) OVER (PARTITION BY entity_id) AS b FROM e_soft_modes) GROUP BY ALL",
+    "e_transition_contrasts": "SELECT *, transitioning_mean - stable_mean AS contrast FROM (SELECT entity_id, feature, avg(value) FILTER (between_modes) AS transitioning_mean, avg(value) FILTER (NOT between_modes) AS stable_mean FROM tall_modes WHERE value IS NOT NULL GROUP BY ALL)",
+    "paths": f"SELECT {K}, count(*) AS n, regr_slope(affinity, step) AS trend, coalesce(sum(switch), 0)::BIGINT AS switches FROM (SELECT *, row_number() OVER o AS step, (mode_id <> lag(mode_id) OVER o)::INT AS switch FROM e_soft_modes WINDOW o AS (PARTITION BY {K} ORDER BY period)) GROUP BY ALL HAVING count(*) > 1",
+    "e_affinity_dynamics": "SELECT entity_id, avg(trend) AS trend_mean, stddev_pop(trend) AS trend_std, min(trend) AS trend_min, count(*) FILTER (trend < -0.01) AS n_weakening, count(*) FILTER (trend > 0.01) AS n_strengthening, sum(switches)::BIGINT AS total_switches, count(*) FILTER (switches > 0) AS signals_with_switches, max(switches) AS max_switches, avg((switches > 0)::INT) AS switch_ratio FROM paths GROUP BY ALL",
 }
 
 

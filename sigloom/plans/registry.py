@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigloom.operators import VIEWS, Signals
 from sigloom.operators.catalog import settled
 from sigloom.operators.engines import KERNELS, apply, windowed
-from sigloom.plans import formulas, kernel_sql
+from sigloom.plans import formulas, kernel_sql, measures
 from sigloom.plans.oracle import CTE, oracle
 from sigloom.sources.intake import event_grid, linked_grid, plant_grid
 
@@ -26,7 +26,9 @@ ON_LINKED = {
         "root_cause_candidates causal_strength causal_graph causality_complete system_causal_structure coupling_summary system_summary export_behavioral_geometry export_causal_mechanics"
     ).split()
 }
-GRIDS = {"events": event_grid, "plant": plant_grid, "linked": linked_grid}
+#: Queries on events tell three groups of users apart.
+GROUPS = 3
+GRIDS = {"events": lambda spark, sf_dir: event_grid(spark, sf_dir, GROUPS), "plant": plant_grid, "linked": linked_grid}
 
 
 def grid_of(name: str) -> str:
@@ -40,7 +42,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _kernel(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        signals = Signals(event_grid(spark, sf_dir))
+        signals = Signals(GRIDS["events"](spark, sf_dir))
         found = windowed(signals, name.removesuffix("_windows")) if name.endswith("_windows") else apply(signals, name)
         if name not in kernel_sql.KERNEL_SQL:
             return found
@@ -55,5 +57,5 @@ QUERIES |= {f"k_{name}": _kernel(name) for name in ("garch_moments_windows", "ly
 #: All but the JSON texts, whose tables are checked themselves.
 ORACLES: dict[str, str] = {name: oracle(name, grid_of(name)) for name in VIEWS if name in CTE}
 
-QUERIES |= formulas.QUERIES
-ORACLES |= formulas.ORACLES | kernel_sql.ORACLES
+QUERIES |= formulas.QUERIES | measures.QUERIES
+ORACLES |= formulas.ORACLES | measures.ORACLES | kernel_sql.ORACLES

@@ -63,13 +63,14 @@ def sniff(head: bytes) -> str:
 EVENT_UNITS_BY_SIGNAL = {"click": "kPa", "error": "K", "purchase": "L/min", "signup": "count"}
 
 
-def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly averages of event values by type for three groups of users; sums are exact decimals, so they do not depend on the order of rows."""
+def event_grid(spark: SparkSession, sf_dir: str, groups: int = 1) -> DataFrame:
+    """Hourly averages of event values by type, for all users or for groups of them; sums are exact decimals, so they do not depend on the order of rows."""
+    entity = F.concat(F.lit("g"), F.col("user_id") % groups) if groups > 1 else F.lit("all")
     hour = F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 3600000000 - 473352").cast("double")
     unit = F.create_map(*[F.lit(x) for kv in EVENT_UNITS_BY_SIGNAL.items() for x in kv])
     return (
         spark.read.parquet(f"{sf_dir}/events.parquet")
-        .groupBy(F.concat(F.lit("g"), F.col("user_id") % 3).alias("entity_id"), F.col("event_type").alias("signal_id"), hour.alias("I"))
+        .groupBy(entity.alias("entity_id"), F.col("event_type").alias("signal_id"), hour.alias("I"))
         .agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("y"))
         .select("entity_id", "signal_id", "I", "y", F.try_element_at(unit, "signal_id").alias("unit"), F.lit("time").alias("dimension"))
     )
