@@ -4,14 +4,26 @@ Texts are sets of shingles of five words; texts of fewer words are one shingle.
 through one representative. A sketch holds T minima of a set under random orders: for each coordinate, two sets share
 their token with the probability of their Jaccard similarity. From the root of each run, FAN coordinates are sampled at
 every node, and the node's sets are split by the tokens they have there. Nodes of few sets, and nodes that a split has
-not halved, are compared by brute force; the others are split further. A pair at the threshold survives a run with
-probability q, the solution of q = 1 - (1 - threshold * q) ** FAN, and the runs repeat until 1 - (1 - q) ** runs is at
-least the target recall.
+not halved, are compared by brute force; the others are split further. A pair whose sketches agree in a share p survives a
+run with probability q, the solution of q = 1 - (1 - p * q) ** FAN. The runs repeat until the recall of a pair at the
+threshold, taken over all sketches that it may have, is at least the target.
 
-Nodes are compared by whole sketches, with a wide margin, which gives groups of sets that may be linked. Within these
-groups all sets are compared exactly, block by block; links are counted there and the classes are the components of the
-exact links. Groups and nodes of any size are dealt out in pairs of blocks, so that no task holds one, and only a
-spanning forest of links is ever written: copies and links are counted, not listed.
+Nodes are compared by whole sketches, with a wide margin, which gives groups of sets that may be linked. A node of more than
+NODE_BLOCK sets is compared with one of them first; only those that are unlike it are compared with all.
+
+Links are exact. A group of GROUP_BLOCK sets at most is one task, which compares all its pairs. In a larger group each set is
+told by what it lacks of a reference, the tokens that most of some hundred members have, and what it has beyond it; these
+differences are short. With c = lacking + threshold * beyond, and o tokens that two differences share, two sets are linked
+just if c1 + c2 - (1 + threshold) * o <= (1 - threshold) * size of the reference. So
+
+* where c1 + c2 is small enough they are linked, and these links are counted from sums over the different values of c;
+* else one of them is far from the reference (c over half the bound), and they are linked only if they share enough:
+  far sets are compared with those near ones that share some token of a difference with any of them, difference with
+  difference, block by block, and the far ones with each other as a group of its own, with a reference of its own.
+
+So a group of any number of near copies costs its rows once and again, not its pairs. Where a group has hardly a set near
+its reference (nine tenths are far), its pairs of blocks are compared whole. Only a spanning forest of links is ever
+written: copies and links are counted, not listed. The classes are the components of the exact links.
 
 Defined cases: null and blank texts have no shingles and no links, as have rows without an id (their class is null);
 rows that repeat an id are documents of their own that share it; other columns are ignored; an empty table gives no rows.
@@ -26,12 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigloom.llm import common as C
 from sigloom.llm.graph import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-T, FAN, DEPTH, SMALL = 64, 2, 6, 48
+T, FAN, DEPTH, SMALL = 96, 2, 6, 48
 #: A sketch agreement below which sets are taken to be unlike: over four deviations under the threshold.
 MARGIN = 0.5625
 #: Sets of a block when nodes and groups are dealt out.
@@ -39,11 +52,25 @@ NODE_BLOCK, GROUP_BLOCK = 4096, 512
 _MULTIPLIERS = C.mix(np.arange(1, T + 1, dtype=np.uint64) * np.uint64(0x51ED270B)) | np.uint64(1)
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, fan: int = FAN) -> int:
+def survives(share: float, fan: int = FAN) -> float:
+    """The probability that a pair that agrees in this share of coordinates meets at the end of a run."""
     q = 1.0
-    for _ in range(200):
-        q = 1 - (1 - threshold * q) ** fan
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
+    for _ in range(500):
+        q = 1 - (1 - share * q) ** fan
+    return q
+
+
+def expected_recall(runs: int, threshold: float = THRESHOLD, fan: int = FAN) -> float:
+    """Recall of a pair at the threshold: all runs read one sketch, so the share that its coordinates agree in is taken over."""
+    chance = lambda k: math.comb(T, k) * threshold**k * (1 - threshold) ** (T - k)
+    return sum(chance(k) * (1 - (1 - survives(k / T, fan)) ** runs) for k in range(math.ceil(MARGIN * T), T + 1))
+
+
+def runs_for(recall: float, threshold: float = THRESHOLD, fan: int = FAN) -> int:
+    for runs in range(1, 65):
+        if expected_recall(runs, threshold, fan) >= recall:
+            return runs
+    raise ValueError(f"a sketch of {T} coordinates does not give a recall of {recall}")
 
 
 # ---------------------------------------------------------------- sets and sketches
@@ -140,6 +167,17 @@ def in_block_pairs(df: DataFrame, key: str, item: str, size: str, block: int) ->
     return dealt.withColumn("g", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", side).drop("own", "other")
 
 
+def across(left: DataFrame, right: DataFrame, key: str, n_left: str, n_right: str, block: int) -> DataFrame:
+    """Deals two tables out to all pairs of a block of the one and a block of the other: adds g and side, 0 for the left and 1 for the right."""
+    n = {0: F.ceil(F.col(n_left) / block).cast("int"), 1: F.ceil(F.col(n_right) / block).cast("int")}
+    own = lambda side: F.pmod(F.xxhash64(F.lit(17), "set"), n[side].cast("long")).cast("int")
+    other = lambda side: F.explode(F.sequence(F.lit(0), n[1 - side] - 1))
+    a = left.withColumn("own", own(0)).withColumn("other", other(0)).withColumn("g", F.xxhash64(F.lit(3), key, "own", "other")).withColumn("side", F.lit(0))
+    b = right.withColumn("own", own(1)).withColumn("other", other(1)).withColumn("g", F.xxhash64(F.lit(3), key, "other", "own")).withColumn("side", F.lit(1))
+    columns = [c for c in left.columns if c in right.columns] + ["g", "side"]
+    return a.select(columns).unionByName(b.select(columns))
+
+
 # ---------------------------------------------------------------- chosen paths
 
 
@@ -215,6 +253,40 @@ def _node_edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _beside_pivot(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Which sets of a block agree with the node's pivot, whose row comes first."""
+    g, sets = table.column("g").to_numpy(), table.column("set").to_numpy()
+    codes = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, T)
+    cut = borders(g)
+    first = np.repeat(cut[:-1], np.diff(cut))
+    agrees = (codes == codes[first]).sum(1) >= math.ceil(MARGIN * T)
+    yield pa.RecordBatch.from_arrays([table.column("leaf").combine_chunks(), pa.array(sets), pa.array(sets[first]), pa.array(agrees)], ["leaf", "set", "pivot", "agrees"])
+
+
+def node_edges(leaves: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: sets that a node holds and whose sketches agree, as a forest for each node."""
+    compare = lambda df: df.select("g", "set", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_node_edges), "a long, b long")
+    sketched = leaves.join(classes.select("set", "sketch"), "set")
+    edges = compare(sketched.where(F.col("size") <= NODE_BLOCK).withColumn("g", F.col("leaf")))
+    large = sketched.where(F.col("size") > NODE_BLOCK)
+    if leaves.where(F.col("size") > NODE_BLOCK).isEmpty():
+        return edges
+    blocks = F.ceil(F.col("size") / NODE_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(17), "set"), blocks.cast("long")).cast("int")
+    heads = large.groupBy("leaf", "size").agg(F.min(F.struct("set", "sketch")).alias("p")).select("leaf", "size", "p.set", "p.sketch", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"), F.lit(0).alias("side"))
+    rows = large.select("leaf", "size", "set", "sketch", own.alias("own"), F.lit(1).alias("side")).unionByName(heads).withColumn("g", F.xxhash64("leaf", "own"))
+    beside = rows.select("g", "side", "leaf", "set", "sketch").repartition("g").sortWithinPartitions("g", "side").mapInArrow(grouped(_beside_pivot), "leaf long, set long, pivot long, agrees boolean")
+    beside = C.materialise(beside, "beside-pivots")
+    edges = edges.unionByName(beside.where("agrees").select(F.col("set").alias("a"), F.col("pivot").alias("b")))
+    # those unlike the pivot, with all of the node
+    unlike = beside.where("not agrees").select("leaf", "set").distinct()
+    n_unlike = unlike.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_unlike"))
+    here = unlike.join(n_unlike, "leaf").join(leaves.select("leaf", "set", "size"), ["leaf", "set"])
+    all_ = leaves.where(F.col("size") > NODE_BLOCK).select("leaf", "set", "size").join(n_unlike, "leaf")
+    dealt = across(here, all_, "leaf", "n_unlike", "size", NODE_BLOCK)
+    return edges.unionByName(compare(dealt.join(classes.select("set", "sketch"), "set")))
+
+
 # ---------------------------------------------------------------- exact links
 
 
@@ -266,24 +338,150 @@ def _exact(threshold: float):
             own = side[lo:hi]
             if own[0] != 2:  # pairs within a block are counted where that block meets itself
                 linked &= own[:, None] != own[None, :]
-            weight = linked @ copies[lo:hi]
-            root = np.arange(hi - lo)
-            seen = np.zeros(hi - lo, bool)
-            for i in range(hi - lo):
-                if not seen[i]:
-                    todo = linked[i] & ~seen
-                    seen[i] = True
-                    while todo.any():
-                        seen |= todo
-                        root[todo] = i
-                        todo = linked[todo].any(0) & ~seen
-            rows.append((ids[lo:hi], weight, ids[lo:hi][root]))
+            rows.append((ids[lo:hi], linked @ copies[lo:hi], ids[lo:hi][_roots(linked)]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows)], ["set", "links", "root"])
+
+    return grouped(work)
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that it leads to."""
+    n = len(linked)
+    root, seen = np.arange(n), np.zeros(n, bool)
+    for i in range(n):
+        if not seen[i]:
+            todo = linked[i] & ~seen
+            seen[i] = True
+            while todo.any():
+                seen |= todo
+                root[todo] = i
+                todo = linked[todo].any(0) & ~seen
+    return root
+
+
+def _reference(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The tokens that more than half of a group's sample have."""
+    cut = borders(table.column("g").to_numpy())
+    found = []
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        tokens, count = np.unique(np.concatenate([np.frombuffer(table.column("tokens")[i].as_buffer(), np.uint64) for i in range(lo, hi)]), return_counts=True)
+        found.append(tokens[2 * count > hi - lo].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(table.column("g").to_numpy()[cut[:-1]]), pa.array(found, pa.binary())], ["component", "tokens"])
+
+
+DELTA_SCHEMA = "component long, set long, copies long, cost long, bound long, n int, tokens binary"
+
+
+def _deltas(threshold: float):
+    """Each member's difference from the reference, whose row comes first: its cost, the group's bound, and its tokens."""
+    over, under = round(threshold * 1000), 1000
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cut = borders(table.column("g").to_numpy())
+        raw, rows = table.column("tokens"), []
+        of, ids, copies = (table.column(c).to_numpy() for c in ("component", "set", "copies"))
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            reference = np.frombuffer(raw[lo].as_buffer(), np.uint64)
+            for i in range(lo + 1, hi):
+                own = np.frombuffer(raw[i].as_buffer(), np.uint64)
+                delta = np.setxor1d(reference, own, assume_unique=True)
+                lacking = (len(delta) + len(reference) - len(own)) // 2
+                rows.append((of[i], ids[i], copies[i], under * lacking + over * (len(delta) - lacking), (under - over) * len(reference), len(delta), delta.tobytes()))
+        if rows:
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], [x.split()[0] for x in DELTA_SCHEMA.split(", ")])
+
+    return grouped(work)
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token."""
+    for batch in batches:
+        n = batch.column("n").to_numpy(zero_copy_only=False)
+        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int64)
+        at = np.repeat(np.arange(batch.num_rows), n)
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy(zero_copy_only=False)[at]) for c in ("component", "set")] + [pa.array(tokens)], ["component", "set", "token"])
+
+
+def _near_far(threshold: float):
+    """Links of near sets (side 0) with far ones (side 1) by what their differences share."""
+    bonus = 1000 + round(threshold * 1000)
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cut = borders(table.column("g").to_numpy())
+        ids, copies, side, cost, bound = (table.column(c).to_numpy() for c in ("set", "copies", "side", "cost", "bound"))
+        raw, rows = table.column("tokens"), []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            own = side[lo:hi]
+            if own.min() == own.max():
+                continue
+            both = intersections([np.frombuffer(raw[i].as_buffer(), np.uint64) for i in range(lo, hi)])
+            c = cost[lo:hi]
+            total = c[:, None] + c[None, :]
+            linked = (own[:, None] != own[None, :]) & (total > bound[lo]) & (total - bonus * both <= bound[lo])
+            rows.append((ids[lo:hi], linked @ copies[lo:hi], ids[lo:hi][_roots(linked)]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows)], ["set", "links", "root"])
 
     return grouped(work)
 
 
+def _sure(deltas: DataFrame) -> DataFrame:
+    """Links of sets whose costs together are within the bound, from sums over the different costs of a group."""
+    values = deltas.groupBy("component", "cost", "bound").agg(F.sum("copies").alias("w"))
+    told = values.select("component", F.col("cost").alias("at"), F.lit(0).alias("asks"), "cost", "w")
+    asks = values.select("component", (F.col("bound") - F.col("cost")).alias("at"), F.lit(1).alias("asks"), "cost", F.lit(0).cast("long").alias("w"))
+    upto = F.sum("w").over(W.partitionBy("component").orderBy("at", "asks").rowsBetween(W.unboundedPreceding, W.currentRow))
+    reach = told.unionByName(asks).withColumn("reach", upto).where("asks = 1").select("component", "cost", "reach")
+    least = deltas.groupBy("component").agg(F.min(F.struct("cost", "set")).alias("head"))
+    m = deltas.join(reach, ["component", "cost"]).join(least, "component")
+    links = F.col("reach") - F.when(2 * F.col("cost") <= F.col("bound"), F.col("copies")).otherwise(0)
+    root = F.when(F.col("cost") + F.col("head.cost") <= F.col("bound"), F.col("head.set")).otherwise(F.col("set"))
+    return m.select("set", links.alias("links"), root.alias("root"))
+
+
+def group_links(members: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """set, links, root: every set's exact links within its group (set, component, size, copies), in one row or more, and a forest of them."""
+    whole = lambda df: in_block_pairs(df, "component", "set", "size", GROUP_BLOCK).join(tokens, "set").select("g", "set", "side", "copies", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(_exact(threshold), LINK_SCHEMA)
+    now, found = members.select("set", "component", "size", "copies", F.lit(False).alias("stuck")), []
+    while True:
+        by_pairs = (F.col("size") <= GROUP_BLOCK) | F.col("stuck")
+        found.append(C.materialise(whole(now.where(by_pairs).drop("stuck")), "links"))
+        large = now.where(~by_pairs).drop("stuck")
+        if large.isEmpty():
+            out = found[0]
+            for x in found[1:]:
+                out = out.unionByName(x)
+            return out
+        blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
+        dealt = large.withColumn("own", F.pmod(F.xxhash64(F.lit(17), "set"), blocks.cast("long")).cast("int")).join(tokens, "set")
+        sample = dealt.where("own = 0").select(F.col("component").alias("g"), "tokens")
+        references = C.materialise(sample.repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_reference), "component long, tokens binary"), "references")
+        heads = large.select("component", "size").distinct().join(references, "component").withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        heads = heads.select("component", "own", F.lit(0).alias("side"), F.lit(0).cast("long").alias("set"), F.lit(0).cast("long").alias("copies"), "tokens")
+        rows = dealt.select("component", "own", F.lit(1).alias("side"), "set", "copies", "tokens").unionByName(heads).withColumn("g", F.xxhash64(F.lit(5), "component", "own"))
+        deltas = C.materialise(rows.select("g", "side", "component", "set", "copies", "tokens").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_deltas(threshold), DELTA_SCHEMA), "deltas")
+        found.append(C.materialise(_sure(deltas), "links"))
+        is_far = 2 * F.col("cost") > F.col("bound")
+        far = deltas.where(is_far)
+        count = far.groupBy("component").agg(F.count(F.lit(1)).alias("n_far"))
+        if count.isEmpty():
+            now = now.limit(0)
+            continue
+        spelled = lambda df: df.select("component", "set", "n", "tokens").mapInArrow(_spelled, "component long, set long, token long")
+        shared = spelled(far).select("component", "token").distinct()
+        near = C.materialise(spelled(deltas.where(~is_far & (F.col("n") > 0))).join(shared, ["component", "token"], "left_semi").select("component", "set").distinct(), "near")
+        n_near = near.groupBy("component").agg(F.count(F.lit(1)).alias("n_near"))
+        sizes = C.materialise(count.join(n_near, "component"), "sizes")
+        if not sizes.isEmpty():
+            sides = across(near.join(sizes, "component").join(deltas.drop("component", "n"), "set"), far.drop("n").join(sizes, "component"), "component", "n_near", "n_far", GROUP_BLOCK)
+            found.append(C.materialise(sides.select("g", "set", "side", "copies", "cost", "bound", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(_near_far(threshold), LINK_SCHEMA), "links"))
+        before = large.groupBy("component").agg(F.first("size").alias("before"))
+        rest = far.select("set", "component", "copies").join(count, "component").join(before, "component").where("n_far > 1")
+        now = C.materialise(rest.select("set", "component", F.col("n_far").alias("size"), "copies", (10 * F.col("n_far") > 9 * F.col("before")).alias("stuck")), "members")
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         tokens, owner = shingles(*C.buffers(C.flat(batch, "text")))
@@ -303,8 +501,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         with_set.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "classes"
     )
     leaves = chosen_paths(classes, runs_for(recall, threshold))
-    compared = in_block_pairs(leaves.join(classes.select("set", "sketch"), "set"), "leaf", "set", "size", NODE_BLOCK)
-    edges = compared.select("g", "set", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_node_edges), "a long, b long")
+    edges = node_edges(leaves, classes)
     groups = components(edges).withColumnRenamed("node", "set")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -312,8 +509,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     wanted = members.select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     # the texts move once, whatever the number of sets that are wanted
     tokens = C.materialise(base.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("set", "text").mapInArrow(_tokens, "set long, tokens binary").dropDuplicates(["set"]), "tokens")
-    dealt = in_block_pairs(members.select("set", "component", "size", "copies"), "component", "set", "size", GROUP_BLOCK).join(tokens, "set")
-    links = C.materialise(dealt.select("g", "set", "side", "copies", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(_exact(threshold), LINK_SCHEMA), "links")
+    links = group_links(members, tokens, threshold)
 
     joined = components(links.select(F.col("set").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set").agg(F.sum("links").alias("links"))

@@ -55,6 +55,7 @@ def run(spark, rows):
 
 def test_runs_reach_the_recall():
     assert N.runs_for(0.9999) == 4 and N.runs_for(0.9) == 1
+    assert N.expected_recall(4) >= 0.9999 > N.expected_recall(3)
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
@@ -85,6 +86,59 @@ def test_groups_chains_and_odd_rows(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def family(r, base, n, most):
+    """n texts, each the base with some words changed."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randrange(most + 1)):
+            w[r.randrange(len(w))] = word()
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 40])
+def test_large_groups(spark, monkeypatch, block):
+    """Families around one text, around versions of it at several distances, and with texts at the threshold's border."""
+    monkeypatch.setattr(N, "GROUP_BLOCK", block)
+    monkeypatch.setattr(N, "NODE_BLOCK", 64)
+    r = random.Random(block)
+    base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(260)]
+    version = lambda n: [f"v{n}x{i}" if i % 26 < n // 10 else w for i, w in enumerate(base)]
+    rows = family(r, base, 150, 3) + family(r, base, 60, 14)
+    rows += family(r, version(10), 70, 2) + family(r, version(20), 60, 2) + family(r, [*base[:200], *(f"t{i}" for i in range(50))], 50, 4)
+    rows += [" ".join(base[:k]) for k in range(200, 260, 2)] + [" ".join(base)] * 5
+    r.shuffle(rows)
+    assert run(spark, list(enumerate(rows))) == brute(list(enumerate(rows)))
+
+
+def test_rows_of_a_large_group_do_not_grow_with_its_pairs(spark, monkeypatch):
+    """Near copies of one text: each set's tokens move a few times, whatever the number of blocks."""
+    monkeypatch.setattr(N, "GROUP_BLOCK", 8)
+    dealt = []
+    whole, mixed = N.in_block_pairs, N.across
+    monkeypatch.setattr(N, "in_block_pairs", lambda df, *a: dealt.append(x := whole(df, *a)) or x)
+    monkeypatch.setattr(N, "across", lambda *a: dealt.append(x := mixed(*a)) or x)
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = list(enumerate(family(r, base, 300, 2)))
+    assert run(spark, rows) == brute(rows)
+    assert sum(x.count() for x in dealt) < 300
+
+
+def test_pairs_just_above_the_threshold(spark):
+    """Pairs of 0.80 to 0.82 are found, each with its one link."""
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = [f"p{i}w{j}q{r.randrange(9)}" for j in range(104)]  # 100 shingles; k new words at the end take k of them
+        k = r.choice([10, 11])  # 90 / 110 = 0.818, 89 / 111 = 0.8018
+        rows += [" ".join(words), " ".join(words[:-k] + [f"n{i}x{j}" for j in range(k)])]
+    got = run(spark, list(enumerate(rows)))
+    assert got == [(i, i - i % 2, 1) for i in range(800)]
+
+
 def test_empty_table(spark):
     assert N.jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
