@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from sigloom.functions import kernels as K
 from sigloom.functions.columns import corr, div
 from sigloom.operators.catalog import KEY, Signals, by_index, view
-from sigloom.operators.joins import PAIR, pairs
+from sigloom.operators.joins import PAIR, ahead, outer, pairs
 
 
 @dataclass(frozen=True)
@@ -275,3 +275,19 @@ def e_layer_pairs(s: Signals):
     m = s["v_base"].withColumn("pos", F.row_number().over(by_index())).withColumn("next", F.lead("y").over(by_index()))
     both = pairs(m.select(*KEY, F.col("pos").alias("I"), "y", "next"), "y", "next")
     return both.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_points"), corr("y_a", "y_b").alias("correlation"), (0.5 * F.abs(corr("y_a", "next_b"))).alias("te_proxy_ab"), (0.5 * F.abs(corr("y_b", "next_a"))).alias("te_proxy_ba"))
+
+
+@view("entity_id signal_id out_degree in_degree", "e_lead_degrees")
+def e_lead_degrees(s: Signals):
+    """How many signals one leads and follows: a full outer join of both counts."""
+    leads = s["v_lead_lag"].where("lead_lag_direction = 'A_leads_B'")
+    a = leads.groupBy("entity_id", F.col("signal_a").alias("signal_id")).agg(F.count(F.lit(1)).alias("out_degree"))
+    b = leads.groupBy("entity_id", F.col("signal_b").alias("signal_id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    return outer(a, b, KEY, ["out_degree", "in_degree"])
+
+
+@view("entity_id signal_id I ~next_boundary ~distance", "e_next_boundary")
+def e_next_boundary(s: Signals):
+    """The first regime boundary at or after each point."""
+    m = ahead(s["v_base"].select(*KEY, "I"), s["v_regime_boundaries"].select(*KEY, "regime_boundary"), KEY, "next_boundary", right_at="regime_boundary")
+    return m.withColumn("distance", F.col("next_boundary") - F.col("I"))

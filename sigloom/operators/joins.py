@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 PAIR = ["entity_id", "signal_a", "signal_b"]
 
@@ -38,3 +39,22 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], at: str, lower:
     b = right.withColumn("_r", F.col(right_at)).withColumn("_bucket", F.floor(F.col("_r") / width))
     both = a.join(b, [*on, "_bucket"]).withColumn(at, F.col("_r") - F.col("_l"))
     return both.where((F.col(at) > lower) & (F.col(at) < upper)).drop("_bucket")
+
+
+def outer(a: DataFrame, b: DataFrame, on: list[str], zero: list[str]) -> DataFrame:
+    """A full outer join in which the counts of a side that has no row are 0."""
+    both = a.join(b, on, "full")
+    return both.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in zero})
+
+
+def ahead(left: DataFrame, right: DataFrame, on: list[str], name: str, left_at: str = "I", right_at: str = "I") -> DataFrame:
+    """As-of join forwards: the first of the right side's places at or after each row of the left.
+
+    Both sides go through one window, sorted together, so there is neither a nested loop nor a look-up for each row.
+    """
+    rows = left.withColumn("_at", F.col(left_at)).withColumn("_mark", F.lit(None).cast("double"))
+    marks = right.select(*on, F.col(right_at).alias("_at"), F.col(right_at).cast("double").alias("_mark"))
+    # of equal places the marks come last, so that they still lie ahead
+    w = W.partitionBy(*on).orderBy("_at", F.col("_mark").isNotNull()).rowsBetween(0, W.unboundedFollowing)
+    found = rows.unionByName(marks, allowMissingColumns=True).withColumn(name, F.min("_mark").over(w)).where("_mark is null")
+    return found.drop("_at", "_mark")

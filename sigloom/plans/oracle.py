@@ -247,6 +247,10 @@ CTE: dict[str, str] = {
     "e_extras": f"SELECT {K}, sqrt(sum(r * r)) AS realized_volatility, {div('covar_pop(I, away)', 'var_pop(I)')} AS hd_slope, avg((dy * dy + (y - mu) * (y - mu)) / 2) AS mean_hamiltonian FROM (SELECT *, y - lag(y) OVER {W} AS r, abs(y - first_value(y) OVER {W}) AS away, avg(y) OVER (PARTITION BY {K}) AS mu FROM v_points) GROUP BY ALL",
     "placed": f"SELECT {K}, y, row_number() OVER {W} AS pos, lead(y) OVER {W} AS nxt FROM obs",
     "e_layer_pairs": f"SELECT a.entity_id, a.signal_id AS signal_a, b.signal_id AS signal_b, count(*) AS n_points, {corr('a.y', 'b.y')} AS correlation, 0.5 * abs({corr('a.y', 'b.nxt')}) AS te_proxy_ab, 0.5 * abs({corr('b.y', 'a.nxt')}) AS te_proxy_ba FROM placed a JOIN placed b ON a.entity_id = b.entity_id AND a.pos = b.pos AND a.signal_id < b.signal_id GROUP BY ALL",
+    # joins that look ahead, and full outer joins
+    "leads": "SELECT * FROM v_lead_lag WHERE lead_lag_direction = 'A_leads_B'",
+    "e_lead_degrees": "SELECT entity_id, signal_id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree FROM (SELECT entity_id, signal_a AS signal_id, count(*) AS o FROM leads GROUP BY ALL) a FULL JOIN (SELECT entity_id, signal_b AS signal_id, count(*) AS i FROM leads GROUP BY ALL) b USING (entity_id, signal_id)",
+    "e_next_boundary": f"SELECT {K}, I, next_boundary, next_boundary - I AS distance FROM (SELECT o.entity_id, o.signal_id, o.I, (SELECT min(regime_boundary) FROM v_regime_boundaries r WHERE r.entity_id = o.entity_id AND r.signal_id = o.signal_id AND r.regime_boundary >= o.I) AS next_boundary FROM obs o)",
     # segments, and modes with affinities
     "gaps": f"SELECT *, I - lag(I) OVER (PARTITION BY {K}, regime_state ORDER BY I) AS gap, median(step) OVER (PARTITION BY {K}) AS usual FROM (SELECT *, I - lag(I) OVER {W} AS step FROM v_regime_state)",
     "parts": f"SELECT {K}, regime_state, segment, count(*) AS n, sum(I) AS total, max(I) - min(I) AS duration FROM (SELECT *, count(*) FILTER (gap > 1.5 * usual) OVER (PARTITION BY {K}, regime_state ORDER BY I) AS segment FROM gaps) GROUP BY ALL",

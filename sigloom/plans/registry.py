@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigloom.operators import VIEWS, Signals
 from sigloom.operators.catalog import settled
 from sigloom.operators.engines import KERNELS, apply, windowed
-from sigloom.plans import formulas, kernel_sql, measures
+from sigloom.plans import formulas, inout, kernel_sql, measures
 from sigloom.plans.oracle import CTE, oracle
 from sigloom.sources.intake import event_grid, linked_grid, plant_grid
 
@@ -28,6 +28,7 @@ ON_LINKED = {
 }
 #: Queries on events tell three groups of users apart.
 GROUPS = 3
+ON_LINKED.add("e_lead_degrees")
 GRIDS = {"events": lambda spark, sf_dir: event_grid(spark, sf_dir, GROUPS), "plant": plant_grid, "linked": linked_grid}
 
 
@@ -57,5 +58,5 @@ QUERIES |= {f"k_{name}": _kernel(name) for name in ("garch_moments_windows", "ly
 #: All but the JSON texts, whose tables are checked themselves.
 ORACLES: dict[str, str] = {name: oracle(name, grid_of(name)) for name in VIEWS if name in CTE}
 
-QUERIES |= formulas.QUERIES | measures.QUERIES
-ORACLES |= formulas.ORACLES | measures.ORACLES | kernel_sql.ORACLES
+QUERIES |= formulas.QUERIES | measures.QUERIES | inout.QUERIES
+ORACLES |= formulas.ORACLES | measures.ORACLES | kernel_sql.ORACLES | inout.ORACLES

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.01"
-NAMES = [n for n in entry.oracle_sql() if n.startswith(("v_", "p_", "e_", "f_", "k_"))]
+NAMES = [n for n in entry.oracle_sql() if n.startswith(("v_", "p_", "e_", "f_", "k_", "s_"))]
 
 
 @pytest.fixture(scope="module")
