@@ -2,7 +2,7 @@
 
 Texts are sets of shingles of five words; texts of fewer words are one shingle. Equal sets form a class and are joined
 through one representative. A sketch holds T minima of a set under random orders: for each coordinate, two sets share
-their token with the probability of their Jaccard similarity. From the root of each run, FAN coordinates are sampled at
+their token (24 bits of it are kept) with the probability of their Jaccard similarity. From the root of each run, FAN coordinates are sampled at
 every node, and the node's sets are split by the tokens they have there. Nodes of few sets, and nodes that a split has
 not halved, are compared by brute force; the others are split further. A pair whose sketches agree in a share p survives a
 run with probability q, the solution of q = 1 - (1 - p * q) ** FAN. The runs repeat until the recall of a pair at the
@@ -17,12 +17,13 @@ differences are short. With c = lacking + threshold * beyond, and o tokens that
 just if c1 + c2 - (1 + threshold) * o <= (1 - threshold) * size of the reference. So
 
 * where c1 + c2 is small enough they are linked, and these links are counted from sums over the different values of c;
-* else one of them is far from the reference (c over half the bound), and they are linked only if they share enough:
-  far sets are compared with those near ones that share some token of a difference with any of them, difference with
-  difference, block by block, and the far ones with each other as a group of its own, with a reference of its own.
+* else one of them is far from the reference (c over half the bound), and they are linked only if they share enough. How
+  many tokens of its difference other sets have at all is counted first; where these are too few, a set is settled. Those
+  left are compared, difference with difference, block by block: far ones with near ones, and far ones with each other
+  where they are the greater part of the group; else they are a group of their own, with a reference of its own.
 
-So a group of any number of near copies costs its rows once and again, not its pairs. Where a group has hardly a set near
-its reference (nine tenths are far), its pairs of blocks are compared whole. Only a spanning forest of links is ever
+So a group of any number of near copies of one text costs its rows once and again, not its pairs. A group most of which is
+far from any one text still costs pairs of blocks, of differences in place of texts. Only a spanning forest of links is ever
 written: copies and links are counted, not listed. The classes are the components of the exact links.
 
 Defined cases: null and blank texts have no shingles and no links, as have rows without an id (their class is null);
@@ -31,6 +32,7 @@ rows that repeat an id are documents of their own that share it; other columns a
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -111,14 +113,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.bincount(owner, minlength=batch.num_rows)
         has = np.flatnonzero(sizes)
         first = np.concatenate([[0], np.cumsum(sizes[has])[:-1]]).astype(np.int64)
-        sketch = np.zeros((len(has), T), np.uint32)
+        sketch = np.zeros((len(has), T), "<u4")
         sums = np.zeros(batch.num_rows, np.uint64)
         if len(has):
             for i, m in enumerate(_MULTIPLIERS):
                 sketch[:, i] = np.minimum.reduceat(((tokens * m) >> np.uint64(32)).astype(np.uint32), first)
             sums[has] = C.mix(np.add.reduceat(C.mix(tokens), first) + sizes[has].astype(np.uint64))
         raw: list[bytes | None] = [None] * batch.num_rows
-        for row, code in zip(has.tolist(), sketch):
+        for row, code in zip(has.tolist(), sketch.view(np.uint8).reshape(-1, T, 4)[:, :, 1:].reshape(-1, 3 * T)):
             raw[row] = code.tobytes()
         empty = sizes == 0
         yield pa.RecordBatch.from_arrays(
@@ -127,6 +129,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def codes_of(sketches: pa.ChunkedArray) -> np.ndarray:
+    """Sketches as a matrix, a row for each."""
+    parts = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, T, 3)
+    out = np.zeros((len(parts), T, 4), np.uint8)
+    out[:, :, 1:] = parts
+    return out.view("<u4").reshape(-1, T)
+
+
 # ---------------------------------------------------------------- groups that arrive whole
 
 
@@ -187,7 +197,7 @@ def chosen_paths(classes: DataFrame, runs: int, seed: int = 7) -> DataFrame:
     leaves = None
     for level in range(1, DEPTH + 1):
         at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(T)).cast("int")))
-        kids = front.withColumn("i", F.explode(at)).select("set", "up", F.xxhash64("node", "i", F.substring("sketch", F.col("i") * 4 + 1, F.lit(4))).alias("leaf"))
+        kids = front.withColumn("i", F.explode(at)).select("set", "up", F.xxhash64("node", "i", F.substring("sketch", F.col("i") * 3 + 1, F.lit(3))).alias("leaf"))
         sizes = kids.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         found = C.materialise(kids.join(sizes, "leaf"), "nodes")
         done = (F.col("size") <= SMALL) | (2 * F.col("size") > F.col("up")) | F.lit(level == DEPTH)
@@ -228,7 +238,7 @@ def forest(codes: np.ndarray, least: int) -> list[tuple[int, int]]:
 def _node_edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
     g = table.column("g").to_numpy()
     sets = table.column("set").to_numpy()
-    codes = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, T)
+    codes = codes_of(table.column("sketch"))
     least = math.ceil(MARGIN * T)
     cut = borders(g)
     size = np.diff(cut)
@@ -256,7 +266,7 @@ def _node_edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
 def _beside_pivot(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Which sets of a block agree with the node's pivot, whose row comes first."""
     g, sets = table.column("g").to_numpy(), table.column("set").to_numpy()
-    codes = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, T)
+    codes = codes_of(table.column("sketch"))
     cut = borders(g)
     first = np.repeat(cut[:-1], np.diff(cut))
     agrees = (codes == codes[first]).sum(1) >= math.ceil(MARGIN * T)
@@ -361,13 +371,13 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 
 def _reference(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The tokens that more than half of a group's sample have."""
+    """The tokens that more than half of a group's sample have, and the group's size."""
     cut = borders(table.column("g").to_numpy())
     found = []
     for lo, hi in zip(cut[:-1], cut[1:]):
         tokens, count = np.unique(np.concatenate([np.frombuffer(table.column("tokens")[i].as_buffer(), np.uint64) for i in range(lo, hi)]), return_counts=True)
         found.append(tokens[2 * count > hi - lo].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(table.column("g").to_numpy()[cut[:-1]]), pa.array(found, pa.binary())], ["component", "tokens"])
+    yield pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[cut[:-1]]) for c in ("g", "size")), pa.array(found, pa.binary())], ["component", "size", "tokens"])
 
 
 DELTA_SCHEMA = "component long, set long, copies long, cost long, bound long, n int, tokens binary"
@@ -397,15 +407,34 @@ def _deltas(threshold: float):
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each token."""
+    names = ["component", "set", "is_far"]
     for batch in batches:
         n = batch.column("n").to_numpy(zero_copy_only=False)
         tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int64)
         at = np.repeat(np.arange(batch.num_rows), n)
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy(zero_copy_only=False)[at]) for c in ("component", "set")] + [pa.array(tokens)], ["component", "set", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy(zero_copy_only=False)[at]) for c in names] + [pa.array(tokens)], [*names, "token"])
+
+
+def _unsure(deltas: DataFrame, threshold: float) -> DataFrame:
+    """Sets that may have a link beyond the sure ones, by how many tokens of their difference others have too at the most.
+
+    near: a near set that may be linked with a far one; beside: a far set that may be linked with a near one; far: a far
+    set that may be linked with another far one. What none of these holds for is settled.
+    """
+    bonus = 1000 + round(threshold * 1000)
+    marked = deltas.withColumn("is_far", 2 * F.col("cost") > F.col("bound"))
+    spelled = marked.where("n > 0").select("component", "set", "is_far", "n", "tokens").mapInArrow(_spelled, "component long, set long, is_far boolean, token long")
+    counts = spelled.groupBy("component", "token").agg(F.count_if("is_far").alias("with_far"), F.count_if(~F.col("is_far")).alias("with_near")).where("with_far > 0 and with_far + with_near > 1")
+    shared = spelled.join(counts, ["component", "token"]).groupBy("set").agg(F.count_if(F.col("with_far") > F.col("is_far").cast("int")).alias("by_far"), F.count_if((F.col("with_near") > 0) & F.col("is_far")).alias("by_near"))
+    least = marked.groupBy("component").agg(F.min(F.when(F.col("is_far"), F.col("cost"))).alias("least_far"), F.min(F.when(~F.col("is_far"), F.col("cost"))).alias("least_near"))
+    may = lambda n, least: F.coalesce(bonus * F.col(n) >= F.col("cost") + F.col(least) - F.col("bound"), F.lit(False))
+    told = marked.join(shared, "set").join(least, "component")
+    told = told.withColumns({"near": ~F.col("is_far") & may("by_far", "least_far"), "beside": F.col("is_far") & may("by_near", "least_near"), "far": F.col("is_far") & may("by_far", "least_far")})
+    return told.where("near or beside or far").select("component", "set", "copies", "cost", "bound", "tokens", "near", "beside", "far")
 
 
 def _near_far(threshold: float):
-    """Links of near sets (side 0) with far ones (side 1) by what their differences share."""
+    """Links beyond the sure ones, by what differences share: of side 0 with side 1, or of one block with itself (side 2)."""
     bonus = 1000 + round(threshold * 1000)
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -414,12 +443,15 @@ def _near_far(threshold: float):
         raw, rows = table.column("tokens"), []
         for lo, hi in zip(cut[:-1], cut[1:]):
             own = side[lo:hi]
-            if own.min() == own.max():
+            if own.min() == own.max() < 2:
                 continue
             both = intersections([np.frombuffer(raw[i].as_buffer(), np.uint64) for i in range(lo, hi)])
             c = cost[lo:hi]
             total = c[:, None] + c[None, :]
-            linked = (own[:, None] != own[None, :]) & (total > bound[lo]) & (total - bonus * both <= bound[lo])
+            linked = (total > bound[lo]) & (total - bonus * both <= bound[lo])
+            np.fill_diagonal(linked, False)
+            if own[0] != 2:
+                linked &= own[:, None] != own[None, :]
             rows.append((ids[lo:hi], linked @ copies[lo:hi], ids[lo:hi][_roots(linked)]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows)], ["set", "links", "root"])
@@ -441,45 +473,43 @@ def _sure(deltas: DataFrame) -> DataFrame:
     return m.select("set", links.alias("links"), root.alias("root"))
 
 
-def group_links(members: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """set, links, root: every set's exact links within its group (set, component, size, copies), in one row or more, and a forest of them."""
-    whole = lambda df: in_block_pairs(df, "component", "set", "size", GROUP_BLOCK).join(tokens, "set").select("g", "set", "side", "copies", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(_exact(threshold), LINK_SCHEMA)
-    now, found = members.select("set", "component", "size", "copies", F.lit(False).alias("stuck")), []
+HELD_SCHEMA = "set long, component long, size int, copies long, tokens binary"
+HELD = [x.split()[0] for x in HELD_SCHEMA.split(", ")]
+
+
+def group_links(held: DataFrame, threshold: float) -> DataFrame:
+    """set, links, root: every set's exact links within its group, in one row or more, and a forest of them; held: HELD."""
+    send = lambda df, *by: df.repartition("g").sortWithinPartitions("g", *by)
+    now, found = held, []
     while True:
-        by_pairs = (F.col("size") <= GROUP_BLOCK) | F.col("stuck")
-        found.append(C.materialise(whole(now.where(by_pairs).drop("stuck")), "links"))
-        large = now.where(~by_pairs).drop("stuck")
-        if large.isEmpty():
-            out = found[0]
-            for x in found[1:]:
-                out = out.unionByName(x)
-            return out
+        small = F.col("size") <= GROUP_BLOCK
+        dealt = in_block_pairs(now.where(small), "component", "set", "size", GROUP_BLOCK).select("g", "set", "side", "copies", "tokens")
+        found.append(C.materialise(send(dealt).mapInArrow(_exact(threshold), LINK_SCHEMA), "links"))
         blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
-        dealt = large.withColumn("own", F.pmod(F.xxhash64(F.lit(17), "set"), blocks.cast("long")).cast("int")).join(tokens, "set")
-        sample = dealt.where("own = 0").select(F.col("component").alias("g"), "tokens")
-        references = C.materialise(sample.repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_reference), "component long, tokens binary"), "references")
-        heads = large.select("component", "size").distinct().join(references, "component").withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        heads = heads.select("component", "own", F.lit(0).alias("side"), F.lit(0).cast("long").alias("set"), F.lit(0).cast("long").alias("copies"), "tokens")
-        rows = dealt.select("component", "own", F.lit(1).alias("side"), "set", "copies", "tokens").unionByName(heads).withColumn("g", F.xxhash64(F.lit(5), "component", "own"))
-        deltas = C.materialise(rows.select("g", "side", "component", "set", "copies", "tokens").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_deltas(threshold), DELTA_SCHEMA), "deltas")
+        large = now.where(~small).withColumn("own", F.pmod(F.xxhash64(F.lit(17), "set"), blocks.cast("long")).cast("int"))
+        sample = large.where("own = 0").select(F.col("component").alias("g"), "size", "tokens")
+        references = C.materialise(send(sample).mapInArrow(grouped(_reference), "component long, size int, tokens binary"), "references")
+        if references.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+        heads = references.withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        none = F.lit(0).cast("long")
+        heads = heads.select("component", "own", F.lit(0).alias("side"), none.alias("set"), none.alias("copies"), "tokens")
+        rows = large.select("component", "own", F.lit(1).alias("side"), "set", "copies", "tokens").unionByName(heads).withColumn("g", F.xxhash64(F.lit(5), "component", "own"))
+        deltas = C.materialise(send(rows.select("g", "side", "component", "set", "copies", "tokens"), "side").mapInArrow(_deltas(threshold), DELTA_SCHEMA), "deltas")
         found.append(C.materialise(_sure(deltas), "links"))
-        is_far = 2 * F.col("cost") > F.col("bound")
-        far = deltas.where(is_far)
-        count = far.groupBy("component").agg(F.count(F.lit(1)).alias("n_far"))
-        if count.isEmpty():
-            now = now.limit(0)
-            continue
-        spelled = lambda df: df.select("component", "set", "n", "tokens").mapInArrow(_spelled, "component long, set long, token long")
-        shared = spelled(far).select("component", "token").distinct()
-        near = C.materialise(spelled(deltas.where(~is_far & (F.col("n") > 0))).join(shared, ["component", "token"], "left_semi").select("component", "set").distinct(), "near")
-        n_near = near.groupBy("component").agg(F.count(F.lit(1)).alias("n_near"))
-        sizes = C.materialise(count.join(n_near, "component"), "sizes")
-        if not sizes.isEmpty():
-            sides = across(near.join(sizes, "component").join(deltas.drop("component", "n"), "set"), far.drop("n").join(sizes, "component"), "component", "n_near", "n_far", GROUP_BLOCK)
-            found.append(C.materialise(sides.select("g", "set", "side", "copies", "cost", "bound", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(_near_far(threshold), LINK_SCHEMA), "links"))
-        before = large.groupBy("component").agg(F.first("size").alias("before"))
-        rest = far.select("set", "component", "copies").join(count, "component").join(before, "component").where("n_far > 1")
-        now = C.materialise(rest.select("set", "component", F.col("n_far").alias("size"), "copies", (10 * F.col("n_far") > 9 * F.col("before")).alias("stuck")), "members")
+        unsure = C.materialise(_unsure(deltas, threshold), "unsure")
+        sizes = unsure.groupBy("component").agg(*[F.count_if(c).cast("int").alias(f"n_{c}") for c in ("near", "beside", "far")])
+        sides = across(unsure.where("near").join(sizes, "component"), unsure.where("beside").join(sizes, "component"), "component", "n_near", "n_beside", GROUP_BLOCK)
+        found.append(C.materialise(send(sides.select("g", "set", "side", "copies", "cost", "bound", "tokens")).mapInArrow(_near_far(threshold), LINK_SCHEMA), "links"))
+        # the far ones among each other: a group of their own where they are the lesser part, else difference with difference
+        far = unsure.where("far").join(sizes, "component").join(references.select("component", "size"), "component").where("n_far > 1")
+        many = 2 * F.col("n_far") > F.col("size")
+        dealt = in_block_pairs(far.where(many).select("component", "set", "copies", "cost", "bound", "tokens", "n_far"), "component", "set", "n_far", GROUP_BLOCK)
+        found.append(C.materialise(send(dealt.select("g", "set", "side", "copies", "cost", "bound", "tokens")).mapInArrow(_near_far(threshold), LINK_SCHEMA), "links"))
+        rest = large.drop("size").join(far.where(~many).select("set", F.col("n_far").alias("size")), "set")
+        now = C.materialise(rest.select(*HELD), "members")
+        if now.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +519,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens[order]
         ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows)) * 8
         raw, begin = tokens.tobytes(), np.concatenate([[0], ends[:-1]])
-        yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([raw[a:b] for a, b in zip(begin, ends)], pa.binary())], ["set", "tokens"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in HELD[:-1]), pa.array([raw[a:b] for a, b in zip(begin, ends)], pa.binary())], HELD)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -504,12 +534,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     edges = node_edges(leaves, classes)
     groups = components(edges).withColumnRenamed("node", "set")
 
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("size"))
     members = C.materialise(groups.join(sizes, "component").join(classes.select("set", "first", "copies"), "set"), "members")
-    wanted = members.select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    wanted = members.select("set", "component", "size", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     # the texts move once, whatever the number of sets that are wanted
-    tokens = C.materialise(base.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("set", "text").mapInArrow(_tokens, "set long, tokens binary").dropDuplicates(["set"]), "tokens")
-    links = group_links(members, tokens, threshold)
+    tokens = base.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("set", "component", "size", "copies", "text").mapInArrow(_tokens, HELD_SCHEMA)
+    links = group_links(C.materialise(tokens.dropDuplicates(["set"]), "tokens"), threshold)
 
     joined = components(links.select(F.col("set").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set").agg(F.sum("links").alias("links"))
