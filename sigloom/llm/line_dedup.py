@@ -6,7 +6,8 @@ ranks by 2 ** k lines at its beginning and 2 ** k lines on. Suffixes with one ra
 array whose longest common prefix has at least 2 ** k lines; intervals of one suffix are settled and go no further, so
 only what repeats is carried on, until nothing does. The first suffix of each interval keeps its lines; every other one is
 a later copy, and its lines go if the run has MIN_LINES lines (a power of two), or is a line of MIN_WORDS words. What goes
-from a document in a row is one run.
+from a document in a row is one run. The longest common prefix of a document's suffixes with earlier ones is then found
+exactly, from the ranks of the level below it.
 
 Ranks are dealt out over the different pairs, which are counted before they move, so a line that a third of all documents
 have is one row there; the way back is an equi-join, whose hot keys Spark splits.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigloom.llm import common as C
 
@@ -69,14 +71,14 @@ def _intervals(suffixes: DataFrame, *by: str) -> DataFrame:
 
 
 def suffix_intervals(docs: DataFrame) -> DataFrame:
-    """level, doc_id, tie, pos, n_words, later: each suffix in an interval of two or more, at each level; later: not its first."""
+    """level, doc_id, tie, pos, n_words, rank, later: each suffix in an interval of two or more, at each level; later: not its first."""
     here = F.struct("doc_id", "tie", "pos")
     lines = C.materialise(docs.mapInArrow(_lines, LINE_SCHEMA).dropDuplicates(["doc_id", "tie", "pos"]), "lines")
     ranks = _intervals(lines, "name")
     active = C.materialise(lines.join(ranks, "name").select("doc_id", "tie", "pos", "n_words", "rank", (here != F.col("first")).alias("later")), "suffixes")
     level, out = 0, None
     while True:
-        rows = active.select(F.lit(level).alias("level"), "doc_id", "tie", "pos", "n_words", "later")
+        rows = active.select(F.lit(level).alias("level"), "doc_id", "tie", "pos", "n_words", "rank", "later")
         out = rows if out is None else out.unionByName(rows)
         on = active.select("doc_id", "tie", (F.col("pos") - (1 << level)).alias("pos"), F.col("rank").alias("next"))
         pairs = C.materialise(active.select("doc_id", "tie", "pos", "n_words", "rank").join(on, ["doc_id", "tie", "pos"]), "pairs")
@@ -90,12 +92,46 @@ def suffix_intervals(docs: DataFrame) -> DataFrame:
             return out
 
 
+DOC, PLACE = ["doc_id", "tie"], ["level", "doc_id", "tie", "pos"]
+
+
+def longest_prefixes(suffixes: DataFrame) -> DataFrame:
+    """doc_id, tie, longest_lines: the longest common prefix of any suffix of a document with an earlier one, in lines.
+
+    A prefix of m lines, 2 ** k <= m < 2 ** (k + 1), is told by two ranks of level k: at its beginning, and so far on that
+    both cover it. A document's length is found by halving between powers of two; each time, the suffixes of the intervals
+    that are asked for get the second rank, and the first suffix with both is found by an aggregate.
+    """
+    here = F.struct("doc_id", "tie", "pos")
+    later = suffixes.where("later")
+    top = later.groupBy(*DOC).agg(F.max("level").alias("level"))
+    done = top.where("level = 0").select(*DOC, F.lit(1).cast("long").alias("longest_lines"))
+    two = lambda c: F.expr(f"shiftleft(1, {c})")
+    open_ = later.join(top.where("level > 0"), [*DOC, "level"]).select(*PLACE, "rank", two("level").alias("low"), (2 * two("level")).alias("high"))
+    open_ = C.materialise(open_, "prefixes")
+    while not open_.isEmpty():
+        off = (F.floor((F.col("low") + F.col("high")) / 2) - two("level")).cast("int")
+        asked = open_.withColumn("off", off)
+        second = suffixes.select(*PLACE, F.col("rank").alias("then"))
+        at = lambda df, second=second: df.join(second.withColumnRenamed("pos", "next"), ["level", *DOC, "next"])
+        held = suffixes.select(*PLACE, "rank").join(asked.select("level", "rank", "off").distinct(), ["level", "rank"])
+        firsts = at(held.withColumn("next", F.col("pos") + F.col("off"))).groupBy("level", "rank", "off", "then").agg(F.min(here).alias("first"))
+        found = at(asked.withColumn("next", F.col("pos") + F.col("off"))).join(firsts, ["level", "rank", "off", "then"]).where(here != F.col("first"))
+        told = asked.join(found.select(*PLACE, F.lit(True).alias("longer")), PLACE, "left").withColumn("longer", F.coalesce("longer", F.lit(False)))
+        # a document goes on with the suffixes that are longer, if there are any
+        told = told.withColumns({"any": F.max("longer").over(W.partitionBy(*DOC)), "middle": two("level") + F.col("off")}).where("longer or not any")
+        after = C.materialise(told.select(*PLACE, "rank", F.when(F.col("any"), F.col("middle")).otherwise(F.col("low")).alias("low"), F.when(F.col("any"), F.col("high")).otherwise(F.col("middle")).alias("high")), "prefixes")
+        done = done.unionByName(after.where("high - low <= 1").groupBy(*DOC).agg(F.max("low").cast("long").alias("longest_lines")))
+        open_ = after.where("high - low > 1")
+    return done
+
+
 def _named(pairs: DataFrame) -> DataFrame:
     made = _intervals(pairs.select("doc_id", "tie", "pos", F.col("rank").alias("left"), F.col("next").alias("right")), "left", "right")
     return made.select(F.col("left").alias("rank"), F.col("right").alias("next"), "first", F.col("rank").alias("new"))
 
 
-OUT_SCHEMA = "doc_id long, tie long, n_lines long, n_deleted long, n_runs long, longest_run long, text string"
+OUT_SCHEMA = "doc_id long, tie long, n_lines long, n_deleted long, n_runs long, longest_run long, longest_lines long, text string"
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +160,20 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text[:-1]  # the last line went, and with it the break before it
             out.append(text)
         ids = batch.column("doc_id")
-        values = [ids, batch.column("tie"), pa.array(n_lines, pa.int64()), pa.array(deleted, pa.int64()), pa.array(runs, pa.int64()), batch.column("longest"), pa.array(out, pa.string())]
-        names = ["doc_id", "tie", "n_lines", "n_deleted", "n_runs", "longest_run", "text"]
+        values = [ids, batch.column("tie"), pa.array(n_lines, pa.int64()), pa.array(deleted, pa.int64()), pa.array(runs, pa.int64()), batch.column("longest"), batch.column("longest_lines"), pa.array(out, pa.string())]
+        names = ["doc_id", "tie", "n_lines", "n_deleted", "n_runs", "longest_run", "longest_lines", "text"]
         if "row" in batch.schema.names:  # columns that are carried along
             values, names = [*values, batch.column("row")], [*names, "row"]
         yield pa.RecordBatch.from_arrays(values, names)
 
 
-def _runs(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """OUT_SCHEMA, and the column `row` if base has one, for base's rows of doc_id, tie and text."""
+def _runs(base: DataFrame, min_lines: int, min_words: int, lengths: bool) -> DataFrame:
+    """OUT_SCHEMA, and the column `row` if base has one, for base's rows of doc_id, tie and text; lengths: find longest_lines, else null."""
     level = min_lines.bit_length() - 1
     if 1 << level != min_lines:
         raise ValueError("min_lines must be a power of two")
-    later = suffix_intervals(base.select("doc_id", "tie", "text")).where("later")
+    suffixes = suffix_intervals(base.select("doc_id", "tie", "text"))
+    later = suffixes.where("later")
     gone = later.where((F.col("level") == level) | (F.col("level") == 0) & (F.col("n_words") >= min_words)).select(
         "doc_id", "tie", F.explode(F.sequence("pos", F.col("pos") + F.when(F.col("level") == 0, 0).otherwise(min_lines - 1).cast("int"))).alias("pos")
     )
@@ -144,7 +181,10 @@ def _runs(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     by_doc = gone.groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("gone"))
     longest = later.groupBy("doc_id", "tie").agg(F.pow(F.lit(2), F.max("level")).cast("long").alias("longest"))
     found = longest.join(by_doc, ["doc_id", "tie"], "left")
+    none = F.lit(None).cast("long")
+    found = found.join(longest_prefixes(suffixes), ["doc_id", "tie"], "left") if lengths else found.withColumn("longest_lines", none)
     joined = base.join(found.hint("merge"), ["doc_id", "tie"], "left").withColumn("longest", F.coalesce("longest", F.lit(0).cast("long")))
+    joined = joined.withColumn("longest_lines", F.coalesce("longest_lines", F.lit(0).cast("long") if lengths else none))
     kind = OUT_SCHEMA
     if "row" in base.columns:
         kind += f", row {base.schema['row'].dataType.simpleString()}"
@@ -156,8 +196,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tie, n_lines, n_deleted, n_runs, longest_run (lines of the longest later copy, as a power of two) and the text that is left."""
-    return _runs(_keyed(C.texts(docs)), min_lines, min_words)
+    """doc_id, tie, n_lines, n_deleted, n_runs, longest_run and longest_lines (lines of the longest later copy, as a power of two and as they are) and the text that is left."""
+    return _runs(_keyed(C.texts(docs)), min_lines, min_words, True)
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -166,7 +206,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     A column n_chars is counted anew where the text has changed.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    runs = _runs(_keyed(C.texts(docs, row)), min_lines, min_words).where("n_lines = 0 or n_deleted < n_lines")
+    runs = _runs(_keyed(C.texts(docs, row)), min_lines, min_words, False).where("n_lines = 0 or n_deleted < n_lines")
     text = F.when(F.col("n_deleted") > 0, F.col("text")).otherwise(F.col("row.text"))
     counted = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
     new = {"text": text, "n_chars": counted}
@@ -175,7 +215,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = line_runs(C.table(spark, sf_dir, "documents"))
-    return runs.select("doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", F.md5("text").alias("kept_md5"))
+    return runs.select("doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", "longest_lines", F.md5("text").alias("kept_md5"))
 
 
 #: Rows (doc_id, j, gone) for each line, for a table `{docs}`; runs are built from later copies of one line and of MIN_LINES lines.
@@ -195,8 +235,11 @@ WITH {LINES_SQL.format(docs="documents")},
 ids AS (SELECT doc_id, list(line ORDER BY pos) AS names FROM rl GROUP BY doc_id),
 grams AS (SELECT doc_id, k, i, names[i + 1 : i + (1 << k)] AS gram FROM (SELECT doc_id, names, k, unnest(range(len(names) - (1 << k) + 1)) AS i FROM ids, range(0, 13) t(k))),
 longest AS (SELECT doc_id, max(1 << k) AS longest_run FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k, gram ORDER BY doc_id, i) AS nth FROM grams) WHERE nth > 1 GROUP BY doc_id),
+same AS (SELECT a.doc_id AS da, b.doc_id AS db, b.pos - a.pos AS diagonal, b.pos AS pos FROM rl a JOIN rl b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.pos < b.pos)),
+stretch AS (SELECT da, db, diagonal, pos - row_number() OVER (PARTITION BY da, db, diagonal ORDER BY pos) AS island FROM same),
+longest_lines AS (SELECT db AS doc_id, max(n) AS longest_lines FROM (SELECT db, count(*) AS n FROM stretch GROUP BY da, db, diagonal, island) GROUP BY 1),
 marks AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM kept WHERE pos IS NOT NULL),
 s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, count(*) FILTER (opens) AS n_runs FROM marks GROUP BY doc_id)
-SELECT k.doc_id, coalesce(max(s.n_lines), 0) AS n_lines, coalesce(max(s.n_deleted), 0) AS n_deleted, coalesce(max(s.n_runs), 0) AS n_runs, coalesce(max(longest.longest_run), 0)::BIGINT AS longest_run,
+SELECT k.doc_id, coalesce(max(s.n_lines), 0) AS n_lines, coalesce(max(s.n_deleted), 0) AS n_deleted, coalesce(max(s.n_runs), 0) AS n_runs, coalesce(max(longest.longest_run), 0)::BIGINT AS longest_run, coalesce(max(longest_lines.longest_lines), 0) AS longest_lines,
   md5(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS kept_md5
-FROM kept k LEFT JOIN s USING (doc_id) LEFT JOIN longest USING (doc_id) GROUP BY k.doc_id"""
+FROM kept k LEFT JOIN s USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN longest_lines USING (doc_id) GROUP BY k.doc_id"""

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -58,5 +59,35 @@ def test_longest_run(spark):
         L.line_runs(spark.createDataFrame([], SCHEMA), min_lines=3)
 
 
+def lengths(rows):
+    """doc_id -> the longest run of lines that also begins earlier, in the document or before it, by comparing all places."""
+    docs = [(i, [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]) for i, t in sorted(rows)]
+    flat = [(i, p, x) for i, lines in docs for p, x in enumerate(lines)]
+    size = {i: len(lines) for i, lines in docs}
+    at, out = {}, {i: 0 for i, _ in docs}
+    index = {(i, p): n for n, (i, p, _) in enumerate(flat)}
+    for n, (i, p, x) in enumerate(flat):
+        for m in at.get(x, []):
+            j, q, _ = flat[m]
+            k = 0
+            while p + k < size[i] and q + k < size[j] and flat[index[i, p + k]][2] == flat[index[j, q + k]][2]:
+                k += 1
+            out[i] = max(out[i], k)
+        at.setdefault(x, []).append(n)
+    return out
+
+
+def test_true_lengths(spark):
+    r = random.Random(6)
+    rows = [(i, "\n".join(r.choice("abcdefgh") for _ in range(r.randrange(40)))) for i in range(60)]
+    long = [f"line {i}" for i in range(200)]
+    rows += [(100 + i, "\n".join(["own %d" % i, *long[a : a + n], "end %d" % i])) for i, (a, n) in enumerate([(0, 200), (3, 77), (50, 100), (149, 51), (0, 127), (0, 128), (60, 129), (10, 1), (10, 2), (10, 3)])]
+    rows += [(200, "same\n" * 37), (201, "same\n" * 20), (202, None)]
+    got = L.line_runs(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)).collect()
+    want = lengths(rows)
+    assert {r.doc_id: r.longest_lines for r in got} == want
+    assert all(r.longest_run == (1 << r.longest_lines.bit_length() >> 1) for r in got)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
