@@ -175,7 +175,7 @@ def _delay(y):
 
 
 def lyapunov(I, y, most=300):
-    """Rosenstein's divergence of near neighbours, over `most` starting vectors."""
+    """Rosenstein's divergence of near neighbours, over `most` starting vectors spread over the series (None: all), in blocks."""
     out = {"lyapunov": NAN, "is_chaotic": False, "embedding_dim": -1, "delay": -1, "lyapunov_method": "insufficient_data"}
     if len(y) < 100 or y.std() == 0:
         return out
@@ -183,10 +183,14 @@ def lyapunov(I, y, most=300):
     x = M.embed(y, dim, delay)
     if len(x) < 30:
         return out
-    use = np.unique(np.linspace(0, len(x) - 11, min(most, len(x) - 10)).astype(int))
-    d = np.sqrt(((x[use, None] - x[None, : len(x) - 10]) ** 2).sum(2))
-    d[np.abs(use[:, None] - np.arange(len(x) - 10)) <= max(3, delay)] = np.inf
-    near = d.argmin(1)
+    m = len(x) - 10
+    use = np.arange(m) if most is None else np.unique(np.linspace(0, m - 1, min(most, m)).astype(int))
+    near = np.empty(len(use), np.int64)
+    for a in range(0, len(use), 256):
+        some = use[a : a + 256]
+        d = sum((x[some, j, None] - x[None, :m, j]) ** 2 for j in range(dim))
+        d[np.abs(some[:, None] - np.arange(m)) <= max(3, delay)] = np.inf
+        near[a : a + 256] = d.argmin(1)
     grow = [np.log(np.maximum(np.sqrt(((x[use + k] - x[near + k]) ** 2).sum(1)), 1e-12)).mean() for k in range(10)]
     slope = M.line(np.arange(10), grow)[0]
     return {"lyapunov": slope, "is_chaotic": slope > 0.01, "embedding_dim": dim, "delay": delay, "lyapunov_method": "rosenstein"}
@@ -339,20 +343,27 @@ def _runs(bits):
 
 
 def rqa(I, y, most=500):
-    """Recurrence in an embedding of 3/1, radius a tenth of the range, `most` vectors; diagonals of the upper triangle."""
+    """Recurrence in an embedding of 3/1, radius a tenth of the range; diagonals of the upper triangle, columns of the whole.
+
+    `most` vectors spread over the series are used, or all (None): a diagonal and a row at a time, so memory is in proportion.
+    """
     names = ("recurrence_rate", "determinism", "laminarity", "rqa_entropy", "trapping_time", "max_diagonal", "avg_diagonal")
     if len(y) < 50 or np.ptp(y) == 0:
         return dict.fromkeys(names, NAN)
     x = M.embed(y, 3, 1)
-    x = x[np.linspace(0, len(x) - 1, min(most, len(x))).astype(int)]
-    near = M.distances(x) < 0.1 * np.ptp(y)
-    n = len(near)
-    diagonals = np.zeros((n - 1, n), bool)
+    if most is not None:
+        x = x[np.linspace(0, len(x) - 1, min(most, len(x))).astype(int)]
+    n, radius = len(x), 0.1 * np.ptp(y)
+    off, tall, lines = 0, [], []
+    for a, d in M.distance_rows(x):
+        near = d < radius
+        off += int(near.sum()) - int(near[np.arange(len(d)), np.arange(a, a + len(d))].sum())
+        tall.append(_runs(near))
     for k in range(1, n):
-        diagonals[k - 1, : n - k] = np.diagonal(near, k)
-    lines, upright = _runs(diagonals), _runs(near)
+        d = x[k:] - x[: n - k]
+        lines.append(_runs((np.sqrt(np.einsum("ij,ij->i", d, d)) < radius)[None]))
+    lines, upright = np.concatenate(lines), np.concatenate(tall)
     long, tall = lines[lines >= 2], upright[upright >= 2]
-    off = near.sum() - n
     p = np.bincount(long)[1:] / len(long) if len(long) else np.zeros(1)
     p = p[p > 0]
     values = (off / (n * (n - 1)), min(1.0, long.sum() / off) if off else 0.0, min(1.0, tall.sum() / off) if off else 0.0, float(-(p * np.log(p)).sum()), tall.mean() if len(tall) else 0.0, long.max() if len(long) else 0, long.mean() if len(long) else 0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -118,33 +119,58 @@ def spanning_tree(d: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
+def distance_rows(x: np.ndarray, block: int = 512):
+    """First row and distances to all rows, some rows at a time: memory is a block, not the square."""
+    s = (x * x).sum(1)
+    for a in range(0, len(x), block):
+        yield a, np.sqrt(np.maximum(s[a : a + block, None] + s[None, :] - 2 * x[a : a + block] @ x.T, 0))
+
+
 def outlier_factor(x: np.ndarray, k: int = 5) -> np.ndarray:
     """Local outlier factor."""
     n = len(x)
     k = min(k, n - 1)
     if k < 1:
         return np.ones(n)
-    d = distances(x)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, 1)[:, :k]
-    reach = np.take_along_axis(d, near, 1)[:, -1]
-    density = 1 / np.maximum(np.maximum(reach[near], np.take_along_axis(d, near, 1)).mean(1), 1e-10)
+    near, gap = np.empty((n, k), np.int64), np.empty((n, k))
+    for a, d in distance_rows(x):
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+        near[a : a + len(d)] = np.argsort(d, 1)[:, :k]
+        gap[a : a + len(d)] = np.take_along_axis(d, near[a : a + len(d)], 1)
+    density = 1 / np.maximum(np.maximum(gap[:, -1][near], gap).mean(1), 1e-10)
     return density[near].mean(1) / density
 
 
 def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
-    close = distances(x) <= eps
-    core = close.sum(1) >= least
+    """Clusters by density; -1: noise. Points that are reached are looked up in a grid of cells as wide as eps, a cell's neighbours at a time."""
     label, now = np.full(len(x), -1), 0
+    if not len(x):
+        return label
+    # cells by the first coordinates: what is within eps lies in a cell beside at the most
+    cell = np.floor(x[:, :3] / eps).astype(np.int64)
+    cells: dict[tuple[int, ...], np.ndarray] = {}
+    keys, back = np.unique(cell, axis=0, return_inverse=True)
+    order = np.argsort(back.ravel(), kind="stable")
+    for key, rows in zip(map(tuple, keys.tolist()), np.split(order, np.cumsum(np.bincount(back.ravel()))[:-1])):
+        cells[key] = rows
+    steps = list(itertools.product((-1, 0, 1), repeat=cell.shape[1]))
+
+    def close(i: int) -> np.ndarray:
+        rows = np.concatenate([cells[k] for k in (tuple(np.add(cell[i], d).tolist()) for d in steps) if k in cells])
+        d = x[rows] - x[i]
+        return np.sort(rows[np.einsum("ij,ij->i", d, d) <= eps * eps * (1 + 1e-12)])
+
+    core = np.array([len(close(i)) >= least for i in range(len(x))])
     for i in np.flatnonzero(core):
         if label[i] < 0:
-            todo = [i]
+            todo = [int(i)]
             while todo:
                 j = todo.pop()
                 if label[j] < 0:
                     label[j] = now
                     if core[j]:
-                        todo += np.flatnonzero(close[j] & (label < 0)).tolist()
+                        rows = close(j)
+                        todo += rows[label[rows] < 0].tolist()
             now += 1
     return label
 

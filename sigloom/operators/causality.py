@@ -100,7 +100,7 @@ def causal_strength(s: Signals):
     m = m.join(coupled, EDGE, "left").join(s["v_transfer_entropy_proxy"].select(*EDGE, "transfer_entropy_proxy"), EDGE, "left")
     none = F.lit(0.0)
     total = F.coalesce(F.abs("granger_score"), none) + F.coalesce(F.abs("coupling_strength"), none) + F.coalesce("transfer_entropy_proxy", none)
-    return m.withColumn("combined_causal_strength", total / 3).orderBy(F.desc("combined_causal_strength"))
+    return m.withColumn("combined_causal_strength", total / 3)
 
 
 @view(f"{ST} ~weight ~granger_score ~coupling_strength lag edge_type")

@@ -132,4 +132,4 @@ def system_regime(s: Signals):
     n = s["v_base"].groupBy("entity_id").agg(F.count_distinct("signal_id").alias("n_signals"))
     m = s["v_regime_changes"].where("is_regime_change").groupBy("entity_id", "I").agg(F.count_distinct("signal_id").alias("n_signals_changing")).where("n_signals_changing > 1").join(n, "entity_id")
     kind = F.when(F.col("n_signals_changing") > F.col("n_signals") * 0.5, "major_system_change").when(F.col("n_signals_changing") > 2, "moderate_system_change").otherwise("isolated_change")
-    return m.withColumns({"system_regime_boundary": F.col("I"), "change_magnitude": kind}).orderBy("entity_id", "system_regime_boundary")
+    return m.withColumns({"system_regime_boundary": F.col("I"), "change_magnitude": kind})

@@ -1,5 +1,6 @@
 """The fast primitives: one pass each over a signal or over pairs of signals."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -103,3 +104,11 @@ def typology_complete(s: Signals):
             "has_trend": F.abs("drift") > 0.5,
         }
     )
+
+
+FAST = ("p_signal_stats", "p_typology", "p_pairwise", "p_lag_correlation", "p_pointwise", "p_derivative_stats")
+
+
+def all_fast(s: Signals) -> dict[str, DataFrame]:
+    """The six fast primitives over the same observations, by name; plans are shared, nothing runs yet."""
+    return {name: s.table(name) for name in FAST}

@@ -7,7 +7,7 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.operators import Signals
+from sigloom.operators import Signals, primitives
 from sigloom.operators.catalog import KEY, settled, settled_sql
 from sigloom.plans import kernel_sql
 from sigloom.plans import pipeline as P
@@ -102,6 +102,15 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s, n) for s, found in told.items() for n in found], "signal_id string, kernel string")
 
 
+def all_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each of the fast primitives has."""
+    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in primitives.all_fast(Signals(_grid(spark, sf_dir))).items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 # ---------------------------------------------------------------- streams
 
 CUTS = (0, 200, 450, 451, 100_000)
@@ -159,7 +168,7 @@ _order = oracle("v_work_order")
 
 QUERIES = {
     "s_scan_parquet": scan_parquet, "s_scan_csv": scan_csv, "s_request_bytes": request_bytes, "s_pandas_rows": pandas_rows, "s_export_manifest": exported, "s_export_table": export_table,
-    "s_domain_columns": domain_columns, "s_work_orders": work_orders, "s_stream_derivatives": _streamed(stateful.derivatives), "s_stream_laplace": last_laplace, "s_stream_kalman": _streamed(stateful.kalman_level),
+    "s_domain_columns": domain_columns, "s_work_orders": work_orders, "s_all_primitives": all_primitives, "s_stream_derivatives": _streamed(stateful.derivatives), "s_stream_laplace": last_laplace, "s_stream_kalman": _streamed(stateful.kalman_level),
     "s_stream_blocks": _streamed(stateful.buffered_kernel, "permutation_entropy", 60), "s_event_windows": event_windows, "s_event_sessions": event_sessions,
 }
 ORACLES = {
@@ -171,6 +180,7 @@ ORACLES = {
     "s_export_table": oracle("v_trajectory"),
     "s_domain_columns": "SELECT l_returnflag AS entity_id, s.signal_id, CAST(l_linenumber AS DOUBLE) AS I, CAST(CASE s.signal_id WHEN 's1' THEN q ELSE p END AS DOUBLE) AS y, CASE s.signal_id WHEN 's1' THEN 'K' ELSE 'psia' END AS unit FROM (SELECT l_returnflag, l_linenumber, max(l_quantity) AS q, min(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2), (VALUES ('s1'), ('s2')) s(signal_id)",
     "s_work_orders": f"SELECT DISTINCT signal_id, kernel FROM (SELECT signal_id, unnest([{', '.join(f"'{n}'" for n in _needs)}]) AS kernel, unnest([{', '.join(f'needs_{n}' for n in _needs)}]) AS needed FROM ({_order})) WHERE needed",
+    "s_all_primitives": " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({oracle(name)})" for name in primitives.FAST),
     "s_stream_derivatives": _sql(_derived, "I dy d2y", S),
     "s_stream_laplace": _sql(_laplace, "s field I", S),
     "s_stream_kalman": _sql(_kalman, "I level variance innovation", S),

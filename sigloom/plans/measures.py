@@ -19,6 +19,8 @@ from sigloom.functions.physics import control as K
 from sigloom.functions.physics import fluids as U
 from sigloom.functions.physics import machines as M
 from sigloom.functions.physics import thermal as T
+from sigloom.functions.physics import turbines as G
+from sigloom.functions.physics.dispatch import compute
 from sigloom.operators.catalog import settled, settled_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +287,48 @@ _routine("modal_frequency_response", lambda q, d: (lambda h: {"re": h.real, "im"
     "re": f"({_b} * {_detr} + 2 * {_cc} * {_deti}) / ({_detr} * {_detr} + {_deti} * {_deti})", "im": f"(2 * {_cc} * {_detr} - {_b} * {_deti}) / ({_detr} * {_detr} + {_deti} * {_deti})",
 })
 _routine("modal_participation", lambda q, d: (lambda f: {"first": f["effective_mass"][0], "share": f["cumulative_mass_ratio"][-1], "total_mass": f["total_mass"]})(M.participation(np.array([[1, 0], [0, 1.0]]), [[q, 0], [0, 2 + d]], [1, 1])), {"first": "q * q", "share": "(q * q + (2 + d) * (2 + d)) / (q + 2 + d)", "total_mass": "q + 2 + d"})
+
+
+# ---------------------------------------------------------------- tables of signals, and the way in by names
+
+ENGINES = "SELECT l_returnflag AS unit_id, l_linenumber AS cycle, max(l_quantity)::DOUBLE + 500 AS T2, avg(l_quantity) + 1300 AS T30, max(l_discount)::DOUBLE + 14 AS P2, avg(l_quantity) + 500 AS P30 FROM lineitem GROUP BY 1, 2"
+
+
+def engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("unit_id"), F.col("l_linenumber").alias("cycle"))
+    return rows.agg((F.max("l_quantity").cast("double") + 500).alias("T2"), (F.avg("l_quantity") + 1300).cast("double").alias("T30"), (F.max("l_discount").cast("double") + 14).alias("P2"), (F.avg("l_quantity") + 500).cast("double").alias("P30"))
+
+
+_EFF = "T2 * (power(P30 / P2, 0.4 / 1.4) - 1) / (T30 - T2)"
+_add(
+    "compressor_from_signals", lambda spark, sf_dir: G.compressor_from_signals(engines(spark, sf_dir), "T2", "T30", "P2", "P30", True, True).select("unit_id", "cycle", "efficiency", "pressure_ratio"),
+    f"SELECT unit_id, cycle, {_EFF} AS efficiency, P30 / P2 AS pressure_ratio FROM ({ENGINES})", "efficiency pressure_ratio",
+)
+_add(
+    "turbine_from_signals", lambda spark, sf_dir: G.turbine_from_signals(engines(spark, sf_dir), "T30", "T2", "P30", "P2", True, True).select("unit_id", "cycle", "efficiency", "expansion_ratio"),
+    f"SELECT unit_id, cycle, (T30 - T2) / (T30 - T30 * power(P30 / P2, -0.33 / 1.33)) AS efficiency, P30 / P2 AS expansion_ratio FROM ({ENGINES})", "efficiency expansion_ratio",
+)
+_add(
+    "analyse_turbofan", lambda spark, sf_dir: G.analyse_turbofan(engines(spark, sf_dir)).drop("early_efficiency", "degradation"),
+    f"SELECT unit_id, max(cycle) AS n_cycles, avg(e) AS mean_efficiency, avg(e) FILTER (life > 0.9) AS late_efficiency, regr_slope(e, cycle) AS trend FROM (SELECT *, {_EFF} AS e, cycle / max(cycle) OVER (PARTITION BY unit_id) AS life FROM ({ENGINES})) GROUP BY 1", "mean_efficiency late_efficiency trend",
+)
+
+
+def by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One measure of several fields, each called by its name, over the series' means."""
+    x = _series(spark, sf_dir).groupBy("series").agg(F.avg("q").alias("q"), F.avg("p").alias("p"))
+    calls = {
+        "limiting_current": compute("electrochemistry", "limiting_current", "q", 2.0)["i"], "rate": compute("kinetics", "michaelis_menten", 5.0, 2.0, "q")["rate"], "volume": compute("reactors", "cstr_volume", "q", 0.5, 0.1, 2.0)["volume"],
+        "absorption_factor": compute("separations", "absorption", 0.5, 0.01, 0, 1.5, "q")["absorption_factor"], "S": compute("crystallization", "supersaturation", "q", 20.0)["S"], "Z_real": compute("impedance", "randles", "q", 10.0, 100.0, 1e-3)["Z_real"],
+        "rpm": compute("motor", "motor_frequencies", 50.0, 4.0, F.col("q") / 100)["rpm_rotor"], "FTF": compute("bearing", "defect_frequencies", "q", 8.0, 40.0, 15.0, 1500.0)["FTF"], "N": compute("fatigue", "basquin", "q", 900.0, -0.2)["N"],
+        "gear_ratio": compute("gear", "mesh_frequencies", 20.0, "q", 1500.0)["gear_ratio"], "critical_rpm": compute("rotor", "critical_speed", 2.0, "p", 0.0, 1.0)["critical_rpm"], "ln_gamma1": compute("activity", "margules", F.col("q") / 60, 0.5, 0.8)["ln_gamma1"],
+        "Re": compute("flow", "reynolds", "q", 0.1, 1e-3)["Re"], "eta": compute("turbomachinery", "brayton_ideal", 288.0, 1400.0, "q")["thermal_efficiency"],
+    }
+    return x.select("series", *[v.alias(k) for k, v in calls.items()])
+
+
+_by_name = {
+    "limiting_current": "q / (1 + q / 2)", "rate": "5 * q / (2 + q)", "volume": "q * 0.5 / (0.1 * 2 * 0.5)", "absorption_factor": "1.5 / q", "S": "q / 20", "Z_real": "10 + 100 / (1 + power(0.1 * q, 2))", "rpm": "1500 * (1 - q / 100)",
+    "FTF": "12.5 * (1 - 0.2 * cos(radians(15)))", "N": "0.5 * power(q / 900, -5)", "gear_ratio": "q / 20", "critical_rpm": "sqrt(p / 2) * 30 / pi()", "ln_gamma1": "power(1 - q / 60, 2) * (0.5 + 0.6 * q / 60)", "Re": "q * 100", "eta": "1 - power(q, -0.4 / 1.4)",
+}
+_add("by_name", by_name, f"SELECT series, {', '.join(f'{v} AS {k}' for k, v in _by_name.items())} FROM (SELECT series, avg(q) AS q, avg(p) AS p FROM ({SERIES}) GROUP BY series)", " ".join(_by_name))

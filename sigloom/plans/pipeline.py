@@ -67,7 +67,10 @@ def four_layers(observations: DataFrame) -> dict[str, DataFrame]:
     geometry = s["e_layer_pairs"].join(s["e_mutual_info"], PAIR, "left").join(apply(s, "dtw"), PAIR, "left").join(apply(s, "copula"), PAIR, "left")
     dynamics = apply(s, "attractor").join(apply(s, "basin"), KEY)
     te = s["e_transfer_entropy"].select("entity_id", F.col("source").alias("signal_a"), F.col("target").alias("signal_b"), "transfer_entropy")
-    mechanics = apply(s, "granger").join(te, PAIR, "left").join(apply(s, "cointegration"), PAIR, "left").withColumn("is_edge", F.col("is_causal") | (F.coalesce("transfer_entropy", F.lit(0.0)) > 0.05))
+    there = s["e_layer_pairs"].select(*PAIR, F.col("te_proxy_ab").alias("te_proxy"))
+    back = s["e_layer_pairs"].select("entity_id", F.col("signal_b").alias("signal_a"), F.col("signal_a").alias("signal_b"), F.col("te_proxy_ba").alias("te_proxy"))
+    mechanics = apply(s, "granger").join(te, PAIR, "left").join(there.unionByName(back), PAIR, "left").join(apply(s, "cointegration"), PAIR, "left")
+    mechanics = mechanics.withColumn("is_edge", F.col("is_causal") | (F.coalesce("te_proxy", F.lit(0.0)) > 0.1))
     edges = mechanics.where("is_edge")
     ends = edges.select("entity_id", F.explode(F.array(F.struct(F.col("signal_a").alias("id"), F.lit(1).alias("out")), F.struct(F.col("signal_b").alias("id"), F.lit(0).alias("out")))).alias("e"))
     degree = ends.groupBy("entity_id", F.col("e.id").alias("signal_id")).agg(F.sum("e.out").alias("out_degree"), F.sum(1 - F.col("e.out")).alias("in_degree"))

@@ -49,6 +49,29 @@ def test_every_kernel_takes_short_constant_and_wild_series(spark, name):
     E.apply(Signals(frame(spark, {"a": NOISE[:3], "b": SINE[:3]})), name).count()
 
 
+def test_sampled_kernels_over_all_vectors():
+    """Without a bound, every vector is used; series shorter than the bound give the same with it."""
+    short = WALK[:400]
+    assert K.rqa(None, short) == K.rqa(None, short, most=None) and K.rqa(None, WALK, most=None) != K.rqa(None, WALK)
+    x = M.embed(WALK, 3, 1)
+    near = M.distances(x) < 0.1 * np.ptp(WALK)
+    assert K.rqa(None, WALK, most=None)["recurrence_rate"] == pytest.approx((near.sum() - len(x)) / (len(x) * (len(x) - 1)))
+    assert K.lyapunov(None, NOISE, most=None)["lyapunov"] == pytest.approx(K.lyapunov(None, NOISE, most=10**6)["lyapunov"])
+
+
+def test_density_without_the_square():
+    x = np.concatenate([R.normal(size=(150, 4)) * 0.2, R.normal(size=(150, 4)) * 0.2 + 3, R.uniform(-5, 8, (60, 4))])
+    close = M.distances(x) <= 0.5
+    core = close.sum(1) >= 5
+    got = M.dbscan(x, 0.5, 5)
+    # core points that are close share a cluster; noise has no core point near it
+    for i in np.flatnonzero(core):
+        assert (got[np.flatnonzero(close[i] & core)] == got[i]).all()
+    assert all((got[i] < 0) == (not (close[i] & core).any()) for i in range(len(x)))
+    d = M.distances(x)
+    assert np.allclose(np.concatenate([rows for _, rows in M.distance_rows(x, 50)]), d)
+
+
 def test_pair_kernels():
     a = R.normal(size=600)
     b = np.roll(a, 2) + 0.3 * R.normal(size=600)

@@ -154,3 +154,15 @@ def test_cavity_and_columns(spark):
     assert (np.diff(cool["C"]) <= 1e-9).all() and cool["mu0"][-1] > 0
     with pytest.raises(ImportError):
         columns.umap()
+
+
+def test_by_name():
+    from sigloom.functions.physics import dispatch
+
+    assert dispatch.compute("equilibrium", "flash", [0.4, 0.6], [3.0, 0.5])["phase"] == "two_phase"
+    assert dispatch.compute("stability", "routh", [1, 2, 20, 40])["stable"] is False  # poles on the axis
+    for field, methods in dispatch.FIELDS.items():
+        assert all(callable(f) for f in methods.values()), field
+    for bad in (("nothing", "x"), ("heat", "x")):
+        with pytest.raises(ValueError, match="no such"):
+            dispatch.compute(*bad)
