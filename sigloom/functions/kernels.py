@@ -11,7 +11,7 @@ import math
 import numpy as np
 
 from sigloom.functions import mathx as M
-from sigloom.functions.physics import control
+from sigloom.functions.physics import control, machines
 
 NAN = float("nan")
 
@@ -417,6 +417,17 @@ def regimes(I, y):
     return {"regime": np.arange(jump.sum()), "start": I[at[jump]], "mean": means[jump]}
 
 
+def flicker(I, y, rate=200.0, nominal=50.0):
+    """Fluctuation of the voltage's size, for samples at a steady rate."""
+    return machines.flicker(y, rate, nominal) if len(y) > 1 else dict.fromkeys(("pst", "max_fluctuation_percent", "std_fluctuation_percent"), NAN)
+
+
+def voltage_events(I, y, rate=200.0, nominal=50.0, frequency=50.0):
+    """Sags, swells and interruptions, with beginning and length in seconds."""
+    found = machines.voltage_events(y, rate, nominal, frequency)["events"]
+    return {"kind": np.array([e[0] for e in found], object), "start": np.array([e[1] for e in found], float), "duration": np.array([e[2] for e in found], float)}
+
+
 def kalman(I, y, q=0.1, r=1.0):
     """A local level filtered forward and smoothed back (Rauch, Tung and Striebel), from level 0 with variance 1."""
     if not len(y):

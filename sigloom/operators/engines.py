@@ -65,6 +65,8 @@ for _name, _columns, _run in (
     ("laplace_series", "I double, gradient double, laplacian double, field string", K.laplace_series),
     ("regime_detection", "regime int, start double, mean double", K.regimes),
     ("kalman", "I double, level double, variance double, innovation double, smoothed double, smoothed_variance double", K.kalman),
+    ("flicker", "pst double, max_fluctuation_percent double, std_fluctuation_percent double", K.flicker),
+    ("voltage_events", "kind string, start double, duration double", K.voltage_events),
     ("kalman_noise", "process_noise double, measurement_noise double", K.noise),
 ):
     kernel(_name, "signal", _columns, _run)

@@ -122,6 +122,34 @@ KERNEL_SQL: dict[str, str] = {
       w AS (SELECT {AB}, sum(abs(below_a - below_b) / n::DOUBLE * (next - y)) AS w FROM e WHERE next IS NOT NULL GROUP BY ALL)
       SELECT {AB}, CASE WHEN n >= 10 THEN kl END AS kl_symmetric, CASE WHEN n >= 10 THEN js END AS js, CASE WHEN n >= 10 THEN w END AS wasserstein FROM l LEFT JOIN k USING ({AB}) LEFT JOIN w USING ({AB})""",
 }
+# signals of an entity as standardised rows over all its indexes, what is missing at the mean; distances between them
+STANDARD = f"""g AS (SELECT i.entity_id, i.I, n.signal_id, coalesce(s.d, 0) AS d FROM (SELECT DISTINCT entity_id, I FROM s) i JOIN (SELECT DISTINCT {K} FROM s) n USING (entity_id) LEFT JOIN s USING (entity_id, signal_id, I)),
+      z AS (SELECT *, d / nullif(stddev_pop(d) OVER (PARTITION BY {K}), 0) AS z FROM g),
+      w AS (SELECT a.entity_id, a.signal_id AS p, b.signal_id AS q, sqrt(sum((coalesce(a.z, 0) - coalesce(b.z, 0)) * (coalesce(a.z, 0) - coalesce(b.z, 0)))) AS w FROM z a JOIN z b ON a.entity_id = b.entity_id AND a.I = b.I AND a.signal_id <> b.signal_id GROUP BY ALL)"""
+# an edge is in the least spanning tree where no way of shorter edges joins its ends; edges point away from the first signal
+KERNEL_SQL["mst"] = f"""WITH RECURSIVE {STANDARD},
+      reach(entity_id, p, q, w, node) AS (SELECT entity_id, p, q, w, p FROM w UNION SELECT r.entity_id, r.p, r.q, r.w, e.q FROM reach r JOIN w e ON e.entity_id = r.entity_id AND e.p = r.node AND e.w < r.w),
+      tree AS (SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.entity_id = w.entity_id AND r.p = w.p AND r.q = w.q AND r.node = w.q)),
+      out(entity_id, node, source, w, depth) AS (SELECT entity_id, min(p), NULL::VARCHAR, NULL::DOUBLE, 0 FROM tree GROUP BY entity_id UNION ALL SELECT t.entity_id, t.q, t.p, t.w, depth + 1 FROM out o JOIN tree t ON t.entity_id = o.entity_id AND t.p = o.node AND t.q IS DISTINCT FROM o.source),
+      deg AS (SELECT entity_id, p, count(*)::INT AS degree FROM tree GROUP BY ALL),
+      ends AS (SELECT entity_id, coalesce(list(p ORDER BY p) FILTER (degree >= 3), []) AS hubs, coalesce(list(p ORDER BY p) FILTER (degree = 1), []) AS leaves FROM deg GROUP BY ALL)
+      SELECT o.entity_id, source, node AS target, w AS distance, a.degree AS source_degree, b.degree AS target_degree, hubs, leaves FROM out o JOIN deg a ON a.entity_id = o.entity_id AND a.p = source JOIN deg b ON b.entity_id = o.entity_id AND b.p = node JOIN ends ON ends.entity_id = o.entity_id WHERE source IS NOT NULL"""
+# at most five neighbours each; here signals are told apart at each index, so it is their values there that are standardised
+KERNEL_SQL["lof"] = f"""WITH m AS (SELECT {K}, avg(y) AS mean FROM s GROUP BY ALL),
+      g AS (SELECT i.entity_id, i.I, m.signal_id, coalesce(s.y, m.mean) AS v FROM (SELECT DISTINCT entity_id, I FROM s) i JOIN m USING (entity_id) LEFT JOIN s USING (entity_id, signal_id, I)),
+      z AS (SELECT *, (v - avg(v) OVER (PARTITION BY entity_id, I)) / coalesce(nullif(stddev_pop(v) OVER (PARTITION BY entity_id, I), 0), 1) AS z FROM g),
+      w AS (SELECT a.entity_id, a.signal_id AS p, b.signal_id AS q, sqrt(sum((a.z - b.z) * (a.z - b.z))) AS w FROM z a JOIN z b ON a.entity_id = b.entity_id AND a.I = b.I AND a.signal_id <> b.signal_id GROUP BY ALL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY entity_id, p ORDER BY w) AS nth, least(5, count(*) OVER (PARTITION BY entity_id, p)) AS k FROM w),
+      r AS (SELECT entity_id, p, max(w) AS reach FROM n WHERE nth <= k GROUP BY ALL),
+      d AS (SELECT n.entity_id, n.p, 1 / greatest(avg(greatest(r.reach, n.w)), 1e-10) AS density FROM n JOIN r ON r.entity_id = n.entity_id AND r.p = n.q WHERE nth <= k GROUP BY ALL),
+      f AS (SELECT n.entity_id, n.p AS signal_id, least(avg(b.density) / any_value(a.density), 10) AS lof_score FROM n JOIN d a ON a.entity_id = n.entity_id AND a.p = n.p JOIN d b ON b.entity_id = n.entity_id AND b.p = n.q WHERE nth <= k GROUP BY ALL)
+      SELECT entity_id, signal_id, lof_score, lof_score > 1.5 AS is_outlier FROM f"""
+KERNEL_SQL["flicker"] = f"""WITH c AS (SELECT {K}, t // 2 AS c, sqrt(avg(y * y)) AS rms FROM s WHERE t < n // 2 * 2 GROUP BY ALL), d AS (SELECT *, abs(rms - avg(rms) OVER (PARTITION BY {K})) / 50 * 100 AS d, (rms - avg(rms) OVER (PARTITION BY {K})) / 50 * 100 AS e FROM c)
+      SELECT {K}, quantile_cont(d, 0.99) AS pst, max(d) AS max_fluctuation_percent, stddev_pop(e) AS std_fluctuation_percent FROM d GROUP BY ALL"""
+KERNEL_SQL["voltage_events"] = f"""WITH c AS (SELECT {K}, t // 4 AS c, any_value(n // 4) AS m, sqrt(avg(y * y)) / 50 AS r FROM s WHERE t < n // 4 * 4 GROUP BY ALL),
+      k AS (SELECT *, CASE WHEN r < 0.1 THEN 'interruption' WHEN r < 0.9 THEN 'sag' WHEN r > 1.1 THEN 'swell' ELSE '' END AS kind FROM c),
+      i AS (SELECT *, c - row_number() OVER (PARTITION BY {K}, kind ORDER BY c) AS island FROM k)
+      SELECT {K}, kind, min(c) / 50.0::DOUBLE AS start, count(*) / 50.0::DOUBLE AS duration FROM i WHERE kind <> '' GROUP BY {K}, kind, island HAVING max(c) < max(m) - 1"""
 # a local level with noises 0.1 and 1, forward and back: one point of each signal a step
 KALMAN = f"""f(entity_id, signal_id, t, n, I, x, p, gap) AS (SELECT entity_id, signal_id, t, n, I, y * 1.1 / 2.1, 1.1 * power(1 / 2.1, 2) + power(1.1 / 2.1, 2), y FROM s WHERE t = 0
       UNION ALL SELECT s.entity_id, s.signal_id, s.t, s.n, s.I, x + (p + 0.1) / (p + 1.1) * (y - x), power(1 - (p + 0.1) / (p + 1.1), 2) * (p + 0.1) + power((p + 0.1) / (p + 1.1), 2), y - x FROM f JOIN s ON s.entity_id = f.entity_id AND s.signal_id = f.signal_id AND s.t = f.t + 1)"""

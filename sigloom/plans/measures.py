@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.functions.physics import cavity as V
 from sigloom.functions.physics import chemical as C
+from sigloom.functions.physics import columns as D
 from sigloom.functions.physics import control as K
 from sigloom.functions.physics import fluids as U
 from sigloom.functions.physics import machines as M
@@ -186,6 +188,36 @@ _add(
     "lambda2",
 )
 
+FLAT = """SELECT l_returnflag AS field_id, l_orderkey % 9 AS ix, l_suppkey % 7 AS iy, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS u, 100 * CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS v FROM lineitem GROUP BY 1, 2, 3"""
+
+
+def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = [(F.col("l_orderkey") % 9).alias("ix"), (F.col("l_suppkey") % 7).alias("iy")]
+    made = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("field_id"), *cells)
+    return made.agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("u"), (100 * F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("v"))
+
+
+def _slope2(n: str, a: str) -> str:
+    o, h = f"OVER (PARTITION BY field_id, {'iy' if a == 'x' else 'ix'} ORDER BY i{a})", STEPS["xy".index(a)]
+    return f"coalesce((lead({n}) {o} - lag({n}) {o}) / {2 * h}, (lead({n}) {o} - {n}) / {h}, ({n} - lag({n}) {o}) / {h})"
+
+
+for _name, _make, _fields in (
+    ("vorticity_2d", U.vorticity, {"omega_z": f"{_slope2('v', 'x')} - {_slope2('u', 'y')}", "vorticity_magnitude": f"abs({_slope2('v', 'x')} - {_slope2('u', 'y')})"}),
+    ("divergence_2d", U.divergence, {"divergence": f"{_slope2('u', 'x')} + {_slope2('v', 'y')}"}),
+):
+    _add(
+        _name, lambda spark, sf_dir, make=_make, fields=_fields: make(U.gradients(flat_field(spark, sf_dir), STEPS[:2])).select("field_id", "ix", "iy", *fields),
+        f"SELECT field_id, ix, iy, {', '.join(f'{v} AS {k}' for k, v in _fields.items())} FROM ({FLAT})", " ".join(_fields),
+    )
+
+_CAVITY = " UNION ALL ".join(f"SELECT '{n}' AS component, {re} AS Re, unnest({at}::DOUBLE[]) AS position, unnest({values}::DOUBLE[]) AS velocity" for n, table, at in (("u", V.U, V.U_AT), ("v", V.V, V.V_AT)) for re, values in table.items())
+_add("cavity_profiles", lambda spark, sf_dir: V.lookup(spark), _CAVITY, "position velocity")
+_add(
+    "cavity_reynolds", lambda spark, sf_dir: V.lookup(spark).groupBy("Re").agg(F.count_distinct("component").alias("n"), F.min("velocity").alias("least")),
+    f"SELECT Re, count(DISTINCT component) AS n, min(velocity) AS least FROM ({_CAVITY}) GROUP BY 1", "least",
+)
+
 # ---------------------------------------------------------------- numerical routines
 
 PAIRS = "SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d FROM lineitem"
@@ -261,6 +293,11 @@ _routine("fenske_underwood_gilliland", lambda q, d: (lambda f: {k: f[k] for k in
 _routine("strain_life", lambda q, d: (lambda f: {"logN": np.log10(f["N"]), "transition_life": f["transition_life"]})(M.strain_life(0.002 + q / 5000, 900.0, 0.3 + d, -0.09, -0.6, 2e5)), {
     "logN": "z", "transition_life": "0.5 * pow((0.3 + d) * 2e5 / 900, 1 / 0.51)",
 }, _root("", "0", "12", "900 / 2e5 * pow(2 * pow(10, z), -0.09) + (0.3 + d) * pow(2 * pow(10, z), -0.6) > 0.002 + q / 5000", 100))
+# a tray's balance as a quadratic: L x + V al x / (1 + (al - 1) x) = inflow
+_tl, _al, _inn = "(1 + d)", "(1.5 + q / 25)", "((1 + d) * 0.3 + 2 * 0.6)"
+_b = f"({_tl} + 2 * {_al} - {_inn} * ({_al} - 1))"
+_tx = f"((-{_b} + sqrt({_b} * {_b} + 4 * {_tl} * ({_al} - 1) * {_inn})) / (2 * {_tl} * ({_al} - 1)))"
+_routine("tray_calculation", lambda q, d: D.tray(0.3, 0.6, 1 + d, 2.0, 1.5 + q / 25), {"x": _tx, "y": f"{_al} * {_tx} / (1 + ({_al} - 1) * {_tx})"})
 # one degree of freedom, two of them, and linear systems of second order
 _w, _zeta = "(1 + q)", "(0.1 + 2 * d)"
 _re, _im = f"({_w} * {_w} - 9)", f"(6 * {_zeta} * {_w})"
