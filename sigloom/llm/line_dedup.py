@@ -103,11 +103,13 @@ def longest_prefixes(suffixes: DataFrame) -> DataFrame:
     that are asked for get the second rank, and the first suffix with both is found by an aggregate.
     """
     here = F.struct("doc_id", "tie", "pos")
+    done = suffixes.where("later").groupBy(*DOC).agg(F.max("level").alias("level")).where("level = 0").select(*DOC, F.lit(1).cast("long").alias("longest_lines"))
+    # only runs of two lines or more are halved: one table of them, for short plans
+    suffixes = C.materialise(suffixes.where("level > 0").select(*PLACE, "rank", "later"), "runs")
     later = suffixes.where("later")
     top = later.groupBy(*DOC).agg(F.max("level").alias("level"))
-    done = top.where("level = 0").select(*DOC, F.lit(1).cast("long").alias("longest_lines"))
     two = lambda c: F.expr(f"shiftleft(1, {c})")
-    open_ = later.join(top.where("level > 0"), [*DOC, "level"]).select(*PLACE, "rank", two("level").alias("low"), (2 * two("level")).alias("high"))
+    open_ = later.join(top, [*DOC, "level"]).select(*PLACE, "rank", two("level").alias("low"), (2 * two("level")).alias("high"))
     open_ = C.materialise(open_, "prefixes")
     while not open_.isEmpty():
         off = (F.floor((F.col("low") + F.col("high")) / 2) - two("level")).cast("int")
@@ -214,8 +216,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = line_runs(C.table(spark, sf_dir, "documents"))
-    return runs.select("doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", "longest_lines", F.md5("text").alias("kept_md5"))
+    columns = ["doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", "longest_lines", F.md5("text").alias("kept_md5")]
+    return C.finished(spark, lambda: line_runs(C.table(spark, sf_dir, "documents")).select(*columns), "line-runs")
 
 
 #: Rows (doc_id, j, gone) for each line, for a table `{docs}`; runs are built from later copies of one line and of MIN_LINES lines.
