@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +36,36 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths that are made on the way to a result, one list for each `finished` that runs.
+_on_the_way: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = work_dir(spark, name)
+    if _on_the_way:
+        _on_the_way[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.sigloom_path = path
     return out
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, written to the shared folder; all that was materialised on the way is deleted, also after a failure."""
+    _on_the_way.append([])
+    try:
+        out = materialise(make(), name)
+        _on_the_way[-1].remove(out.sigloom_path)
+    finally:
+        for path in _on_the_way.pop():
+            delete(spark, path)
+    if _on_the_way:
+        _on_the_way[-1].append(out.sigloom_path)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing will read again."""
     if path := getattr(df, "sigloom_path", None):

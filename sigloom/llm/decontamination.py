@@ -341,7 +341,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return C.finished(spark, lambda: leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")), "leaks")
 
 
 def _words_sql(name: str, key: str, table: str) -> str:

@@ -557,7 +557,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(C.table(spark, sf_dir, "documents"))
+    return C.finished(spark, lambda: jaccard_join(C.table(spark, sf_dir, "documents")), "jaccard-join")
 
 
 OP2_SQL = """

@@ -157,5 +157,5 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(C.table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+    counts = C.finished(spark, lambda: token_counts(C.table(spark, sf_dir, "documents"), public("byte_bpe_50k.json")), "token-counts")
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
