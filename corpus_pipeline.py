@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.finished(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        common.discard(before)  # the next stage's files stand for it
     return docs
