@@ -6,8 +6,8 @@ ranks by 2 ** k lines at its beginning and 2 ** k lines on. Suffixes with one ra
 array whose longest common prefix has at least 2 ** k lines; intervals of one suffix are settled and go no further, so
 only what repeats is carried on, until nothing does. The first suffix of each interval keeps its lines; every other one is
 a later copy, and its lines go if the run has MIN_LINES lines (a power of two), or is a line of MIN_WORDS words. What goes
-from a document in a row is one run. The longest common prefix of a document's suffixes with earlier ones is then found
-exactly, from the ranks of the level below it.
+from a document in a row is one run. Where true lengths are asked for, the longest common prefix of a document's suffixes
+with earlier ones is then found exactly, from the ranks of the level below it; what is deleted does not depend on it.
 
 Ranks are dealt out over the different pairs, which are counted before they move, so a line that a third of all documents
 have is one row there; the way back is an equi-join, whose hot keys Spark splits.
@@ -197,9 +197,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
 
 
-def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tie, n_lines, n_deleted, n_runs, longest_run and longest_lines (lines of the longest later copy, as a power of two and as they are) and the text that is left."""
-    return _runs(_keyed(C.texts(docs)), min_lines, min_words, True)
+def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, lengths: bool = False) -> DataFrame:
+    """doc_id, tie, n_lines, n_deleted, n_runs, longest_run (lines of the longest later copy, as a power of two), longest_lines (their true number, where `lengths` are asked for) and the text that is left."""
+    return _runs(_keyed(C.texts(docs)), min_lines, min_words, lengths)
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -216,7 +216,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", "longest_lines", F.md5("text").alias("kept_md5")]
+    columns = ["doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", F.md5("text").alias("kept_md5")]
     return C.finished(spark, lambda: line_runs(C.table(spark, sf_dir, "documents")).select(*columns), "line-runs")
 
 
@@ -237,11 +237,8 @@ WITH {LINES_SQL.format(docs="documents")},
 ids AS (SELECT doc_id, list(line ORDER BY pos) AS names FROM rl GROUP BY doc_id),
 grams AS (SELECT doc_id, k, i, names[i + 1 : i + (1 << k)] AS gram FROM (SELECT doc_id, names, k, unnest(range(len(names) - (1 << k) + 1)) AS i FROM ids, range(0, 13) t(k))),
 longest AS (SELECT doc_id, max(1 << k) AS longest_run FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k, gram ORDER BY doc_id, i) AS nth FROM grams) WHERE nth > 1 GROUP BY doc_id),
-same AS (SELECT a.doc_id AS da, b.doc_id AS db, b.pos - a.pos AS diagonal, b.pos AS pos FROM rl a JOIN rl b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.pos < b.pos)),
-stretch AS (SELECT da, db, diagonal, pos - row_number() OVER (PARTITION BY da, db, diagonal ORDER BY pos) AS island FROM same),
-longest_lines AS (SELECT db AS doc_id, max(n) AS longest_lines FROM (SELECT db, count(*) AS n FROM stretch GROUP BY da, db, diagonal, island) GROUP BY 1),
 marks AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM kept WHERE pos IS NOT NULL),
 s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, count(*) FILTER (opens) AS n_runs FROM marks GROUP BY doc_id)
-SELECT k.doc_id, coalesce(max(s.n_lines), 0) AS n_lines, coalesce(max(s.n_deleted), 0) AS n_deleted, coalesce(max(s.n_runs), 0) AS n_runs, coalesce(max(longest.longest_run), 0)::BIGINT AS longest_run, coalesce(max(longest_lines.longest_lines), 0) AS longest_lines,
+SELECT k.doc_id, coalesce(max(s.n_lines), 0) AS n_lines, coalesce(max(s.n_deleted), 0) AS n_deleted, coalesce(max(s.n_runs), 0) AS n_runs, coalesce(max(longest.longest_run), 0)::BIGINT AS longest_run,
   md5(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS kept_md5
-FROM kept k LEFT JOIN s USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN longest_lines USING (doc_id) GROUP BY k.doc_id"""
+FROM kept k LEFT JOIN s USING (doc_id) LEFT JOIN longest USING (doc_id) GROUP BY k.doc_id"""

@@ -83,7 +83,7 @@ def test_true_lengths(spark):
     long = [f"line {i}" for i in range(200)]
     rows += [(100 + i, "\n".join(["own %d" % i, *long[a : a + n], "end %d" % i])) for i, (a, n) in enumerate([(0, 200), (3, 77), (50, 100), (149, 51), (0, 127), (0, 128), (60, 129), (10, 1), (10, 2), (10, 3)])]
     rows += [(200, "same\n" * 37), (201, "same\n" * 20), (202, None)]
-    got = L.line_runs(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)).collect()
+    got = L.line_runs(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA), lengths=True).collect()
     want = lengths(rows)
     assert {r.doc_id: r.longest_lines for r in got} == want
     assert all(r.longest_run == (1 << r.longest_lines.bit_length() >> 1) for r in got)
