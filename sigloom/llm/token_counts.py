@@ -20,7 +20,6 @@ strings are matched as the library does by default; an empty table gives no rows
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,8 +37,6 @@ LIMIT = 512
 
 @cache
 def tokenizer(path: str):
-    # a task has one core: threads of the library's own would take those of other tasks, and cost a sixth more in all
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
