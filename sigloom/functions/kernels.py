@@ -353,15 +353,19 @@ def rqa(I, y, most=500):
     x = M.embed(y, 3, 1)
     if most is not None:
         x = x[np.linspace(0, len(x) - 1, min(most, len(x))).astype(int)]
-    n, radius = len(x), 0.1 * np.ptp(y)
-    off, tall, lines = 0, [], []
-    for a, d in M.distance_rows(x):
-        near = d < radius
-        off += int(near.sum()) - int(near[np.arange(len(d)), np.arange(a, a + len(d))].sum())
+    n, radius, sides = len(x), 0.1 * np.ptp(y), list(x.T.copy())
+
+    def close(left, right):
+        # from differences, in order: a product of the vectors would settle ties with the radius by rounding
+        return np.sqrt(sum((c[left] - c[right]) ** 2 for c in sides)) < radius
+
+    off, tall, lines, block = 0, [], [], max(1, (1 << 20) // n)
+    for a in range(0, n, block):
+        near = close((slice(a, a + block), None), (None, slice(None)))
+        off += int(near.sum()) - int(near[np.arange(len(near)), np.arange(a, a + len(near))].sum())
         tall.append(_runs(near))
     for k in range(1, n):
-        d = x[k:] - x[: n - k]
-        lines.append(_runs((np.sqrt(np.einsum("ij,ij->i", d, d)) < radius)[None]))
+        lines.append(_runs(close(slice(k, None), slice(n - k))[None]))
     lines, upright = np.concatenate(lines), np.concatenate(tall)
     long, tall = lines[lines >= 2], upright[upright >= 2]
     p = np.bincount(long)[1:] / len(long) if len(long) else np.zeros(1)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,7 @@ for _name, _columns, _run in (
     ("basin", "basin string, stability double, transition_prob double, mean_distance double", K.basin),
     ("garch", "garch_omega double, garch_alpha double, garch_beta double, garch_persistence double, garch_loglik double, garch_method string", K.garch),
     ("garch_moments", "garch_omega double, garch_alpha double, garch_beta double, garch_persistence double, garch_loglik double, garch_method string", K.garch_moments),
-    ("rqa", ", ".join(f"{c} double" for c in ("recurrence_rate", "determinism", "laminarity", "rqa_entropy", "trapping_time", "max_diagonal", "avg_diagonal")), K.rqa),
+    ("rqa", ", ".join(f"{c} double" for c in ("recurrence_rate", "determinism", "laminarity", "rqa_entropy", "trapping_time", "max_diagonal", "avg_diagonal")), partial(K.rqa, most=None)),
     ("signal_form", "predictability string, repetition string, standard_form string, symmetry double, frequency_content string, dominant_ratio double", K.typology),
     ("laplace_series", "I double, gradient double, laplacian double, field string", K.laplace_series),
     ("regime_detection", "regime int, start double, mean double", K.regimes),

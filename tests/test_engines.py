@@ -59,6 +59,22 @@ def test_sampled_kernels_over_all_vectors():
     assert K.lyapunov(None, NOISE, most=None)["lyapunov"] == pytest.approx(K.lyapunov(None, NOISE, most=10**6)["lyapunov"])
 
 
+def test_recurrence_query_takes_all_vectors_and_ties(spark):
+    """Over 500 points; many distances of the second series are the radius itself, which is not near."""
+    steps = np.tile([0.0, 2, 2, 9, 4, 10, 1, 3, 3, 7], 60) + 1e6
+    series = {"walk": WALK, "steps": np.append(steps, 30 + 1e6)}
+    got = {r.signal_id: r for r in E.apply(Signals(frame(spark, series)), "rqa").collect()}
+    for name, y in series.items():
+        x = M.embed(y, 3, 1)
+        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) < 0.1 * np.ptp(y)
+        off = int(near.sum()) - len(x)
+        runs = [len(r) for k in range(1, len(x)) for r in "".join("01"[b] for b in np.diagonal(near, k).astype(int)).split("0") if len(r) > 1]
+        tall = [len(r) for row in near for r in "".join("01"[b] for b in row.astype(int)).split("0") if len(r) > 1]
+        assert got[name].recurrence_rate == pytest.approx(off / (len(x) * (len(x) - 1)), rel=1e-12)
+        assert got[name].max_diagonal == max(runs) and got[name].avg_diagonal == pytest.approx(np.mean(runs))
+        assert got[name].determinism == pytest.approx(min(1, sum(runs) / off)) and got[name].trapping_time == pytest.approx(np.mean(tall) if tall else 0)
+
+
 def test_density_without_the_square():
     x = np.concatenate([R.normal(size=(150, 4)) * 0.2, R.normal(size=(150, 4)) * 0.2 + 3, R.uniform(-5, 8, (60, 4))])
     close = M.distances(x) <= 0.5
