@@ -5,6 +5,8 @@ Words are maximal runs of bytes other than space and \\t..\\r; bytes of other UT
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -141,6 +143,29 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+# ---------------------------------------------------------------- memory
+
+
+def release() -> None:
+    """Gives the system back what Arrow and the C library keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """For mapInArrow: a worker that waits for its next task holds no memory of the last one, beside the JVM that goes on."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 # ---------------------------------------------------------------- hashes
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -305,7 +305,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def matches(docs: DataFrame, benchmark: DataFrame, most_kept: int = MOST_KEPT, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_words, n_covered, n_changed (slots with another value) and share of each pair with windows in common."""
     items = C.materialise(
-        benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_items, ITEM_SCHEMA).distinct(), "items"
+        benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(C.freed(_items), ITEM_SCHEMA).distinct(), "items"
     )
     found = items.select("size", (F.col("exact") > 0).alias("exact")).distinct().collect()  # 2 * WINDOW rows at most
     sizes, exact_sizes = (sorted(r["size"] for r in found if r["exact"] == exact) for exact in (False, True))
@@ -317,12 +317,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, most_kept: int = MOST_KEPT, s
             sizes = exact_sizes = []
     C.discard(codes)
     base = C.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
-    found = base.mapInArrow(_doc_windows(sizes, exact_sizes, kept), DOC_SCHEMA)
+    found = base.mapInArrow(C.freed(_doc_windows(sizes, exact_sizes, kept)), DOC_SCHEMA)
     pair = ["doc_id", "tie", "item_id", "n_words"]
     shift = (F.col("doc_pos") - F.col("item_pos")).alias("shift")
     hits = found.join(items, "window").select(*pair, shift, F.struct("item_pos", "size", "doc_slots", "item_slots", "exact").alias("hit"))
     # the hits of one alignment: at most one for each window of the item
-    aligned = hits.groupBy(*pair, "shift").agg(F.collect_set("hit").alias("hits")).mapInArrow(_align, ALIGNED_SCHEMA)
+    aligned = hits.groupBy(*pair, "shift").agg(F.collect_set("hit").alias("hits")).mapInArrow(C.freed(_align), ALIGNED_SCHEMA)
     # marks are made different before they are counted, so that a document with many alignments costs no row of many
     marks = aligned.select(*pair, F.explode_outer("marks").alias("mark")).distinct()
     told = marks.groupBy(*pair).agg(

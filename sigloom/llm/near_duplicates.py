@@ -275,7 +275,7 @@ def _beside_pivot(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def node_edges(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: sets that a node holds and whose sketches agree, as a forest for each node."""
-    compare = lambda df: df.select("g", "set", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_node_edges), "a long, b long")
+    compare = lambda df: df.select("g", "set", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(C.freed(grouped(_node_edges)), "a long, b long")
     sketched = leaves.join(classes.select("set", "sketch"), "set")
     edges = compare(sketched.where(F.col("size") <= NODE_BLOCK).withColumn("g", F.col("leaf")))
     large = sketched.where(F.col("size") > NODE_BLOCK)
@@ -285,7 +285,7 @@ def node_edges(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64(F.lit(17), "set"), blocks.cast("long")).cast("int")
     heads = large.groupBy("leaf", "size").agg(F.min(F.struct("set", "sketch")).alias("p")).select("leaf", "size", "p.set", "p.sketch", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"), F.lit(0).alias("side"))
     rows = large.select("leaf", "size", "set", "sketch", own.alias("own"), F.lit(1).alias("side")).unionByName(heads).withColumn("g", F.xxhash64("leaf", "own"))
-    beside = rows.select("g", "side", "leaf", "set", "sketch").repartition("g").sortWithinPartitions("g", "side").mapInArrow(grouped(_beside_pivot), "leaf long, set long, pivot long, agrees boolean")
+    beside = rows.select("g", "side", "leaf", "set", "sketch").repartition("g").sortWithinPartitions("g", "side").mapInArrow(C.freed(grouped(_beside_pivot)), "leaf long, set long, pivot long, agrees boolean")
     beside = C.materialise(beside, "beside-pivots")
     edges = edges.unionByName(beside.where("agrees").select(F.col("set").alias("a"), F.col("pivot").alias("b")))
     # those unlike the pivot, with all of the node
@@ -423,7 +423,7 @@ def _unsure(deltas: DataFrame, threshold: float) -> DataFrame:
     """
     bonus = 1000 + round(threshold * 1000)
     marked = deltas.withColumn("is_far", 2 * F.col("cost") > F.col("bound"))
-    spelled = marked.where("n > 0").select("component", "set", "is_far", "n", "tokens").mapInArrow(_spelled, "component long, set long, is_far boolean, token long")
+    spelled = marked.where("n > 0").select("component", "set", "is_far", "n", "tokens").mapInArrow(C.freed(_spelled), "component long, set long, is_far boolean, token long")
     counts = spelled.groupBy("component", "token").agg(F.count_if("is_far").alias("with_far"), F.count_if(~F.col("is_far")).alias("with_near")).where("with_far > 0 and with_far + with_near > 1")
     shared = spelled.join(counts, ["component", "token"]).groupBy("set").agg(F.count_if(F.col("with_far") > F.col("is_far").cast("int")).alias("by_far"), F.count_if((F.col("with_near") > 0) & F.col("is_far")).alias("by_near"))
     least = marked.groupBy("component").agg(F.min(F.when(F.col("is_far"), F.col("cost"))).alias("least_far"), F.min(F.when(~F.col("is_far"), F.col("cost"))).alias("least_near"))
@@ -484,28 +484,28 @@ def group_links(held: DataFrame, threshold: float) -> DataFrame:
     while True:
         small = F.col("size") <= GROUP_BLOCK
         dealt = in_block_pairs(now.where(small), "component", "set", "size", GROUP_BLOCK).select("g", "set", "side", "copies", "tokens")
-        found.append(C.materialise(send(dealt).mapInArrow(_exact(threshold), LINK_SCHEMA), "links"))
+        found.append(C.materialise(send(dealt).mapInArrow(C.freed(_exact(threshold)), LINK_SCHEMA), "links"))
         blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
         large = now.where(~small).withColumn("own", F.pmod(F.xxhash64(F.lit(17), "set"), blocks.cast("long")).cast("int"))
         sample = large.where("own = 0").select(F.col("component").alias("g"), "size", "tokens")
-        references = C.materialise(send(sample).mapInArrow(grouped(_reference), "component long, size int, tokens binary"), "references")
+        references = C.materialise(send(sample).mapInArrow(C.freed(grouped(_reference)), "component long, size int, tokens binary"), "references")
         if references.isEmpty():
             return functools.reduce(DataFrame.unionByName, found)
         heads = references.withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1)))
         none = F.lit(0).cast("long")
         heads = heads.select("component", "own", F.lit(0).alias("side"), none.alias("set"), none.alias("copies"), "tokens")
         rows = large.select("component", "own", F.lit(1).alias("side"), "set", "copies", "tokens").unionByName(heads).withColumn("g", F.xxhash64(F.lit(5), "component", "own"))
-        deltas = C.materialise(send(rows.select("g", "side", "component", "set", "copies", "tokens"), "side").mapInArrow(_deltas(threshold), DELTA_SCHEMA), "deltas")
+        deltas = C.materialise(send(rows.select("g", "side", "component", "set", "copies", "tokens"), "side").mapInArrow(C.freed(_deltas(threshold)), DELTA_SCHEMA), "deltas")
         found.append(C.materialise(_sure(deltas), "links"))
         unsure = C.materialise(_unsure(deltas, threshold), "unsure")
         sizes = unsure.groupBy("component").agg(*[F.count_if(c).cast("int").alias(f"n_{c}") for c in ("near", "beside", "far")])
         sides = across(unsure.where("near").join(sizes, "component"), unsure.where("beside").join(sizes, "component"), "component", "n_near", "n_beside", GROUP_BLOCK)
-        found.append(C.materialise(send(sides.select("g", "set", "side", "copies", "cost", "bound", "tokens")).mapInArrow(_near_far(threshold), LINK_SCHEMA), "links"))
+        found.append(C.materialise(send(sides.select("g", "set", "side", "copies", "cost", "bound", "tokens")).mapInArrow(C.freed(_near_far(threshold)), LINK_SCHEMA), "links"))
         # the far ones among each other: a group of their own where they are the lesser part, else difference with difference
         far = unsure.where("far").join(sizes, "component").join(references.select("component", "size"), "component").where("n_far > 1")
         many = 2 * F.col("n_far") > F.col("size")
         dealt = in_block_pairs(far.where(many).select("component", "set", "copies", "cost", "bound", "tokens", "n_far"), "component", "set", "n_far", GROUP_BLOCK)
-        found.append(C.materialise(send(dealt.select("g", "set", "side", "copies", "cost", "bound", "tokens")).mapInArrow(_near_far(threshold), LINK_SCHEMA), "links"))
+        found.append(C.materialise(send(dealt.select("g", "set", "side", "copies", "cost", "bound", "tokens")).mapInArrow(C.freed(_near_far(threshold)), LINK_SCHEMA), "links"))
         rest = large.drop("size").join(far.where(~many).select("set", F.col("n_far").alias("size")), "set")
         now = C.materialise(rest.select(*HELD), "members")
         if now.isEmpty():
@@ -525,7 +525,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (the smallest doc_id that links lead to) and n_links (other documents at the threshold or above)."""
     base = C.texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    sketched = C.materialise(base.mapInArrow(_sketches, SKETCH_SCHEMA), "sketches")
+    sketched = C.materialise(base.mapInArrow(C.freed(_sketches), SKETCH_SCHEMA), "sketches")
     with_set = sketched.where("doc_id is not null and set is not null")
     classes = C.materialise(
         with_set.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "classes"
@@ -538,7 +538,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     members = C.materialise(groups.join(sizes, "component").join(classes.select("set", "first", "copies"), "set"), "members")
     wanted = members.select("set", "component", "size", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     # the texts move once, whatever the number of sets that are wanted
-    tokens = base.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("set", "component", "size", "copies", "text").mapInArrow(_tokens, HELD_SCHEMA)
+    tokens = base.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("set", "component", "size", "copies", "text").mapInArrow(C.freed(_tokens), HELD_SCHEMA)
     links = group_links(C.materialise(tokens.dropDuplicates(["set"]), "tokens"), threshold)
 
     joined = components(links.select(F.col("set").alias("a"), F.col("root").alias("b")))

@@ -131,7 +131,7 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each document with its counts and the verdict."""
-    return C.texts(docs).mapInArrow(_rules, SCHEMA)
+    return C.texts(docs).mapInArrow(C.freed(_rules), SCHEMA)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
             marks = [verdict(measure(*C.buffers(C.flat(part, "text"))))[1] for part in C.slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]))]
             yield batch.filter(pa.array(np.concatenate(marks) if marks else [], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.freed(run), docs.schema)
 
 
 def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

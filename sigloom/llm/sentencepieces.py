@@ -344,7 +344,7 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
             values = [pa.ListArray.from_arrays(_ends(count), pa.array(ids.astype(np.int32))), pa.array(scores, pa.list_(pa.float64())), pa.ListArray.from_arrays(_ends([len(x) for x in ways]), inner)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], ["doc_id", "ids", "scores", "ways"])
 
-    return C.texts(docs).mapInArrow(run, SCHEMA)
+    return C.texts(docs).mapInArrow(C.freed(run), SCHEMA)
 
 
 def _ends(sizes) -> pa.Array:
@@ -361,7 +361,7 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
             texts = decode(path, ids, pc.list_value_length(lists).to_numpy(zero_copy_only=False)) if len(ids) else [b""] * batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(C.freed(run), "doc_id long, text string")
 
 
 DIGEST_SCHEMA = (
@@ -400,7 +400,7 @@ def digest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], [x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
 
-    return C.texts(docs).mapInArrow(run, DIGEST_SCHEMA)
+    return C.texts(docs).mapInArrow(C.freed(run), DIGEST_SCHEMA)
 
 
 def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Shared folders, and hashes of spans."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -50,3 +52,27 @@ def test_span_hash_does_not_depend_on_the_place():
     for n in (1, 255, 256, 257, 1000, 5000):
         one, two = C.span_hash(C.prefix_hash(twice), np.array([0, 5077]), np.array([n, 5077 + n]))
         assert one == two
+
+
+def test_a_finished_task_holds_no_memory():
+    """Blocks below glibc's mmap threshold stay with the process once freed, if one that is in use lies above them."""
+    script = """
+import psutil
+from sigloom.llm import common as C
+
+def work(batches):
+    held = [bytes(60_000) for _ in range(5_000)]
+    above.append(bytes(60_000))
+    yield len(held)
+
+above, me = [], psutil.Process()
+list(C.freed(work)(iter([])))
+before = me.memory_info().rss
+list(C.freed(work)(iter([])))
+print(before >> 20, me.memory_info().rss >> 20)
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert max(map(int, out.stdout.split())) < 250, out.stdout
