@@ -528,7 +528,7 @@ class _Chunks:
         base = C.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
         self.total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.total / BUCKET_BYTES))
-        base.mapInArrow(_pack, CHUNK_SCHEMA).write.bucketBy(min(buckets, 100_000), "chunk").option("path", self.path).format("parquet").saveAsTable(self.name)
+        base.mapInArrow(C.freed(_pack), CHUNK_SCHEMA).write.bucketBy(min(buckets, 100_000), "chunk").option("path", self.path).format("parquet").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
 
     def finish(self, result: DataFrame) -> DataFrame:
@@ -543,15 +543,15 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     chunks = _Chunks(docs)
     bits = max(0, (chunks.total // RANGE_STRINGS).bit_length())
 
-    sent = chunks.table.mapInArrow(_send_fingerprints(bits), FINGER_SCHEMA)
-    answers = C.materialise(sent.repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_repeated), ANSWER_SCHEMA), "repeated")
+    sent = chunks.table.mapInArrow(C.freed(_send_fingerprints(bits)), FINGER_SCHEMA)
+    answers = C.materialise(sent.repartition("g").sortWithinPartitions("g").mapInArrow(C.freed(grouped(_repeated)), ANSWER_SCHEMA), "repeated")
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("g", "keys", "hot")).alias("answers"))
     asked = chunks.table.join(by_chunk, "chunk", "left")
 
-    contexts = asked.select("chunk", "ids", "offsets", "blob", "answers").mapInArrow(_send_contexts(bits), CONTEXT_SCHEMA)
-    marks = C.materialise(contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_scan(LENGTH), BIT_SCHEMA), "marks")
+    contexts = asked.select("chunk", "ids", "offsets", "blob", "answers").mapInArrow(C.freed(_send_contexts(bits)), CONTEXT_SCHEMA)
+    marks = C.materialise(contexts.repartition("g").sortWithinPartitions("g").mapInArrow(C.freed(_scan(LENGTH)), BIT_SCHEMA), "marks")
     marked = asked.join(marks.groupBy("chunk").agg(F.collect_list(F.struct("g", "bits")).alias("marks")), "chunk", "left")
-    spans = chunks.finish(marked.select("chunk", "ids", "offsets", "blob", "answers", "marks").mapInArrow(_mark(bits), SPAN_SCHEMA))
+    spans = chunks.finish(marked.select("chunk", "ids", "offsets", "blob", "answers", "marks").mapInArrow(C.freed(_mark(bits)), SPAN_SCHEMA))
     C.discard(answers)
     C.discard(marks)
     return spans
@@ -594,18 +594,18 @@ class SuffixIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """The result of suffix_dedup for a batch after all that are stored."""
         chunks = _Chunks(docs)
-        contexts = chunks.table.mapInArrow(_send_contexts(self.bits, True), CONTEXT_SCHEMA)
+        contexts = chunks.table.mapInArrow(C.freed(_send_contexts(self.bits, True)), CONTEXT_SCHEMA)
         for number, _ in self.levels:
             contexts = contexts.unionByName(self._read(number).select("g", F.lit(-1 - number).cast("long").alias("chunk"), F.lit(b"").alias("lengths"), F.col("at").alias("ids"), "text"))
-        found = C.materialise(contexts.repartition("g").sortWithinPartitions("g", "chunk").mapInArrow(_scan(LENGTH, True), BIT_SCHEMA), "marks")
+        found = C.materialise(contexts.repartition("g").sortWithinPartitions("g", "chunk").mapInArrow(C.freed(_scan(LENGTH, True)), BIT_SCHEMA), "marks")
         marks = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("g", "bits")).alias("marks"))
-        spans = chunks.finish(chunks.table.join(marks, "chunk", "left").select("chunk", "ids", "offsets", "blob", "marks").mapInArrow(_mark(self.bits, True), SPAN_SCHEMA))
+        spans = chunks.finish(chunks.table.join(marks, "chunk", "left").select("chunk", "ids", "offsets", "blob", "marks").mapInArrow(C.freed(_mark(self.bits, True)), SPAN_SCHEMA))
         self._write(found.where("chunk < 0").select("g", (F.octet_length("bits") / 8).cast("long").alias("n"), F.col("bits").alias("at"), "text"), [])
         C.discard(found)
         while near := [(x[0], y[0]) for x, y in zip(self.levels, self.levels[1:]) if x[1] < 2 * y[1]]:
             a, b = near[-1]
             both = self._read(a).unionByName(self._read(b))
-            self._write(both.repartition("g").sortWithinPartitions("g").mapInArrow(grouped(_merge_levels(LENGTH)), LEVEL_SCHEMA), [a, b])
+            self._write(both.repartition("g").sortWithinPartitions("g").mapInArrow(C.freed(grouped(_merge_levels(LENGTH))), LEVEL_SCHEMA), [a, b])
         return spans
 
 
