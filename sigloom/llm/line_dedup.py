@@ -73,7 +73,7 @@ def _intervals(suffixes: DataFrame, *by: str) -> DataFrame:
 def suffix_intervals(docs: DataFrame) -> DataFrame:
     """level, doc_id, tie, pos, n_words, rank, later: each suffix in an interval of two or more, at each level; later: not its first."""
     here = F.struct("doc_id", "tie", "pos")
-    lines = C.materialise(docs.mapInArrow(_lines, LINE_SCHEMA).dropDuplicates(["doc_id", "tie", "pos"]), "lines")
+    lines = C.materialise(docs.mapInArrow(C.freed(_lines), LINE_SCHEMA).dropDuplicates(["doc_id", "tie", "pos"]), "lines")
     ranks = _intervals(lines, "name")
     active = C.materialise(lines.join(ranks, "name").select("doc_id", "tie", "pos", "n_words", "rank", (here != F.col("first")).alias("later")), "suffixes")
     level, out = 0, None
@@ -190,7 +190,7 @@ def _runs(base: DataFrame, min_lines: int, min_words: int, lengths: bool) -> Dat
     kind = OUT_SCHEMA
     if "row" in base.columns:
         kind += f", row {base.schema['row'].dataType.simpleString()}"
-    return joined.mapInArrow(_rebuild, kind).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return joined.mapInArrow(C.freed(_rebuild), kind).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
